@@ -68,7 +68,7 @@ def display_tags(tags: Column) -> Column:
 def type_list(route_type: Column) -> Column:
     """Comma text -> trimmed types without blanks and excluded types."""
     return or_empty(F.filter(
-        F.transform(F.split(route_type, ",", -1), F.trim),
+        F.transform(F.split(route_type, ",", -1), lambda t: F.trim(t)),
         lambda t: (t != "") & ~t.isin(fixed.EXCLUDED_TYPES),
     ))
 

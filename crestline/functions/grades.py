@@ -12,61 +12,61 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from crestline import fixed
-from crestline.functions.arrays import position
+from crestline.functions.arrays import literal_map, position, strings
 from crestline.functions.text import strip
 
-_TUPLE = r"^5\.(\d+)([+-]?)([a-d]?)"
-_FORM = r"(?i)^5\.(\d+)([a-d])?([/+\-])?([a-d])?\z"
+_TUPLE = r"^5\.\d+[+-]?[a-d]?"
+_FORM = r"^5\.\d+[a-d]?[/+\-]?[a-d]?\z"
+_FORM_PARTS = [r"^5\.\d+[a-d]?", r"^5\.\d+[a-d]?[+-]", r"^5\.\d+[a-d]?/[a-d]"]
+
+
+def grade_head(grade: Column) -> Column:
+    """Leading ``5.<n><modifier><letter>`` of a grade, ``''`` without one."""
+    return F.regexp_extract(F.coalesce(grade, F.lit("")), _TUPLE, 0)
+
+
+def _parts(head: Column) -> dict[str, Column]:
+    return {
+        "minor": F.substring(F.translate(head, "+-abcd", ""), 3, 99).try_cast("bigint"),
+        "modifier": F.when(head.contains("-"), 0).when(head.contains("+"), 2).otherwise(1).cast("bigint"),
+        "letter": F.greatest(F.ascii(F.right(head, F.lit(1))) - F.lit(96), F.lit(0)).cast("bigint"),
+    }
 
 
 def grade_tuple(grade: Column) -> Column:
-    """(minor, modifier, letter); unparseable grades sort above everything."""
-    g = F.coalesce(grade, F.lit(""))
-    hit = g.rlike(_TUPLE)
-    mod = F.regexp_extract(g, _TUPLE, 2)
-    letter = F.regexp_extract(g, _TUPLE, 3)
+    """(minor, modifier, letter); unparseable grades are 999 in all three."""
+    head = grade_head(grade)
     unknown = F.lit(999).cast("bigint")
-    minor = F.regexp_extract(g, _TUPLE, 1).try_cast("bigint")
-    mod_rank = F.when(mod == "-", 0).when(mod == "+", 2).otherwise(1).cast("bigint")
-    letter_rank = F.when(letter == "", 0).otherwise(F.ascii(letter) - F.lit(96)).cast("bigint")
-    return F.struct(
-        F.when(hit, minor).otherwise(unknown).alias("minor"),
-        F.when(hit, mod_rank).otherwise(unknown).alias("modifier"),
-        F.when(hit, letter_rank).otherwise(unknown).alias("letter"),
-    )
+    return F.struct(*[F.when(head == "", unknown).otherwise(c).alias(n) for n, c in _parts(head).items()])
+
+
+def head_key(head: Column) -> Column:
+    """One number that orders like the tuple; modifier and letter stay below 100."""
+    p = _parts(head)
+    return F.when(head == "", F.lit(9_999_999).cast("bigint")).otherwise(
+        p["minor"] * 10_000 + p["modifier"] * 100 + p["letter"])
 
 
 def is_higher(suggested: Column, official: Column) -> Column:
-    return grade_tuple(suggested) > grade_tuple(official)
+    return head_key(grade_head(suggested)) > head_key(grade_head(official))
 
 
 def is_lower(suggested: Column, official: Column) -> Column:
-    return grade_tuple(suggested) < grade_tuple(official)
+    return head_key(grade_head(suggested)) < head_key(grade_head(official))
 
 
 def grade_migrate(grade: Column) -> Column:
-    """struct(normalized, index) against the flatten scale."""
+    """struct(normalized, index) against the flatten scale.
+
+    Tried in order: the first word itself, its base grade, base with plus or
+    minus, base with a second letter. An exact hit skips the other forms."""
+    scale = fixed.FLATTEN_GRADES
     token = strip(F.substring_index(F.coalesce(grade, F.lit("")), " ", 1))
-    number = F.regexp_extract(token, _FORM, 1)
-    first = F.lower(F.regexp_extract(token, _FORM, 2))
-    mod = F.regexp_extract(token, _FORM, 3)
-    second = F.lower(F.regexp_extract(token, _FORM, 4))
-    base = F.concat(F.lit("5."), number, first)
-    parsed = number != ""
-    forms = [
-        token,
-        F.when(parsed, base),
-        F.when(parsed & mod.isin("+", "-"), F.concat(base, mod)),
-        F.when(parsed & (mod == "/") & (second != ""), F.concat(base, F.lit("/"), second)),
-    ]
-    ranked = [
-        F.when(position(fixed.FLATTEN_GRADES, f).isNotNull(),
-               F.struct(f.alias("normalized"),
-                        position(fixed.FLATTEN_GRADES, f).alias("index")))
-        for f in forms
-    ]
-    miss = F.struct(token.alias("normalized"), F.lit(0).alias("index"))
-    return F.coalesce(*ranked, miss)
+    shaped = F.regexp_extract(F.lower(token), _FORM, 0)  # '' unless the whole word is a grade
+    forms = [token] + [F.regexp_extract(shaped, p, 0) for p in _FORM_PARTS]
+    index = F.coalesce(*[position(scale, f) for f in forms])
+    return F.struct(F.coalesce(F.get(strings(scale), index), token).alias("normalized"),
+                    F.coalesce(index, F.lit(0)).alias("index"))
 
 
 def grade_web(grade: Column) -> Column:
@@ -126,8 +126,7 @@ SUB_RANKS = _sub_ranks()
 
 def grade_sub_rank(grade: Column) -> Column:
     norm = grade_sub(grade)
-    pairs = [F.lit(v) for kv in SUB_RANKS.items() for v in kv]
-    return F.coalesce(F.try_element_at(F.create_map(*pairs), norm), F.lit(0))
+    return F.coalesce(F.try_element_at(literal_map(SUB_RANKS), norm), F.lit(0))
 
 
 def is_harder(a: Column, b: Column) -> Column:

@@ -6,18 +6,14 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from crestline import fixed
-from crestline.functions.arrays import has, or_empty, strings, tags_in, union_sorted
-from crestline.functions.grades import grade_tuple
+from crestline.functions.arrays import has, literal_map, or_empty, tags_in, union_sorted
+from crestline.functions.grades import grade_head, head_key
 from crestline.functions.text import strip
 
 
-def _vocabulary() -> Column:
-    return F.create_map(*[x for c, ts in fixed.TAG_VOCABULARY.items() for x in (F.lit(c), strings(ts))])
-
-
 def allowed(category: Column, tag: Column) -> Column:
     """Tag is in the vocabulary of its category, or a seasonal closure variant."""
-    known = has(F.try_element_at(_vocabulary(), category), tag)
+    known = has(F.try_element_at(literal_map(fixed.TAG_VOCABULARY), category), tag)
     return known | ((category == fixed.ACCESS) & F.coalesce(
         tag.startswith(fixed.CLOSURE_PREFIX), F.lit(False)))
 
@@ -54,22 +50,32 @@ def runout_tag(protection: Column) -> Column:
 
 def vote_tag(votes: Column, grade: Column, ratings: Column) -> Column:
     """Compare the votes for harder, easier and exactly the official grade."""
+    # transform steps bind a value once instead of once per use
+    heads = F.transform(F.map_entries(ratings), lambda e: F.struct(
+        e["key"].alias("grade"), grade_head(e["key"]).alias("head"), e["value"].cast("bigint").alias("n")))
+    rated = F.transform(heads, lambda h: F.struct(
+        h["grade"].alias("grade"), head_key(h["head"]).alias("key"), h["n"].alias("n")))
     official = strip(F.coalesce(grade, F.lit("")))
-    level = grade_tuple(official)
-    entries = F.map_entries(ratings)
+    asked = F.transform(F.transform(
+        F.array(official), lambda g: F.struct(g.alias("grade"), grade_head(g).alias("head"))),
+        lambda o: F.struct(o["grade"].alias("grade"), head_key(o["head"]).alias("key")))
+    zero = F.lit(0).cast("bigint")
 
-    def total(keep):
-        return F.aggregate(F.filter(entries, keep), F.lit(0).cast("bigint"),
-                           lambda acc, e: acc + e["value"])
+    def judge(o: Column) -> Column:
+        def step(acc: Column, e: Column) -> Column:
+            other = e["grade"] != o["grade"]
+            return F.struct(
+                (acc["higher"] + F.when(other & (e["key"] > o["key"]), e["n"]).otherwise(0)).alias("higher"),
+                (acc["lower"] + F.when(other & (e["key"] < o["key"]), e["n"]).otherwise(0)).alias("lower"),
+                (acc["same"] + F.when(other, 0).otherwise(e["n"])).alias("same"))
 
-    higher = total(lambda e: (e["key"] != official) & (grade_tuple(e["key"]) > level))
-    lower = total(lambda e: (e["key"] != official) & (grade_tuple(e["key"]) < level))
-    same = total(lambda e: e["key"] == official)
-    return F.when(
-        F.coalesce(votes, F.lit(0)) >= fixed.MIN_VOTES,
-        F.when((higher > same) & (higher > lower), "sandbag")
-        .when((lower > same) & (lower > higher), "first_in_grade"),
-    )
+        start = F.struct(zero.alias("higher"), zero.alias("lower"), zero.alias("same"))
+        return F.aggregate(rated, start, step, lambda s: F.when(
+            (s["higher"] > s["same"]) & (s["higher"] > s["lower"]), "sandbag").when(
+            (s["lower"] > s["same"]) & (s["lower"] > s["higher"]), "first_in_grade"))
+
+    enough = F.coalesce(votes, F.lit(0)) >= fixed.MIN_VOTES
+    return F.when(enough, F.get(F.transform(asked, judge), F.lit(0)))
 
 
 def classic_tag(stars: Column, votes: Column) -> Column:
@@ -81,7 +87,7 @@ def new_route_tag(shared_on: Column) -> Column:
     """Shared after January 2022; needs exactly one comma and a whole year."""
     parts = F.split(strip(F.coalesce(shared_on, F.lit(""))), ",", -1)
     year = strip(F.get(parts, F.lit(1))).try_cast("int")
-    months = F.create_map(*[F.lit(x) for kv in fixed.MONTHS.items() for x in kv])
+    months = literal_map(fixed.MONTHS)
     month = F.coalesce(F.try_element_at(months, strip(F.get(parts, F.lit(0)))), F.lit(0))
     return F.when((F.size(parts) == 2) & ((year > 2022) | ((year == 2022) & (month > 1))),
                   "new_routes")
@@ -108,7 +114,7 @@ def map_categories(tags: Column, mapping: dict[str, str] | None = None) -> Colum
     """Rename categories; identity unless a mapping is given."""
     if not mapping:
         return tags
-    lookup = F.create_map(*[F.lit(x) for kv in mapping.items() for x in kv])
+    lookup = literal_map(mapping)
     return F.transform_keys(tags, lambda c, _: F.coalesce(F.try_element_at(lookup, c), c))
 
 

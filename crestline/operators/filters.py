@@ -55,7 +55,8 @@ def type_match(route_type: Column, selected: tuple[str, ...]) -> Column:
     if not known:
         return F.lit(False)
     types = F.transform(
-        F.filter(F.split(route_type, ", ", -1), lambda t: ~t.startswith("Grade")), F.trim)
+        F.filter(F.split(route_type, ", ", -1), lambda t: ~t.startswith("Grade")),
+        lambda t: F.trim(t))
     return overlaps(types, known)
 
 
@@ -194,7 +195,7 @@ def no_excluded_type(route_type: Column, excluded: tuple[str, ...], compat: bool
         return F.lit(True)
     if compat:
         return ~overlaps(route_type, excluded)
-    return ~overlaps(F.transform(or_empty(route_type), F.lower), [t.lower() for t in excluded])
+    return ~overlaps(F.transform(or_empty(route_type), lambda t: F.lower(t)), [t.lower() for t in excluded])
 
 
 def pushed_predicate(f: StoreFilter, compat: bool = False) -> Column:

@@ -75,6 +75,12 @@ def search_listing(areas: DataFrame, routes: DataFrame, query: str, k: int = 5)
     return both.orderBy(F.desc("score"), "type", "id")
 
 
+def names_with(term: str) -> Column:
+    """Number of hierarchy names that contain the term."""
+    names = F.transform("area_hierarchy", lambda h: F.lower(h["area_hierarchy_name"]))
+    return F.coalesce(F.size(F.filter(names, lambda n: n.contains(term))), F.lit(0))
+
+
 def area_weight(query: str) -> tuple[Column, Column]:
     """(score, match explanations) summed over the terms, any term may match."""
     name = F.lower(F.coalesce("area_name", F.lit("")))
@@ -82,9 +88,7 @@ def area_weight(query: str) -> tuple[Column, Column]:
     text = F.lower(F.coalesce("searchable_text", F.lit("")))
     scores, notes = [], []
     for t in query_terms(query):
-        in_tree = F.size(F.filter(
-            F.coalesce(F.col("area_hierarchy"), F.array()),
-            lambda h, t=t: F.lower(h["area_hierarchy_name"]).contains(t)))
+        in_tree = names_with(t)
         tests = [
             (name.contains(t), 10, F.concat(F.lit(f"Name match: {t} in "), name)),
             (name.startswith(t), 5, F.lit(f"Name starts with: {t}")),

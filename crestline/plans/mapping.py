@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from crestline import fixed
+from crestline.functions.arrays import strings
 
 GRADE_PICK = [
     "5.3", "5.6-", "5.7", "5.8+", "5.9", "5.9+", "5.10-", "5.10a", "5.10a/b", "5.10",
@@ -43,7 +44,7 @@ def size(spark: SparkSession, sf_dir: str, name: str) -> int:
 
 
 def pick(values: list, index: Column) -> Column:
-    return F.get(F.array(*[F.lit(v) for v in values]), index.cast("int"))
+    return F.get(strings(values), index.cast("int"))
 
 
 def level(n: int, name: Column, url: Column) -> Column:
@@ -99,36 +100,49 @@ def areas(spark: SparkSession, sf_dir: str, tree: bool = False) -> DataFrame:
     return out
 
 
-def votes(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _grade_ix() -> Column:
+    return ((F.col("p_partkey") * 7 + F.col("p_size")) % 24).cast("int")
+
+
+def facts(spark: SparkSession, sf_dir: str, with_ratings: bool) -> DataFrame:
+    """Votes, stars and, per slot of the grade list, rating votes of each part.
+
+    One scan and one shuffle: everything is a plain sum per part, combined
+    map-side before the exchange. Line numbers only matter modulo the 24 slots.
+    """
     li = table(spark, sf_dir, "lineitem")
     qty = F.sum("l_quantity").cast("bigint")
-    return li.groupBy(F.col("l_partkey").alias("k")).agg(
+    slot = F.col("l_linenumber") % 24
+    counts = [F.sum(F.when(slot == i, 1).otherwise(0)).alias(f"n{i}") for i in range(24)]
+    out = li.groupBy(F.col("l_partkey").alias("k")).agg(
         F.sum(F.when(F.col("l_returnflag") == "R", 1).otherwise(0)).cast("bigint").alias("route_votes"),
-        ((qty % 41).cast("double") / 10).alias("route_stars"),
-    )
+        ((qty % 41).cast("double") / 10).alias("route_stars"), *(counts if with_ratings else []))
+    if with_ratings:
+        out = out.select("k", "route_votes", "route_stars",
+                         F.array(*[f"n{i}" for i in range(24)]).alias("slots"))
+    return out
 
 
-def _grade_ix() -> Column:
-    return ((F.col("p_partkey") * 7 + F.col("p_size")) % 24).cast("int")
+def _histogram() -> Column:
+    """Rating -> votes from the slot counts; slot and grade fix the rating."""
+    rating = F.transform("slots", lambda n, i: F.struct(
+        pick(GRADE_PICK, (_grade_ix() + i - 4 + 24) % 24).alias("rating"), n.cast("int").alias("votes")))
+    return F.coalesce(F.map_from_entries(F.filter(rating, lambda r: r["votes"] > 0)),
+                      F.from_json(F.lit("{}"), "map<string,int>"))
 
 
 def ratings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(route_id, rating, votes): one vote per line item, pre-counted per
-    (part, line number) before the part's grade is joined."""
-    counted = (table(spark, sf_dir, "lineitem")
-               .groupBy("l_partkey", "l_linenumber").agg(F.count("*").alias("n")))
-    part = table(spark, sf_dir, "part").select("p_partkey", _grade_ix().alias("grade_ix"))
-    j = counted.join(part, F.col("l_partkey") == F.col("p_partkey"))
-    rating = pick(GRADE_PICK, (F.col("grade_ix") + F.col("l_linenumber") - 4 + 24) % 24)
-    return (j.groupBy(F.col("p_partkey").cast("string").alias("route_id"), rating.alias("rating"))
-            .agg(F.sum("n").cast("bigint").alias("votes")))
+    """(route_id, rating, votes): one vote per line item."""
+    return rating_maps(spark, sf_dir).select(
+        "route_id", F.explode("route_suggested_ratings").alias("rating", "votes")).withColumn(
+        "votes", F.col("votes").cast("bigint"))
 
 
 def rating_maps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Histogram per route; a route has at most one entry per known grade."""
-    return ratings(spark, sf_dir).groupBy("route_id").agg(
-        F.map_from_entries(F.array_sort(F.collect_list(
-            F.struct("rating", F.col("votes").cast("int"))))).alias("route_suggested_ratings"))
+    """Histogram per route; at most one entry per known grade."""
+    part = table(spark, sf_dir, "part").select(F.col("p_partkey"), "p_size")
+    return part.join(facts(spark, sf_dir, True), F.col("p_partkey") == F.col("k")).select(
+        F.col("p_partkey").cast("string").alias("route_id"), _histogram().alias("route_suggested_ratings"))
 
 
 def routes(spark: SparkSession, sf_dir: str, with_votes: bool = True,
@@ -137,7 +151,14 @@ def routes(spark: SparkSession, sf_dir: str, with_votes: bool = True,
     k, z = F.col("p_partkey"), F.col("p_size")
     meters = F.when(k % 9 != 0, F.lit(12) + z % 35).cast("int")
     month = pick(list(fixed.MONTHS), k % 13)
-    out = table(spark, sf_dir, "part").select(
+    out = table(spark, sf_dir, "part")
+    extra = []
+    if with_votes or with_ratings:
+        out = out.join(facts(spark, sf_dir, with_ratings), k == F.col("k"), "left")
+        extra += [F.coalesce("route_votes", F.lit(0)).alias("route_votes"),
+                  F.coalesce("route_stars", F.lit(0.0)).alias("route_stars")]
+        extra += [_histogram().alias("route_suggested_ratings")] if with_ratings else []
+    out = out.select(
         k.alias("k"), k.alias("route_ord"), (k % n_sup).alias("area_ord"),
         k.cast("string").alias("route_id"),
         F.concat(F.col("p_name"), F.lit(" "), k,
@@ -159,15 +180,8 @@ def routes(spark: SparkSession, sf_dir: str, with_votes: bool = True,
             F.concat(month, F.lit(", "), (F.lit(2018) + z % 7).cast("string"))).alias("route_shared_on"),
         F.when(k % 97 == 0, "missing").otherwise(
             F.concat(F.lit("a"), (k % n_sup).cast("string"))).alias("area_id"),
+        *extra,
     )
-    if with_votes:
-        out = (out.join(votes(spark, sf_dir), "k", "left")
-               .withColumn("route_votes", F.coalesce("route_votes", F.lit(0)))
-               .withColumn("route_stars", F.coalesce("route_stars", F.lit(0.0))))
-    if with_ratings:
-        out = out.join(rating_maps(spark, sf_dir), "route_id", "left").withColumn(
-            "route_suggested_ratings",
-            F.coalesce("route_suggested_ratings", F.from_json(F.lit("{}"), "map<string,int>")))
     if with_text:
         n_doc = size(spark, sf_dir, "documents")
         docs = table(spark, sf_dir, "documents").select(
