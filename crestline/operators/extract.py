@@ -9,7 +9,7 @@ from crestline import fixed
 from crestline.functions.arrays import or_empty
 from crestline.functions.text import slug, slug_to_title, strip
 from crestline.schemas import COMMENTS, HIERARCHY
-from crestline.sources.html import first, following, has_class, inside, joined, select, with_elements
+from crestline.sources.html import bind, first, following, has_class, inside, joined, select, with_elements
 
 MISSING = "N/A"  # text of a field the page does not have
 
@@ -78,11 +78,12 @@ def leaf_flags(pages_with_els: DataFrame) -> DataFrame:
 
 def _detail_value(label: str, pattern: str) -> Column:
     """Value of the last detail row labelled ``label`` whose second cell has the pattern."""
-    tables = select(els(), lambda e: (e["tag"] == "table") & has_class(e, "description-details"))
-    rows = F.flatten(F.transform(tables, lambda t: inside(els(), t, tag_is("tr"))))
-    cells = F.transform(rows, lambda r: inside(els(), r, tag_is("td")))
-    labelled = F.filter(cells, lambda c: contains(joined(first(c)), label))
-    values = F.transform(labelled, lambda c: joined(F.get(c, F.lit(1)), " "))
+    tables = F.transform(select(els(), lambda e: (e["tag"] == "table") & has_class(e, "description-details")),
+                         lambda t: t["start"])
+    cells = bind(tables, lambda ts: select(els(), lambda e: (e["tag"] == "td") & F.array_contains(ts, e["table"])))
+    values = bind(cells, lambda cs: F.transform(
+        F.filter(cs, lambda c: (c["nth"] == 0) & contains(joined(c), label)),
+        lambda h: joined(first(F.filter(cs, lambda c: (c["row"] == h["row"]) & (c["nth"] == 1))), " ")))
     return F.try_element_at(F.filter(values, lambda v: v.rlike(pattern)), F.lit(-1))
 
 
@@ -125,8 +126,8 @@ def grade() -> Column:
 
 def protection_grading() -> Column:
     """Loose text of the heading that holds the grade."""
-    g = _grade_element()
-    heads = F.filter(els(), lambda e: (e["tag"] == "h2") & (e["start"] < g["start"]) & (e["end"] > g["start"]))
+    heads = bind(_grade_element(), lambda g: F.filter(
+        els(), lambda e: (e["tag"] == "h2") & (e["start"] < g["start"]) & (e["end"] > g["start"])))
     return F.coalesce(F.array_join(F.try_element_at(heads, F.lit(-1))["own"], " "), F.lit(""))
 
 
@@ -144,19 +145,21 @@ def votes() -> Column:
 
 def type_line(text: Column) -> Column:
     """struct(type, pitches, ft, meter) of a ``Type:`` value; null text = N/A, 1 pitch."""
-    items = F.transform(F.split(text, ",", -1), strip)
     pitch, length = r"(?i)(\d+)\s*pitches?", r"(?i)\d+\s*ft"
-    pitch_items = F.filter(items, lambda i: i.rlike(pitch))
-    rest = F.filter(items, lambda i: ~i.rlike(pitch))
-    last_length = F.try_element_at(F.filter(rest, lambda i: i.rlike(length)), F.lit(-1))
-    kind = F.array_join(F.filter(rest, lambda i: ~i.rlike(length)), ", ")
     full = r"(\d+)\s*ft\s*\((\d+)\s*m\)"
-    n = F.regexp_extract(F.try_element_at(pitch_items, F.lit(-1)), pitch, 1).try_cast("int")
-    return F.struct(
-        F.when(text.isNotNull(), kind).otherwise(MISSING).alias("type"),
-        F.coalesce(n, F.lit(1)).alias("pitches"),
-        F.regexp_extract(last_length, full, 1).try_cast("int").alias("ft"),
-        F.regexp_extract(last_length, full, 2).try_cast("int").alias("meter"))
+
+    def parse(items: Column) -> Column:
+        rest = F.filter(items, lambda i: ~i.rlike(pitch))
+        last_pitch = F.try_element_at(F.filter(items, lambda i: i.rlike(pitch)), F.lit(-1))
+        last_length = F.try_element_at(F.filter(rest, lambda i: i.rlike(length)), F.lit(-1))
+        kind = F.array_join(F.filter(rest, lambda i: ~i.rlike(length)), ", ")
+        return F.struct(
+            F.coalesce(kind, F.lit(MISSING)).alias("type"),
+            F.coalesce(F.regexp_extract(last_pitch, pitch, 1).try_cast("int"), F.lit(1)).alias("pitches"),
+            F.regexp_extract(last_length, full, 1).try_cast("int").alias("ft"),
+            F.regexp_extract(last_length, full, 2).try_cast("int").alias("meter"))
+
+    return bind(F.transform(F.split(text, ",", -1), lambda i: strip(i)), parse)
 
 
 def first_ascent() -> Column:
@@ -186,19 +189,34 @@ def section(*titles: str) -> Column:
 def comments() -> Column:
     """Author, text and time of each comment table."""
     box = first(select(els(), lambda e: (e["tag"] == "div") & has_class(e, "comment-list")))
-    tables = inside(els(), box, lambda e: (e["tag"] == "table") & has_class(e, "main-comment"))
+    inner = inside(els(), box, lambda e: e["tag"].isin("table", "div", "span", "a"))
 
-    def one(t: Column) -> Column:
-        bio = first(inside(els(), t, lambda e: (e["tag"] == "div") & has_class(e, "bio")))
-        user = first(inside(els(), bio, lambda e: (e["tag"] == "a") & contains(e["href"], "/user/")))
-        body = first(inside(els(), t, lambda e: (e["tag"] == "div") & has_class(e, "comment-body")))
-        when = first(inside(els(), t, lambda e: (e["tag"] == "span") & has_class(e, "comment-time")))
-        return F.struct(
-            F.coalesce(strip(user["raw"]), F.lit(MISSING)).alias("comment_author"),
-            F.coalesce(joined(body, " "), F.lit(MISSING)).alias("comment_text"),
-            F.coalesce(joined(when, " "), F.lit(MISSING)).alias("comment_time"))
+    def by_table(found: Column, text) -> Column:
+        """Map from table start to the text of the first such element in it."""
+        return F.map_from_entries(F.transform(
+            F.filter(found, lambda e: e["nth"] == 0), lambda e: F.struct(e["table"], text(e))))
+
+    def build(parts: Column) -> Column:
+        tables = F.filter(parts, lambda e: (e["tag"] == "table") & has_class(e, "main-comment"))
+        users = F.filter(parts, lambda e: (e["tag"] == "a") & contains(e["href"], "/user/"))
 
-    return F.coalesce(F.transform(tables, one), F.array().cast(COMMENTS))
+        def named(tag: str, cls: str) -> Column:
+            return F.filter(parts, lambda e: (e["tag"] == tag) & F.coalesce(e["cls"] == cls, F.lit(False)))
+
+        authors = bind(users, lambda us: by_table(named("div", "bio"), lambda b: strip(first(F.filter(
+            us, lambda a: (a["start"] > b["start"]) & (a["start"] < b["end"])))["raw"])))
+        texts = by_table(named("div", "comment-body"), lambda e: joined(e, " "))
+        times = by_table(named("span", "comment-time"), lambda e: joined(e, " "))
+
+        def value(m: Column, t: Column) -> Column:
+            return F.coalesce(F.try_element_at(m, t["start"]), F.lit(MISSING))
+
+        maps = F.struct(authors.alias("authors"), texts.alias("texts"), times.alias("times"))
+        return bind(maps, lambda m: F.transform(tables, lambda t: F.struct(
+            value(m["authors"], t).alias("comment_author"), value(m["texts"], t).alias("comment_text"),
+            value(m["times"], t).alias("comment_time"))))
+
+    return F.coalesce(bind(inner, build), F.array().cast(COMMENTS))
 
 
 def _second_cells(heading: str, sep: str) -> Column:
@@ -206,17 +224,17 @@ def _second_cells(heading: str, sep: str) -> Column:
     h3 = first(select(els(), lambda e: (e["tag"] == "h3") & joined(e).startswith(heading)))
     table = following(els(), h3, lambda e: (e["tag"] == "table") & F.coalesce(
         e["cls"] == "table table-striped", F.lit(False)))
-    rows = F.transform(inside(els(), table, tag_is("tr")), lambda r: inside(els(), r, tag_is("td")))
-    return F.transform(F.filter(rows, lambda c: F.size(c) >= 2),
-                       lambda c: joined(F.get(c, F.lit(1)), sep))
+    cells = bind(table, lambda t: select(
+        els(), lambda e: (e["tag"] == "td") & (e["table"] == t["start"]) & (e["nth"] == 1)))
+    return F.transform(cells, lambda c: joined(c, sep))
 
 
 def suggested_ratings() -> Column:
     """Histogram of the rating cells; blank cells and cells starting with a dot skip."""
     cells = F.filter(_second_cells("Suggested Ratings", ""), lambda r: (r != "") & ~r.startswith("·"))
-    entries = F.transform(F.array_distinct(cells), lambda r: F.struct(
-        r, F.size(F.filter(cells, lambda x: x == r))))
-    return F.coalesce(F.map_from_entries(entries), F.from_json(F.lit("{}"), "map<string,int>"))
+    counted = bind(cells, lambda c: F.transform(F.array_distinct(c), lambda r: F.struct(
+        r, F.size(F.filter(c, lambda x: x == r)))))
+    return F.coalesce(F.map_from_entries(counted), F.from_json(F.lit("{}"), "map<string,int>"))
 
 
 def clean_tick(text: Column) -> Column:
@@ -254,11 +272,13 @@ def hierarchy() -> Column:
                         F.when(from_url, slug_to_title(a["href"])).otherwise(raw).alias("area_hierarchy_name"),
                         a["href"].alias("area_hierarchy_url"))
 
-    here = F.struct((F.size(links) + 1).alias("level"),
-                    slug_to_title(F.col("url")).alias("area_hierarchy_name"),
-                    F.col("url").alias("area_hierarchy_url"))
-    return F.when(box.isNotNull(), F.concat(F.transform(links, crumb), F.array(here))) \
-        .otherwise(F.array().cast(HIERARCHY))
+    def here(n: Column) -> Column:
+        return F.struct((n + 1).alias("level"), slug_to_title(F.col("url")).alias("area_hierarchy_name"),
+                        F.col("url").alias("area_hierarchy_url"))
+
+    return F.when(box.isNotNull(), bind(links, lambda ls: F.concat(
+        F.transform(ls, lambda a, i: crumb(a, i)), F.array(here(F.size(ls)))))).otherwise(
+        F.array().cast(HIERARCHY))
 
 
 def gps() -> Column:
@@ -284,16 +304,14 @@ def area_records(pages_with_els: DataFrame) -> DataFrame:
 
 def route_list(pages_with_els: DataFrame) -> DataFrame:
     """Rows of the route table, in list order (route_pos)."""
-    rows = F.transform(inside(els(), route_table(), tag_is("tr")), lambda r: F.struct(
-        r["lr"].alias("lr"), first(inside(els(), r, tag_is("a"))).alias("a")))
-    listed = F.filter(rows, lambda r: r["a"].isNotNull())
+    links = bind(route_table(), lambda t: select(
+        els(), lambda e: (e["tag"] == "a") & (e["table"] == t["start"]) & (e["nth"] == 0)))
     return pages_with_els.select(
-        F.md5("url").alias("area_id"), F.col("url").alias("area_url"),
-        F.posexplode(listed).alias("route_pos", "r"),
+        F.md5("url").alias("area_id"), F.col("url").alias("area_url"), F.posexplode(links).alias("route_pos", "a"),
     ).select(
-        "area_id", "area_url", "route_pos", joined(F.col("r.a")).alias("route_name"),
-        absolute(F.col("r.a.href"), F.col("area_url")).alias("route_url"),
-        F.coalesce(F.col("r.lr").try_cast("int"), F.lit(0)).alias("route_lr"))
+        "area_id", "area_url", "route_pos", joined(F.col("a")).alias("route_name"),
+        absolute(F.col("a.href"), F.col("area_url")).alias("route_url"),
+        F.coalesce(F.col("a.lr").try_cast("int"), F.lit(0)).alias("route_lr"))
 
 
 def route_details(pages_with_els: DataFrame) -> DataFrame:
@@ -333,8 +351,9 @@ def nest(areas: DataFrame, routes: DataFrame, per_row: int = 1000) -> DataFrame:
     so no group grows with the data. Reading back explodes all parts."""
     fields = [c for c in routes.columns if c not in ("area_id", "area_url", "route_pos")]
     packed = routes.withColumn("part", F.floor(F.col("route_pos") / per_row).cast("int")) \
-        .groupBy("area_id", "part").agg(F.array_sort(F.collect_list(
-            F.struct("route_pos", *fields))).alias("_r"))
+        .groupBy("area_id", "part").agg(F.array_sort(
+            F.collect_list(F.struct("route_pos", *fields)),
+            lambda a, b: a["route_pos"] - b["route_pos"]).alias("_r"))
     # an area whose routes were all cut still needs part 0
     packed = packed.withColumn("routes", F.transform("_r", lambda r: F.struct(
         *[r[f].alias(f) for f in fields]))).drop("_r")

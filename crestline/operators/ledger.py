@@ -34,12 +34,16 @@ def latest_fetch(fetches: DataFrame) -> DataFrame:
     return last_wins(fetches, ["url", "data_type"], ["fetched_at", "fetch_id"])
 
 
+def _micros(ts: Column) -> Column:
+    return F.unix_micros(ts.cast("timestamp"))
+
+
 def is_fresh(fetched_at: Column, now: Column, days: int = fixed.FRESH_DAYS,
              no_cache: bool = False) -> Column:
     """At most ``days`` whole days old; ``no_cache`` accepts nothing."""
     if no_cache:
         return F.lit(False)
-    return F.floor((F.unix_micros(now) - F.unix_micros(fetched_at)) / F.lit(86400 * 10**6)) <= days
+    return F.floor((_micros(now) - _micros(fetched_at)) / F.lit(86400 * 10**6)) <= days
 
 
 def cache_key(url: Column) -> Column:

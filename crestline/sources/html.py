@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 ELEMENT = ("struct<tag:string,start:int,end:int,id:string,cls:string,href:string,target:string,"
-           "lr:string,raw:string,texts:array<string>,own:array<string>>")
+           "lr:string,table:int,row:int,nth:int,raw:string,texts:array<string>,own:array<string>>")
 ELEMENTS = f"array<{ELEMENT}>"
 
 _TOKEN = re.compile(
@@ -32,11 +32,18 @@ _VOID = {"br", "img", "hr", "input", "meta", "link", "wbr", "source", "area", "b
 
 def page_elements(page: str) -> list[dict]:
     """Kept elements in document order with their stripped text pieces; ``own``
-    holds the pieces directly below the element."""
+    holds the pieces directly below the element. ``table`` and ``row`` are the
+    starts of the enclosing table and row, ``nth`` counts equal tags in the row
+    (cells, links) or equal tags and classes in the table; links carry the
+    ``data-lr`` of their row. With these, lookups stay linear in page size."""
     out: list[dict] = []
+    seen: dict[tuple, int] = {}
     stack: list[tuple[str, dict | None]] = []
     at = 0
 
+    def enclosing(tag: str) -> dict | None:
+        return next((el for name, el in reversed(stack) if name == tag), None)
+
     def close(i: int, end: int) -> None:
         for _, el in stack[i:]:
             if el is not None:
@@ -77,6 +84,14 @@ def page_elements(page: str) -> list[dict]:
             el = {"tag": tag, "start": m.start(), "end": len(page), "id": a.get("id"),
                   "cls": a.get("class"), "href": a.get("href"), "target": a.get("target"),
                   "lr": a.get("data-lr"), "raw": "" if tag in _RAW else None, "texts": [], "own": []}
+            table, row = enclosing("table"), enclosing("tr")
+            el["table"], el["row"] = table and table["start"], row and row["start"]
+            if tag in ("td", "a"):
+                place = (el["row"], tag)
+                el["lr"] = row and row["lr"] if tag == "a" else el["lr"]
+            else:
+                place = (el["table"], tag, el["cls"])
+            el["nth"] = seen[place] = seen.get(place, -1) + 1
             out.append(el)
         if not attrs.rstrip().endswith("/"):
             stack.append((tag, el))
@@ -118,14 +133,20 @@ def first(arr: Column) -> Column:
     return F.get(arr, F.lit(0))
 
 
+def bind(value: Column, fn) -> Column:
+    """``fn(value)`` with the value computed once, however often ``fn`` uses it."""
+    return F.get(F.transform(F.array(value), lambda v: fn(v)), F.lit(0))
+
+
 def inside(els: Column, outer: Column, cond) -> Column:
     """Elements strictly below ``outer`` that satisfy ``cond``."""
-    return F.filter(els, lambda e: (e["start"] > outer["start"]) & (e["start"] < outer["end"]) & cond(e))
+    return bind(outer, lambda o: F.filter(
+        els, lambda e: (e["start"] > o["start"]) & (e["start"] < o["end"]) & cond(e)))
 
 
 def following(els: Column, anchor: Column, cond) -> Column:
     """First element behind the start of ``anchor`` that satisfies ``cond``."""
-    return first(F.filter(els, lambda e: (e["start"] > anchor["start"]) & cond(e)))
+    return bind(anchor, lambda a: first(F.filter(els, lambda e: (e["start"] > a["start"]) & cond(e))))
 
 
 def has_class(e: Column, *classes: str) -> Column:

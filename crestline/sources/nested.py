@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.errors import AnalysisException
@@ -56,7 +57,13 @@ def read_manifest(spark: SparkSession, path: str) -> list[str]:
     return [r[0] for r in names.collect()]
 
 
-def scan_manifest(spark: SparkSession, manifest: str, base: str) -> tuple[DataFrame, list[str]]:
+def readable(nested: DataFrame) -> DataFrame:
+    """Records that parsed; a record with an id survives a bad field."""
+    return nested.filter(F.col("corrupt").isNull() | F.col("area_id").isNotNull())
+
+
+def scan_manifest(spark: SparkSession, manifest: str, base: str,
+                  multi_line: bool = True) -> tuple[DataFrame, list[str]]:
     """Union of the listed files and the names that were skipped. Unreadable
     files are skipped; no file at all is an error."""
     names = read_manifest(spark, manifest)
@@ -68,9 +75,10 @@ def scan_manifest(spark: SparkSession, manifest: str, base: str) -> tuple[DataFr
         raise NoDataError("none of the listed files exists")
     order = F.create_map(*[x for i, p in enumerate(found)
                            for x in (F.lit(p.rsplit("/", 1)[-1]), F.lit(i))])
-    df = read_nested(spark, found).filter(F.col("corrupt").isNull())
-    df = df.withColumn("file_ord", F.try_element_at(order, F.substring_index("file_path", "/", -1)))
-    if df.isEmpty():
+    df = readable(read_nested(spark, found, multi_line))
+    listed = F.regexp_extract("file_path", "(" + "|".join(re.escape(p.rsplit("/", 1)[-1]) for p in found) + ")", 1)
+    df = df.withColumn("file_ord", F.try_element_at(order, listed))
+    if not df.take(1):
         raise NoDataError("no areas could be loaded")
     return df, [n for p, n in wanted.items() if p not in found]
 
@@ -92,13 +100,13 @@ def scan_states(spark: SparkSession, folder: str, suffix: str = "_routes_tagged.
     return df.withColumn("state", F.replace(name, F.lit(suffix), F.lit("")))
 
 
-def snapshot_or_empty(spark: SparkSession, path: str) -> DataFrame:
+def snapshot_or_empty(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
     """Earlier nested snapshot; missing or broken files count as empty."""
     try:
-        df = read_nested(spark, path)
+        df = read_nested(spark, path, multi_line)
     except AnalysisException:
         return spark.createDataFrame([], schemas.NESTED_AREA)
-    return df.filter(F.col("corrupt").isNull())
+    return readable(df)
 
 
 def flatten_nested(nested: DataFrame) -> tuple[DataFrame, DataFrame]:
