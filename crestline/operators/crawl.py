@@ -12,21 +12,35 @@ from crestline.session import cut_lineage
 COMPACT_EVERY = 8
 
 
-def reachable(edges: DataFrame, start: DataFrame, stop: DataFrame | None = None) -> DataFrame:
-    """URLs reachable from ``start`` with the wave that found them.
-
-    Breadth-first waves; links may be cyclic. Pages in ``stop`` (leaves) are
-    reached but not left. Each wave is written to the shared folder, so a lost
-    executor restarts one wave, and visited parts are compacted now and then.
-    Edges stay on the left of each join: a page that holds a large share of all
-    links is split by adaptive execution.
+def reachable(edges: DataFrame, start: DataFrame) -> DataFrame:
+    """URLs reachable from ``start`` over (src_url, dst_url), with the wave that
+    found each."""
+    return _waves(cut_lineage(edges.select("src_url", "dst_url")), start, None)
+
+
+def discover_leaves(graph: DataFrame, start: DataFrame) -> DataFrame:
+    """Leaf pages reachable from ``start``. ``graph`` = (url, is_leaf, links);
+    pages are read once, later waves use the narrow graph. Leaves are not left."""
+    graph = cut_lineage(graph.select("url", "is_leaf", "links"))
+    leaves = graph.filter("is_leaf").select("url")
+    edges = graph.filter("NOT is_leaf").select(
+        F.col("url").alias("src_url"), F.explode("links").alias("dst_url"))
+    return _waves(edges, start, leaves).join(leaves, "url", "left_semi").select("url", "wave")
+
+
+def _waves(edges: DataFrame, start: DataFrame, stop: DataFrame | None) -> DataFrame:
+    """Breadth-first waves; links may be cyclic.
+
+    Each wave is written to the shared folder, so a lost executor restarts one
+    wave, and visited parts are compacted now and then. Edges stay on the left
+    of each join: a page that holds a large share of all links is split by
+    adaptive execution.
     """
-    edges = cut_lineage(edges.select("src_url", "dst_url"))
     wave = cut_lineage(start.select("url").distinct().withColumn("wave", F.lit(0)))
     seen, n = [wave], 0
     while True:
         n += 1
-        front = wave if stop is None else wave.join(stop.select("url"), "url", "left_anti")
+        front = wave if stop is None else wave.join(stop, "url", "left_anti")
         visited = reduce(DataFrame.unionByName, seen)
         found = (
             edges.join(front.select(F.col("url").alias("src_url")), "src_url", "left_semi")
@@ -40,9 +54,3 @@ def reachable(edges: DataFrame, start: DataFrame, stop: DataFrame | None = None)
         seen.append(wave)
         if len(seen) > COMPACT_EVERY:
             seen = [cut_lineage(reduce(DataFrame.unionByName, seen))]
-
-
-def discover_leaves(edges: DataFrame, flags: DataFrame, start: DataFrame) -> DataFrame:
-    """Leaf pages (``is_leaf``) reachable from ``start``."""
-    leaves = flags.filter("is_leaf").select("url")
-    return reachable(edges, start, leaves).join(leaves, "url", "left_semi").select("url", "wave")

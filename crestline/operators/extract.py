@@ -67,6 +67,13 @@ def page_links(pages_with_els: DataFrame) -> DataFrame:
         .select("src_url", absolute(F.col("href"), F.col("src_url")).alias("dst_url")).distinct()
 
 
+def page_graph(pages_with_els: DataFrame) -> DataFrame:
+    """(url, is_leaf, links) in one pass over the pages."""
+    links = F.transform(nav_links(), lambda h: absolute(h, F.col("url")))
+    return pages_with_els.select(
+        "url", (has_route_links() & (F.size(links) == 0)).alias("is_leaf"), F.array_distinct(links).alias("links"))
+
+
 def leaf_flags(pages_with_els: DataFrame) -> DataFrame:
     """Leaf = lists routes and has no child areas."""
     return pages_with_els.select(
@@ -362,4 +369,4 @@ def nest(areas: DataFrame, routes: DataFrame, per_row: int = 1000) -> DataFrame:
 
 
 __all__ = ["with_elements", "area_records", "route_list", "route_details", "route_stats",
-           "routes_of_areas", "nest", "page_links", "leaf_flags"]
+           "routes_of_areas", "nest", "page_links", "page_graph", "leaf_flags"]

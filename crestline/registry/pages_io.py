@@ -106,13 +106,13 @@ def _start(spark, pages):
     SELECT {_url("s")} AS url, wave FROM walk, n WHERE s * 10 + 1 >= ns""")
 def _(spark, sf):
     els = _area_els(spark, sf)
-    return crawl.discover_leaves(extract.page_links(els), extract.leaf_flags(els), _start(spark, els))
+    return crawl.discover_leaves(extract.page_graph(els), _start(spark, m.site_area_pages(spark, sf)))
 
 
 @query("site_reachable", f"SELECT {_url('s_suppkey')} AS url FROM supplier")
 def _(spark, sf):
     els = _area_els(spark, sf)
-    return crawl.reachable(extract.page_links(els), _start(spark, els)).select("url")
+    return crawl.reachable(extract.page_links(els), _start(spark, m.site_area_pages(spark, sf))).select("url")
 
 
 @query("site_area_records", f"""SELECT md5({_url("s_suppkey")}) AS area_id, 'crag-' || s_suppkey AS area_name,

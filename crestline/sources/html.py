@@ -11,7 +11,7 @@ import html as _html
 import re
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -99,6 +99,13 @@ def page_elements(page: str) -> list[dict]:
     return out
 
 
+_FIELDS = [(n, pa.int32() if n in ("start", "end", "table", "row", "nth") else
+            pa.list_(pa.string()) if n in ("texts", "own") else pa.string())
+           for n in ("tag", "start", "end", "id", "cls", "href", "target", "lr", "table", "row", "nth",
+                     "raw", "texts", "own")]
+_ARROW = pa.list_(pa.struct(_FIELDS))
+
+
 def with_elements(pages: DataFrame, html_col: str = "html") -> DataFrame:
     """Replace the HTML text by the array ``els``. A page that cannot be read
     gets null elements and the message in ``error``."""
@@ -107,20 +114,21 @@ def with_elements(pages: DataFrame, html_col: str = "html") -> DataFrame:
         [f"`{f.name}` {f.dataType.simpleString()}" for f in pages.schema if f.name in keep]
         + [f"els {ELEMENTS}", "error string"])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
             els, errors = [], []
-            for page in pdf[html_col]:
+            for page in batch.column(html_col).to_pylist():
                 try:
                     els.append(page_elements(page))
                     errors.append(None)
                 except Exception as exc:  # one bad page must not stop the others
                     els.append(None)
                     errors.append(f"{type(exc).__name__}: {exc}")
-            yield pdf[keep].assign(els=pd.Series(els, index=pdf.index, dtype=object),
-                                   error=pd.Series(errors, index=pdf.index, dtype=object))
+            yield pa.RecordBatch.from_arrays(
+                [*[batch.column(c) for c in keep], pa.array(els, _ARROW), pa.array(errors, pa.string())],
+                names=[*keep, "els", "error"])
 
-    return pages.select(*keep, html_col).mapInPandas(run, schema)
+    return pages.select(*keep, html_col).mapInArrow(run, schema)
 
 
 # --- selectors -----------------------------------------------------------------

@@ -76,7 +76,8 @@ def scan_manifest(spark: SparkSession, manifest: str, base: str,
     order = F.create_map(*[x for i, p in enumerate(found)
                            for x in (F.lit(p.rsplit("/", 1)[-1]), F.lit(i))])
     df = readable(read_nested(spark, found, multi_line))
-    listed = F.regexp_extract("file_path", "(" + "|".join(re.escape(p.rsplit("/", 1)[-1]) for p in found) + ")", 1)
+    listed = F.regexp_extract(
+        "file_path", "/(" + "|".join(re.escape(p.rsplit("/", 1)[-1]) for p in found) + ")(?:/|$)", 1)
     df = df.withColumn("file_ord", F.try_element_at(order, listed))
     if not df.take(1):
         raise NoDataError("no areas could be loaded")
