@@ -142,10 +142,10 @@ def inherit_tags(routes: DataFrame, areas: DataFrame,
     Routes stay on the left, so adaptive execution splits an area that owns a
     large share of them; only areas that have such tags take part.
     """
-    for i, category in enumerate(categories):
-        given = areas.select("area_id", tags_in(F.col("area_tags"), category).alias("_area")) \
+    for category in categories:
+        given = areas.select("area_id", "area_ord", tags_in(F.col("area_tags"), category).alias("_area")) \
             .filter(F.size("_area") > 0)
-        given = first_wins(given.withColumn("_o", F.lit(0)), ["area_id"], ["_o"]).drop("_o")
+        given = first_wins(given, ["area_id"], ["area_ord"]).drop("area_ord")
         routes = routes.join(given, "area_id", "left").withColumn(
             "route_tags", T.with_category(F.col("route_tags"), category, or_empty(F.col("_area")))
         ).drop("_area")
@@ -260,6 +260,6 @@ def split_decision(requests: DataFrame, input_name: str = "", force_names=("cali
 
 def split_batches(requests: DataFrame) -> DataFrame:
     """First floor(2n/5) requests in order are batch 1, the rest batch 2."""
-    n = requests.count()
-    numbered = global_row_number(requests, ["kind", "area_ord", "route_ord"], "request_no")
-    return numbered.withColumn("batch_no", F.when(F.col("request_no") <= n * 2 // 5, 1).otherwise(2))
+    numbered = global_row_number(requests, ["kind", "area_ord", "route_ord"], "request_no", total="_all")
+    cut = F.floor(F.col("_all") * 2 / 5)
+    return numbered.withColumn("batch_no", F.when(F.col("request_no") <= cut, 1).otherwise(2)).drop("_all")

@@ -361,11 +361,14 @@ def nest(areas: DataFrame, routes: DataFrame, per_row: int = 1000) -> DataFrame:
         .groupBy("area_id", "part").agg(F.array_sort(
             F.collect_list(F.struct("route_pos", *fields)),
             lambda a, b: a["route_pos"] - b["route_pos"]).alias("_r"))
-    # an area whose routes were all cut still needs part 0
     packed = packed.withColumn("routes", F.transform("_r", lambda r: F.struct(
         *[r[f].alias(f) for f in fields]))).drop("_r")
-    return areas.join(packed, "area_id", "left").withColumn("part", F.coalesce("part", F.lit(0))) \
-        .withColumn("routes", F.coalesce("routes", F.array().cast(packed.schema["routes"].dataType)))
+    # parts are the left side: those of one crowded area may be split; areas
+    # without routes follow with an empty list
+    bare = areas.join(routes.select("area_id").distinct(), "area_id", "left_anti")
+    empty = F.array().cast(packed.schema["routes"].dataType)
+    return packed.join(areas, "area_id").unionByName(
+        bare.withColumn("part", F.lit(0)).withColumn("routes", empty))
 
 
 __all__ = ["with_elements", "area_records", "route_list", "route_details", "route_stats",

@@ -84,11 +84,11 @@ def grade_bounds(rank: Column, low: str, high: str) -> Column:
     return all_of(conds)
 
 
-def listing_predicate(f: ListingFilter, strict: bool = False) -> Column:
+def listing_predicate(f: ListingFilter, strict: bool = False, rank: Column | None = None) -> Column:
     """Exclusion, grade, type and tag filter. An unrankable grade passes the
-    last three unless ``strict``."""
+    last three unless ``strict``. Tables that store the web rank pass it as ``rank``."""
     c = F.col
-    rank = grade_web_rank(c("route_grade"))
+    rank = grade_web_rank(c("route_grade")) if rank is None else rank
     rest = grade_bounds(rank, f.grade_min, f.grade_max) & type_match(c("route_type"), f.types) \
         & tag_match(c("route_tags"), f.tags)
     return ~excluded_type(c("route_type")) & (rest if strict else ((rank == -1) | rest))

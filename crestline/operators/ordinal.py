@@ -4,34 +4,36 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from crestline.session import cut_lineage
 
 
-def global_row_number(df: DataFrame, order: Sequence[str], name: str = "row_no") -> DataFrame:
-    """1-based position in the total order of the columns ``order``.
+_ROW_BITS = 33  # monotonically_increasing_id = partition number << 33 | row in partition
 
-    Rows are range partitioned once and written out, so range bounds are fixed.
-    Each range is numbered on its own; the sum of the earlier ranges' counts
-    (one row per range) is then added. The order must be total, which keeps the
-    ranges balanced whatever the skew of other columns.
+
+def global_row_number(df: DataFrame, order: Sequence[str], name: str = "row_no",
+                      total: str | None = None) -> DataFrame:
+    """1-based position in the total order of the columns ``order``; with
+    ``total`` also the number of rows.
+
+    Rows are range partitioned and sorted once, numbered inside their range and
+    written out, so range bounds are fixed. The counts of the earlier ranges
+    (one row per range) are then added; there is no second shuffle. The order
+    must be total, which keeps ranges balanced whatever the skew of other columns.
     """
-    parts = cut_lineage(df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()))
+    sorted_parts = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    row_id = F.monotonically_increasing_id()
+    parts = cut_lineage(sorted_parts.withColumn("_id", row_id)).withColumn(
+        "_range", F.shiftright("_id", _ROW_BITS))
     # one row per range: bounded by the number of shuffle partitions
     before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (parts.groupBy("_range").agg(F.count("*").alias("_n"))
-               .select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before")))
-    within = Window.partitionBy("_range").orderBy(*order)
-    return (parts.withColumn("_pos", F.row_number().over(within))
-            .join(F.broadcast(offsets), "_range")
-            .withColumn(name, F.col("_before") + F.col("_pos"))
-            .drop("_range", "_pos", "_before"))
-
-
-def file_order(prefix: str | None = None) -> Column:
-    """Order of a row inside the files of one scan: (block start, row in block).
-    Row ids grow inside a block, and blocks of one file are ordered by start."""
-    return F.struct(F.col("_metadata.file_block_start").alias("block"),
-                    F.monotonically_increasing_id().alias("row"))
+    offsets = parts.groupBy("_range").agg(F.count("*").alias("_n")).select(
+        "_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"),
+        F.sum("_n").over(Window.partitionBy()).alias("_total"))
+    position = F.col("_before") + F.col("_id") - F.shiftleft("_range", _ROW_BITS) + 1
+    out = parts.join(F.broadcast(offsets), "_range").withColumn(name, position)
+    if total:
+        out = out.withColumn(total, F.col("_total"))
+    return out.drop("_range", "_id", "_before", "_total")

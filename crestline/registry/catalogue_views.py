@@ -424,9 +424,10 @@ def _(spark, sf):
         "area_id", joined(F.col("matches"), "|").alias("matches"))
 
 
-@query("search_area_fallback", "SELECT area_id FROM areas WHERE false")
+@query("search_area_fallback", f"""SELECT area_id FROM (SELECT *, {_doc_score("america")} AS score FROM area_docs)
+    WHERE score > 0 ORDER BY score DESC, area_name, area_id LIMIT 15""")
 def _(spark, sf):
-    return search.search_areas_or_names(area_docs(spark, sf), "zzyzx").select("area_id")
+    return search.search_areas_or_names(area_docs(spark, sf), "america").select("area_id")
 
 
 _WORDS = "contains(searchable_text, 'widget') AND contains(searchable_text, 'sport')"

@@ -99,6 +99,7 @@ def page_elements(page: str) -> list[dict]:
     return out
 
 
+PAGES_PER_BATCH = 64  # pages whose elements are held in memory at a time
 _FIELDS = [(n, pa.int32() if n in ("start", "end", "table", "row", "nth") else
             pa.list_(pa.string()) if n in ("texts", "own") else pa.string())
            for n in ("tag", "start", "end", "id", "cls", "href", "target", "lr", "table", "row", "nth",
@@ -115,7 +116,7 @@ def with_elements(pages: DataFrame, html_col: str = "html") -> DataFrame:
         + [f"els {ELEMENTS}", "error string"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(i, PAGES_PER_BATCH) for b in batches for i in range(0, b.num_rows, PAGES_PER_BATCH)):
             els, errors = [], []
             for page in batch.column(html_col).to_pylist():
                 try:
