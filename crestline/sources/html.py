@@ -19,9 +19,10 @@ ELEMENT = ("struct<tag:string,start:int,end:int,id:string,cls:string,href:string
            "lr:string,table:int,row:int,nth:int,raw:string,texts:array<string>,own:array<string>>")
 ELEMENTS = f"array<{ELEMENT}>"
 
+# possessive repeats: a page with stray quotes must not cause backtracking
 _TOKEN = re.compile(
-    r"<!--.*?-->|<(script|style)\b.*?</\1\s*>|<(/?)([a-zA-Z][\w-]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>",
-    re.S | re.I)
+    r"<!--.*?-->|<(script|style)\b.*?</\1\s*+>|"
+    r"<(/?)([a-zA-Z][\w-]*+)((?:[^'\">]++|\"[^\"]*+\"|'[^']*+')*+)>", re.S | re.I)
 _ATTR = re.compile(r"([\w-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
 _KEPT = {"h1", "h2", "h3", "a", "table", "tr", "td"}
 _KEPT_IF_NAMED = {"div", "span"}  # only with an id or a class
@@ -32,70 +33,95 @@ _VOID = {"br", "img", "hr", "input", "meta", "link", "wbr", "source", "area", "b
 
 def page_elements(page: str) -> list[dict]:
     """Kept elements in document order with their stripped text pieces; ``own``
-    holds the pieces directly below the element. ``table`` and ``row`` are the
+    holds the pieces directly below a heading. ``table`` and ``row`` are the
     starts of the enclosing table and row, ``nth`` counts equal tags in the row
     (cells, links) or equal tags and classes in the table; links carry the
     ``data-lr`` of their row. With these, lookups stay linear in page size."""
     out: list[dict] = []
     seen: dict[tuple, int] = {}
     stack: list[tuple[str, dict | None]] = []
-    at = 0
-
-    def enclosing(tag: str) -> dict | None:
-        return next((el for name, el in reversed(stack) if name == tag), None)
-
-    def close(i: int, end: int) -> None:
-        for _, el in stack[i:]:
+    tables: list[dict] = []
+    rows: list[dict] = []
+    raw: list[str] = []  # all text pieces as they are
+    pieces: list[str] = []  # stripped, non-empty
+    owner: list[dict | None] = []  # innermost kept element of each piece, if directly open
+    spans: list[tuple[dict, int, int]] = []  # element, its first piece, its first raw piece
+
+    def finish(i: int, end: int) -> None:
+        """Close the stack from level ``i``; text ranges end here."""
+        for tag, el in stack[i:]:
             if el is not None:
                 el["end"] = end
+                el["_to"], el["_raw_to"] = len(pieces), len(raw)
+                if tag == "table":
+                    tables.pop()
+                elif tag == "tr":
+                    rows.pop()
         del stack[i:]
 
-    def text(piece: str) -> None:
-        piece = _html.unescape(piece)
-        for _, el in stack:
-            if el is not None and el["raw"] is not None:
-                el["raw"] += piece
-        piece = piece.strip()
-        if piece:
-            for _, el in stack:
-                if el is not None:
-                    el["texts"].append(piece)
-            if stack and stack[-1][1] is not None:
-                stack[-1][1]["own"].append(piece)
-
+    at = 0
     for m in _TOKEN.finditer(page):
-        text(page[at:m.start()])
+        if m.start() > at:
+            piece = page[at:m.start()]
+            piece = _html.unescape(piece) if "&" in piece else piece
+            raw.append(piece)
+            piece = piece.strip()
+            if piece:
+                pieces.append(piece)
+                owner.append(stack[-1][1] if stack else None)
         at = m.end()
-        closing, tag, attrs = m.group(2), (m.group(3) or "").lower(), m.group(4) or ""
-        if not tag or tag in _VOID:
+        tag = m.group(3)
+        if not tag:
+            continue
+        tag = tag.lower()
+        if tag in _VOID:
             continue
-        if closing:
+        if m.group(2):
             for i in range(len(stack) - 1, -1, -1):
                 if stack[i][0] == tag:
-                    close(i, m.start())
+                    finish(i, m.start())
                     break
             continue
-        ends = _IMPLIED_END.get(tag, ())
-        while ends and stack and stack[-1][0] in ends:
-            close(len(stack) - 1, m.start())
-        a = {k.lower(): _html.unescape(x or y or z) for k, x, y, z in _ATTR.findall(attrs)}
-        el = None
-        if tag in _KEPT or (tag in _KEPT_IF_NAMED and ("id" in a or "class" in a)):
-            el = {"tag": tag, "start": m.start(), "end": len(page), "id": a.get("id"),
-                  "cls": a.get("class"), "href": a.get("href"), "target": a.get("target"),
-                  "lr": a.get("data-lr"), "raw": "" if tag in _RAW else None, "texts": [], "own": []}
-            table, row = enclosing("table"), enclosing("tr")
-            el["table"], el["row"] = table and table["start"], row and row["start"]
-            if tag in ("td", "a"):
-                place = (el["row"], tag)
-                el["lr"] = row and row["lr"] if tag == "a" else el["lr"]
-            else:
-                place = (el["table"], tag, el["cls"])
-            el["nth"] = seen[place] = seen.get(place, -1) + 1
-            out.append(el)
-        if not attrs.rstrip().endswith("/"):
+        if tag in _IMPLIED_END:
+            while stack and stack[-1][0] in _IMPLIED_END[tag]:
+                finish(len(stack) - 1, m.start())
+        attrs, el = m.group(4), None
+        if tag in _KEPT or (tag in _KEPT_IF_NAMED and attrs):
+            a = {k.lower(): x or y or z for k, x, y, z in _ATTR.findall(attrs)} if attrs else {}
+            if tag in _KEPT or "id" in a or "class" in a:
+                a = {k: _html.unescape(v) if "&" in v else v for k, v in a.items()}
+                table, row = tables[-1] if tables else None, rows[-1] if rows else None
+                el = {"tag": tag, "start": m.start(), "end": len(page), "id": a.get("id"),
+                      "cls": a.get("class"), "href": a.get("href"), "target": a.get("target"),
+                      "lr": a.get("data-lr"), "table": table and table["start"],
+                      "row": row and row["start"]}
+                if tag == "a":
+                    el["lr"] = row and row["lr"]
+                place = (el["row"], tag) if tag in ("a", "td") else (el["table"], tag, el["cls"])
+                el["nth"] = seen[place] = seen.get(place, -1) + 1
+                out.append(el)
+                spans.append((el, len(pieces), len(raw)))
+                if tag == "table":
+                    tables.append(el)
+                elif tag == "tr":
+                    rows.append(el)
+        if attrs.endswith("/"):
+            if el is not None:
+                stack.append((tag, el))
+                finish(len(stack) - 1, m.end())
+        else:
             stack.append((tag, el))
-    text(page[at:])
+    if at < len(page):
+        raw.append(_html.unescape(page[at:]))
+        if raw[-1].strip():
+            pieces.append(raw[-1].strip())
+            owner.append(stack[-1][1] if stack else None)
+    finish(0, len(page))
+    for el, i, r in spans:
+        j, q, tag = el.pop("_to"), el.pop("_raw_to"), el["tag"]
+        el["texts"] = pieces[i:j]
+        el["raw"] = "".join(raw[r:q]) if tag in _RAW else None
+        el["own"] = [p for p, o in zip(pieces[i:j], owner[i:j]) if o is el] if tag == "h2" else []
     return out
 
 
