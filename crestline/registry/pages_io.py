@@ -272,22 +272,25 @@ def _(spark, sf):
 
 
 @query("enrichment_from_files", f"""SELECT route_id, category, array_to_string(tags, ',') AS tags FROM (
-    SELECT * FROM enriched WHERE route_id IN (SELECT route_id FROM {_IN_AREAS})
-      AND category NOT IN ('{fixed.APPROACH}') AND route_id NOT IN (SELECT route_id FROM previous)
-    UNION ALL SELECT route_id, '{fixed.APPROACH}', [approach] FROM {_IN_AREAS}
-      WHERE approach IS NOT NULL AND route_id NOT IN (SELECT route_id FROM previous))""")
+    SELECT * FROM enriched WHERE route_id IN (SELECT route_id FROM {_IN_AREAS}) AND category <> '{fixed.APPROACH}'
+    UNION ALL SELECT route_id, '{fixed.APPROACH}', [approach] FROM {_IN_AREAS} WHERE approach IS NOT NULL)""")
 def _(spark, sf):
     folder = scratch_path(spark, "enrich")
     store.write_json(_nested_areas(spark, sf).drop("area_ord", "approach"), f"{folder}/areas")
+    # earlier snapshot: the same areas with the earlier tags of their routes
+    earlier = m.previous_tags(spark, sf).withColumn("route_pos", F.col("route_ord")).withColumn(
+        "area_url", F.lit(None).cast("string")).drop("area_ord", "route_ord")
+    earlier = earlier.withColumn("route_pos", F.col("route_pos") + F.lit(2) * F.floor(
+        F.col("route_id").cast("bigint") / m.size(spark, sf, "supplier")).cast("int"))
+    store.write_json(extract.nest(m.areas(spark, sf).drop("area_ord", "approach"), earlier), f"{folder}/earlier")
     results = m.result_lines(spark, sf)
     for batch in (0, 1):
         results.filter(F.col("batch_ord") == batch).select("value").write.text(f"{folder}/results/b{batch}.jsonl")
-    nested_areas = nested.read_nested(spark, f"{folder}/areas", multi_line=False)
-    _, routes, _ = enrichment_plan.run(spark, nested_areas, lines.batch_paths(f"{folder}/results", "b0,b1"))
-    tags = long_tags(routes, "route_id")
-    # the SQL side knows earlier tags, which this run has not: compare the other routes
-    earlier = m.previous_tags(spark, sf).filter(F.col("route_tags") != "[]").select("route_id")
-    return tags.join(earlier, "route_id", "left_anti")
+    _, routes, _ = enrichment_plan.run(
+        spark, nested.read_nested(spark, f"{folder}/areas", multi_line=False),
+        lines.batch_paths(f"{folder}/results", "b0,b1"),
+        nested.snapshot_or_empty(spark, f"{folder}/earlier", multi_line=False))
+    return long_tags(routes, "route_id")
 
 
 @query("result_files", """SELECT 'route' AS kind, route_id AS entity_id, category, array_to_string(tags, ',') AS tags

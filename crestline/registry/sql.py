@@ -1,4 +1,4 @@
-"""SQL text shared by the reference SQL of all queries.
+"""SQL text shared by the checking SQL of all queries.
 
 ``CTES`` restates the table mapping of :mod:`crestline.plans.mapping` in SQL.
 """

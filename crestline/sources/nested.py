@@ -24,7 +24,7 @@ def location(base: str, name: str) -> str:
 def read_nested(spark: SparkSession, paths: str | Sequence[str], multi_line: bool = True) -> DataFrame:
     """Area rows with ``file_path`` and ``area_pos`` (position inside the file).
 
-    The file root is an array or a single object. Reference files are one JSON
+    The file root is an array or a single object. Incoming files are one JSON
     array each, hence ``multi_line``; files written by this package hold one
     record per line and can be split (``multi_line=False``). Records that do
     not parse have ``corrupt`` set.
