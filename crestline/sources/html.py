@@ -9,12 +9,17 @@ from __future__ import annotations
 
 import html as _html
 import re
+import sys
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+# the page pass travels with the task, so executors need no copy of this package
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 ELEMENT = ("struct<tag:string,start:int,end:int,id:string,cls:string,href:string,target:string,"
            "lr:string,table:int,row:int,nth:int,raw:string,texts:array<string>,own:array<string>>")
 ELEMENTS = f"array<{ELEMENT}>"
