@@ -8,6 +8,7 @@ import pytest
 sys.path.insert(0, os.path.join(os.path.dirname(os.path.dirname(os.path.abspath(__file__))), "tools"))
 import __spark_entry__ as entry  # noqa: E402
 import compare  # noqa: E402
+from crestline.registry import catalogue  # noqa: E402
 
 
 @pytest.fixture(scope="module")
@@ -23,7 +24,7 @@ def test_entry(spark):
     assert entry.entry(spark).count() > 0
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(catalogue.QUERIES))
 def test_query(spark, con, sf, name):
     ok, text = compare.compare(spark, con, sf, name)
     assert ok, text
