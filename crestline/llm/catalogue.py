@@ -1,6 +1,6 @@
 """All queries of the pipeline operators."""
 
-from crestline.llm import fingerprint  # noqa: F401
+from crestline.llm import fingerprint, htmltext, maxscore, neardup, packing, urlrules, warc  # noqa: F401
 from crestline.llm.common import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]
