@@ -1,6 +1,7 @@
 """All queries of the pipeline operators."""
 
-from crestline.llm import fingerprint, htmltext, maxscore, neardup, packing, urlrules, warc  # noqa: F401
+from crestline.llm import (  # noqa: F401
+    fingerprint, htmltext, maxscore, mixing, neardup, packing, substring, toxicity, urlrules, warc)
 from crestline.llm.common import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]
