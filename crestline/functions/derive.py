@@ -101,9 +101,20 @@ def search_text(texts: list[Column], arrays: list[Column]) -> Column:
 
 
 def tag_map(raw: Column) -> Column:
-    """Raw JSON text -> category map; list-shaped or broken text = empty map."""
-    return F.when(raw.startswith("{"), F.coalesce(F.from_json(raw, TAG_MAP), empty_tags())) \
-        .otherwise(empty_tags())
+    """Raw JSON text -> category map; list-shaped or broken text = empty map. A
+    single text in place of a list is a list of one."""
+    def items(value: Column) -> Column:
+        one = F.when(value != "", F.array(value))
+        return or_empty(F.coalesce(F.when(value.startswith("["), F.from_json(value, "array<string>")), one))
+
+    categories = F.transform_values(F.from_json(raw, "map<string,string>"), lambda _, v: items(v))
+    return F.when(raw.startswith("{"), F.coalesce(categories, empty_tags())).otherwise(empty_tags())
+
+
+def flat_tags_any(raw: Column) -> Column:
+    """Flat tags of raw JSON text: a list passes as it is, a map is flattened."""
+    listed = F.filter(F.from_json(raw, "array<string>"), lambda t: t.isNotNull() & (t != ""))
+    return F.when(raw.startswith("["), or_empty(F.array_distinct(listed))).otherwise(flat_tags(tag_map(raw)))
 
 
 def month_start(shared_on: Column) -> Column:

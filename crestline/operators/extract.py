@@ -199,9 +199,11 @@ def comments() -> Column:
     inner = inside(els(), box, lambda e: e["tag"].isin("table", "div", "span", "a"))
 
     def by_table(found: Column, text) -> Column:
-        """Map from table start to the text of the first such element in it."""
+        """Map from the start of a comment table to the text of the first such
+        element in it, also below inner tables; elements outside have no place."""
         return F.map_from_entries(F.transform(
-            F.filter(found, lambda e: e["nth"] == 0), lambda e: F.struct(e["table"], text(e))))
+            F.filter(found, lambda e: e["box"].isNotNull() & (e["box_nth"] == 0)),
+            lambda e: F.struct(e["box"], text(e))))
 
     def build(parts: Column) -> Column:
         tables = F.filter(parts, lambda e: (e["tag"] == "table") & has_class(e, "main-comment"))
@@ -355,7 +357,8 @@ def routes_of_areas(area_els: DataFrame, route_els: DataFrame, stats_els: DataFr
 def nest(areas: DataFrame, routes: DataFrame, per_row: int = 1000) -> DataFrame:
     """Area records with embedded routes. A record holds at most ``per_row``
     routes; a larger area continues in further records of the same id (``part``),
-    so no group grows with the data. Reading back explodes all parts."""
+    so no group grows with the data. Reading back explodes all parts. Routes of
+    an area that has no record keep a record with nothing but its id."""
     fields = [c for c in routes.columns if c not in ("area_id", "area_url", "route_pos")]
     packed = routes.withColumn("part", F.floor(F.col("route_pos") / per_row).cast("int")) \
         .groupBy("area_id", "part").agg(F.array_sort(
@@ -363,12 +366,13 @@ def nest(areas: DataFrame, routes: DataFrame, per_row: int = 1000) -> DataFrame:
             lambda a, b: a["route_pos"] - b["route_pos"]).alias("_r"))
     packed = packed.withColumn("routes", F.transform("_r", lambda r: F.struct(
         *[r[f].alias(f) for f in fields]))).drop("_r")
-    # parts are the left side: those of one crowded area may be split; areas
-    # without routes follow with an empty list
-    bare = areas.join(routes.select("area_id").distinct(), "area_id", "left_anti")
+    # parts are the left side: those of one crowded area may be split; an area
+    # without routes, or with none in its first part, gets an empty first part
+    first = routes.filter(F.col("route_pos") < per_row).select("area_id").distinct()
+    ids = areas.select("area_id").unionByName(routes.select("area_id")).distinct().join(first, "area_id", "left_anti")
     empty = F.array().cast(packed.schema["routes"].dataType)
-    return packed.join(areas, "area_id").unionByName(
-        bare.withColumn("part", F.lit(0)).withColumn("routes", empty))
+    return packed.join(areas, "area_id", "left").unionByName(
+        ids.join(areas, "area_id", "left").withColumn("part", F.lit(0)).withColumn("routes", empty))
 
 
 __all__ = ["with_elements", "area_records", "route_list", "route_details", "route_stats",

@@ -10,6 +10,7 @@ from crestline.functions import derive
 from crestline.functions.arrays import has
 from crestline.functions.grades import grade_migrate
 from crestline.operators.keyed import last_wins
+from crestline.schemas import COMMENTS
 
 
 def _text(name: str) -> Column:
@@ -48,9 +49,15 @@ def load_counts(areas: DataFrame, routes: DataFrame) -> DataFrame:
     return a.unionByName(r)
 
 
+def _flat(df: DataFrame, tags: str) -> Column:
+    """Flat tags of a map column, or of raw JSON text that holds a list or a map."""
+    raw = dict(df.dtypes)[tags] == "string"
+    return derive.flat_tags_any(F.col(tags)) if raw else derive.flat_tags(F.col(tags))
+
+
 def project_areas(areas: DataFrame, tags: str = "area_tags") -> DataFrame:
-    """Area documents with defaults; needs a tag map column and ``area_ord``."""
-    flat = derive.flat_tags(F.col(tags))
+    """Area documents with defaults; needs a tag column (map or raw JSON text) and ``area_ord``."""
+    flat = _flat(areas, tags)
     h = F.coalesce("area_hierarchy", F.array().cast(areas.schema["area_hierarchy"].dataType))
     kept = areas.filter(filled(*AREA_REQUIRED))
     return kept.select(
@@ -82,12 +89,16 @@ def attach_area(routes: DataFrame, areas: DataFrame) -> DataFrame:
 
 
 def project_routes(routes: DataFrame, tags: str = "route_tags", array_types: bool = False) -> DataFrame:
-    """Route documents from routes that carry their area; needs a tag map column.
+    """Route documents from routes that carry their area; needs a tag column (map
+    or raw JSON text). Routes without a comment column have no comments.
     With ``array_types`` the type column is raw JSON text (text or array)."""
     c = F.col
     kept = routes.filter(filled(*ROUTE_REQUIRED) & ~has_excluded_text(c("route_type")))
     types = derive.type_list_any(c("route_type")) if array_types else derive.type_list(c("route_type"))
-    flat = derive.flat_tags(c(tags))
+    flat = _flat(routes, tags)
+    tag_map = derive.tag_map(c(tags)) if dict(routes.dtypes)[tags] == "string" else c(tags)
+    none = F.array().cast(COMMENTS)
+    comments = F.coalesce(c("route_comments"), none) if "route_comments" in routes.columns else none
     grade = grade_migrate(c("route_grade"))
     pitches = derive.number(c("route_pitches"), 1.0)
     staged = (
@@ -109,7 +120,7 @@ def project_routes(routes: DataFrame, tags: str = "route_tags", array_types: boo
         derive.number(c("route_length_meter")).alias("route_length_meter"),
         _text("route_fa"), _text("route_description"), _text("route_location"),
         _text("route_protection"), _text("route_page_views"), _text("route_shared_on"),
-        c(tags).alias("route_tags"), c("_flat").alias("tags"), "area_id", "area_name", "area_hierarchy",
+        comments.alias("route_comments"), tag_map.alias("route_tags"), c("_flat").alias("tags"), "area_id", "area_name", "area_hierarchy",
         derive.store_path(c("area_hierarchy")).alias("area_hierarchy_path"),
         (pitches > 1).alias("is_multipitch"), has(c("_types"), "Trad").alias("is_trad"),
         has(c("_types"), "Sport").alias("is_sport"),

@@ -9,10 +9,18 @@ from crestline.functions.tags import eligible
 
 
 def reduce_nested(areas: DataFrame) -> DataFrame:
-    """Nested areas: filter the embedded routes; areas left without any are dropped."""
+    """Nested areas: filter the embedded routes; areas left without any are dropped.
+    An area may be cut into parts: one eligible route in any part keeps its first
+    part, which carries the area's own fields."""
     kept = F.filter("routes", lambda r: r["route_type"].isNotNull()
                     & ~r["route_type"].startswith("[") & eligible(r["route_type"]))
-    return areas.withColumn("routes", kept).filter(F.size("routes") > 0)
+    reduced = areas.withColumn("routes", kept)
+    filled = reduced.filter(F.size("routes") > 0)
+    if "part" not in areas.columns:
+        return filled
+    key = [c for c in ("state", "area_id") if c in areas.columns]
+    emptied = reduced.filter((F.size("routes") == 0) & (F.col("part") == 0))
+    return filled.unionByName(emptied.join(filled.filter(F.col("part") > 0).select(*key), key, "left_semi"))
 
 
 def reduce_flat(areas: DataFrame, routes: DataFrame, key: str = "area_id") -> tuple[DataFrame, DataFrame]:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from crestline.functions import derive
@@ -13,18 +13,31 @@ from crestline.sources import lines, nested
 
 
 def typed(areas: DataFrame, routes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Flat tables from files -> typed rule inputs: tag maps, numbers, ordinals."""
-    order = F.struct(*[c for c in ("file_ord", "file_path") if c in areas.columns], "area_pos")
+    """Flat tables from files -> typed rule inputs: tag maps, numbers, ordinals.
+    Parts of one area (records of one folder with a ``part``) have one ordinal."""
+    order, in_area = _ordinals(areas)
     areas = areas.withColumn("area_tags", derive.tag_map(F.col("area_tags"))).withColumn("area_ord", order)
     routes = (
         routes.withColumn("route_tags", derive.tag_map(F.col("route_tags")))
         .withColumn("route_votes", F.col("route_votes").try_cast("int"))
         .withColumn("route_stars", F.col("route_stars").try_cast("double"))
-        .withColumn("area_ord", order).withColumn("route_ord", F.col("route_pos").cast("bigint"))
+        .withColumn("area_ord", order).withColumn("route_ord", in_area)
     )
     return areas, routes
 
 
+def _ordinals(areas: DataFrame) -> tuple[Column, Column]:
+    """(order of an area, order of a route inside its area)."""
+    path, pos = F.col("file_path"), F.col("area_pos")
+    part = F.col("part") if "part" in areas.columns else F.lit(None).cast("int")
+    start = F.struct(F.lit(0).cast("bigint").alias("block"), F.lit(0).cast("bigint").alias("row"))
+    folder = F.regexp_replace(path, "/[^/]*$", "")
+    order = F.struct(*[F.col(c) for c in ("file_ord",) if c in areas.columns],
+                     F.when(part.isNull(), path).otherwise(folder).alias("file"),
+                     F.when(part.isNull(), pos).otherwise(start).alias("pos"), F.col("area_id").alias("id"))
+    return order, F.coalesce(part, F.lit(0)).cast("bigint") * (1 << 32) + F.col("route_pos")
+
+
 def run(spark: SparkSession, nested_areas: DataFrame, result_paths: str | Sequence[str],
         previous: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(areas, routes, summary). ``previous`` is an earlier tagged nested snapshot."""

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 ELEMENT = ("struct<tag:string,start:int,end:int,id:string,cls:string,href:string,target:string,"
-           "lr:string,table:int,row:int,nth:int,raw:string,texts:array<string>,own:array<string>>")
+           "lr:string,table:int,row:int,nth:int,box:int,box_nth:int,raw:string,texts:array<string>,own:array<string>>")
 ELEMENTS = f"array<{ELEMENT}>"
 
 # possessive repeats: a page with stray quotes must not cause backtracking
@@ -33,6 +33,7 @@ _KEPT = {"h1", "h2", "h3", "a", "table", "tr", "td"}
 _KEPT_IF_NAMED = {"div", "span"}  # only with an id or a class
 _RAW = {"h1", "h2", "a"}  # these also keep their unstripped text
 _IMPLIED_END = {"td": {"td"}, "tr": {"td", "tr"}}  # an open cell or row ends at the next one
+_COMMENT_TABLE = "main-comment"
 _VOID = {"br", "img", "hr", "input", "meta", "link", "wbr", "source", "area", "base", "col", "embed"}
 
 
@@ -40,12 +41,14 @@ def page_elements(page: str) -> list[dict]:
     """Kept elements in document order with their stripped text pieces; ``own``
     holds the pieces directly below a heading. ``table`` and ``row`` are the
     starts of the enclosing table and row, ``nth`` counts equal tags in the row
-    (cells, links) or equal tags and classes in the table; links carry the
-    ``data-lr`` of their row. With these, lookups stay linear in page size."""
+    (cells, links) or equal tags and classes in the table; ``box`` is the start
+    of the innermost enclosing comment table and ``box_nth`` counts equal tags
+    and classes in it; links carry the ``data-lr`` of their row. With these, lookups stay linear in page size."""
     out: list[dict] = []
     seen: dict[tuple, int] = {}
     stack: list[tuple[str, dict | None]] = []
     tables: list[dict] = []
+    boxes: list[dict] = []  # the open comment tables among them
     rows: list[dict] = []
     raw: list[str] = []  # all text pieces as they are
     pieces: list[str] = []  # stripped, non-empty
@@ -59,7 +62,9 @@ def page_elements(page: str) -> list[dict]:
                 el["end"] = end
                 el["_to"], el["_raw_to"] = len(pieces), len(raw)
                 if tag == "table":
-                    tables.pop()
+                    closed = tables.pop()
+                    if boxes and boxes[-1] is closed:
+                        boxes.pop()
                 elif tag == "tr":
                     rows.pop()
         del stack[i:]
@@ -104,10 +109,15 @@ def page_elements(page: str) -> list[dict]:
                     el["lr"] = row and row["lr"]
                 place = (el["row"], tag) if tag in ("a", "td") else (el["table"], tag, el["cls"])
                 el["nth"] = seen[place] = seen.get(place, -1) + 1
+                el["box"] = boxes[-1]["start"] if boxes else None
+                place = ("box", el["box"], tag, el["cls"])
+                el["box_nth"] = seen[place] = seen.get(place, -1) + 1
                 out.append(el)
                 spans.append((el, len(pieces), len(raw)))
                 if tag == "table":
                     tables.append(el)
+                    if _COMMENT_TABLE in (el["cls"] or "").split():
+                        boxes.append(el)
                 elif tag == "tr":
                     rows.append(el)
         if attrs.endswith("/"):
@@ -131,10 +141,10 @@ def page_elements(page: str) -> list[dict]:
 
 
 PAGES_PER_BATCH = 64  # pages whose elements are held in memory at a time
-_FIELDS = [(n, pa.int32() if n in ("start", "end", "table", "row", "nth") else
+_FIELDS = [(n, pa.int32() if n in ("start", "end", "table", "row", "nth", "box", "box_nth") else
             pa.list_(pa.string()) if n in ("texts", "own") else pa.string())
            for n in ("tag", "start", "end", "id", "cls", "href", "target", "lr", "table", "row", "nth",
-                     "raw", "texts", "own")]
+                     "box", "box_nth", "raw", "texts", "own")]
 _ARROW = pa.list_(pa.struct(_FIELDS))
 
 

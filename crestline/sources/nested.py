@@ -6,12 +6,17 @@ import re
 from collections.abc import Sequence
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from crestline import schemas
 
 
+_RECORD = schemas.NESTED_AREA + ", part int, corrupt string"
+#: What ``read_nested`` returns.
+_READ = _RECORD + ", file_path string, area_pos struct<block:bigint,row:bigint>"
+
+
 class NoDataError(RuntimeError):
     pass
 
@@ -29,8 +34,7 @@ def read_nested(spark: SparkSession, paths: str | Sequence[str], multi_line: boo
     record per line and can be split (``multi_line=False``). Records that do
     not parse have ``corrupt`` set.
     """
-    schema = schemas.NESTED_AREA + ", part int, corrupt string"
-    df = (spark.read.schema(schema)
+    df = (spark.read.schema(_RECORD)
           .option("multiLine", multi_line).option("columnNameOfCorruptRecord", "corrupt")
           .option("ignoreMissingFiles", True).json(paths if isinstance(paths, str) else list(paths)))
     return df.select("*", F.col("_metadata.file_path").alias("file_path"),
@@ -39,22 +43,33 @@ def read_nested(spark: SparkSession, paths: str | Sequence[str], multi_line: boo
 
 
 def existing_paths(spark: SparkSession, paths: Sequence[str]) -> list[str]:
-    """Paths that exist; the file names come from a manifest, one entry per file."""
+    """Paths that exist, by one listing per folder; names come from a manifest,
+    one entry per file."""
     hadoop = spark._jvm.org.apache.hadoop.fs
     conf = spark._jsc.hadoopConfiguration()
+    listed: dict[str, set[str]] = {}
 
-    def exists(p: str) -> bool:
-        path = hadoop.Path(p)
-        return path.getFileSystem(conf).exists(path)
+    def names(folder: str) -> set[str]:
+        if folder not in listed:
+            path = hadoop.Path(folder)
+            fs = path.getFileSystem(conf)
+            listed[folder] = {s.getPath().getName() for s in fs.listStatus(path)} if fs.exists(path) else set()
+        return listed[folder]
 
-    return [p for p in paths if exists(p)]
+    return [p for p in paths if p.rsplit("/", 1)[-1] in names(p.rsplit("/", 1)[0] or "/")]
 
 
 def read_manifest(spark: SparkSession, path: str) -> list[str]:
     """File names of a manifest (one JSON array of strings)."""
     text = spark.read.option("wholetext", True).text(path)
-    names = text.select(F.explode(F.from_json("value", "array<string>")).alias("name"))
-    return [r[0] for r in names.collect()]
+    names = text.select(F.posexplode(F.from_json("value", "array<string>")).alias("pos", "name"))
+    return [r["name"] for r in names.orderBy("pos").collect()]
+
+
+def plain_path(path: Column) -> Column:
+    """Path as written by people: without URL escapes, one form of the scheme."""
+    decoded = F.coalesce(F.try_url_decode(F.replace(path, F.lit("+"), F.lit("%2B"))), path)
+    return F.regexp_replace(F.regexp_replace(decoded, "^file:/+", "/"), "^([a-z0-9]+):/+", "$1://")
 
 
 def readable(nested: DataFrame) -> DataFrame:
@@ -73,32 +88,46 @@ def scan_manifest(spark: SparkSession, manifest: str, base: str,
     found = existing_paths(spark, list(wanted))
     if not found:
         raise NoDataError("none of the listed files exists")
-    order = F.create_map(*[x for i, p in enumerate(found)
-                           for x in (F.lit(p.rsplit("/", 1)[-1]), F.lit(i))])
+    listed = spark.createDataFrame(list(enumerate(found)), "file_ord int, listed string").select(
+        "file_ord", F.regexp_replace("listed", "^file:/+", "/").alias("_key"))
     df = readable(read_nested(spark, found, multi_line))
-    listed = F.regexp_extract(
-        "file_path", "/(" + "|".join(re.escape(p.rsplit("/", 1)[-1]) for p in found) + ")(?:/|$)", 1)
-    df = df.withColumn("file_ord", F.try_element_at(order, listed))
+    # a listed name is a file, or a folder of part files
+    path = plain_path(F.col("file_path"))
+    folder = listed.select(F.col("file_ord").alias("_folder_ord"), F.col("_key").alias("_folder"))
+    df = df.withColumn("_key", path).withColumn("_folder", F.regexp_replace(path, "/[^/]*$", "")) \
+        .join(listed, "_key", "left").join(folder, "_folder", "left") \
+        .withColumn("file_ord", F.coalesce("file_ord", "_folder_ord")).drop("_key", "_folder", "_folder_ord")
     if not df.take(1):
         raise NoDataError("no areas could be loaded")
     return df, [n for p, n in wanted.items() if p not in found]
 
 
+def _first_character(spark: SparkSession, path: str) -> str:
+    """First character that is no white space; nothing else reaches the driver."""
+    start = F.substring(F.regexp_replace(F.substring("value", 1, 4096), r"^\s+", ""), 1, 1)
+    head = spark.read.text(path).select(start.alias("c")).filter("c <> ''").limit(1).collect()
+    return head[0][0] if head else ""
+
+
 def scan_single(spark: SparkSession, path: str) -> DataFrame:
     """One file whose root must be a non-empty array."""
-    head = spark.read.text(path).filter(F.trim("value") != "").limit(1).collect()
-    if not head:
+    first = _first_character(spark, path)
+    if not first:
         raise NoDataError("empty file")
-    if not head[0][0].lstrip().startswith("["):
+    if first != "[":
         raise ValueError("expected an array of areas")
     return read_nested(spark, path)
 
 
-def scan_states(spark: SparkSession, folder: str, suffix: str = "_routes_tagged.json") -> DataFrame:
-    """All files ``<state><suffix>`` of a folder, with ``state``."""
-    df = read_nested(spark, f"{folder.rstrip('/')}/*{suffix}")
-    name = F.substring_index("file_path", "/", -1)
-    return df.withColumn("state", F.replace(name, F.lit(suffix), F.lit("")))
+def scan_states(spark: SparkSession, folder: str, suffix: str = "_routes_tagged.json",
+                multi_line: bool = True) -> DataFrame:
+    """All files ``<state><suffix>`` of a folder, or folders of part files with
+    such a name, with ``state``."""
+    df = read_nested(spark, f"{folder.rstrip('/')}/*{suffix}", multi_line)
+    path = plain_path(F.col("file_path"))
+    name = F.when(path.endswith(suffix), F.substring_index(path, "/", -1)).otherwise(
+        F.substring_index(F.substring_index(path, "/", -2), "/", 1))
+    return df.withColumn("state", F.regexp_replace(name, re.escape(suffix) + "$", ""))
 
 
 def snapshot_or_empty(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
@@ -106,7 +135,7 @@ def snapshot_or_empty(spark: SparkSession, path: str, multi_line: bool = True) -
     try:
         df = read_nested(spark, path, multi_line)
     except AnalysisException:
-        return spark.createDataFrame([], schemas.NESTED_AREA)
+        return spark.createDataFrame([], _READ)
     return readable(df)
 
 
@@ -129,8 +158,7 @@ def read_flat(spark: SparkSession, areas_file: str, routes_file: str) -> tuple[D
     a = a.select(F.when(F.col("areas").isNull(), F.raise_error(F.lit("expected an object with an areas array")))
                  .otherwise(F.col("areas")).alias("areas"))
     areas = a.select(F.posexplode("areas").alias("area_ord", "a")).select("a.*", "area_ord")
-    head = spark.read.text(routes_file).filter(F.trim("value") != "").limit(1).collect()
-    if not head or not head[0][0].lstrip().startswith("["):
+    if _first_character(spark, routes_file) != "[":
         raise ValueError("expected an array of routes")
     routes = spark.read.schema(schemas.FLAT_ROUTE).option("multiLine", True).json(routes_file) \
         .withColumn("route_ord", F.monotonically_increasing_id())

@@ -156,3 +156,17 @@ def test_resume_ignores_other_start(spark):
     todo = spark.createDataFrame([("u1",), ("u2",)], "url string")
     done = spark.createDataFrame([("base", ["u1"]), ("other", ["u2"])], "base_url string, processed_urls array<string>")
     assert [r["url"] for r in ledger.remaining(todo, done, "base").collect()] == ["u2"]
+
+
+STRAY = """<div class="comment-list"><div class="comment-body">stray</div><span class="comment-time">now</span>
+<table class="main-comment"><tr><td><table><tr><td><div class="bio">x <a href="/user/1">Ann</a></div></td></tr></table>
+<table><tr><td><div class="comment-body">Inner</div></td></tr></table></td></tr></table>
+<table class="main-comment"><tr><td><div class="comment-body">Outer</div>
+<table class="main-comment"><tr><td><div class="comment-body">Reply</div></td></tr></table></td></tr></table></div>"""
+
+
+def test_comment_parts_outside_and_in_inner_tables(spark):
+    pages = spark.createDataFrame([("bad", STRAY), ("none", "<p>x"), ("null", None)], "url string, html string")
+    rows = {r["url"]: r for r in with_elements(pages).select("url", "error", extract.comments().alias("c")).collect()}
+    assert [(c["comment_author"], c["comment_text"]) for c in rows["bad"]["c"]] == [("Ann", "Inner"), ("N/A", "Outer"), ("N/A", "Reply")]
+    assert rows["none"]["c"] == [] and rows["null"]["error"]

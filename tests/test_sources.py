@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from crestline.functions import derive
-from crestline.operators import enrich, flatten, reduction
+from crestline.operators import enrich, extract, flatten, reduction
 from crestline.plans import enrichment
 from crestline.sources import lines, nested, store
 
@@ -129,6 +129,59 @@ def test_flat_shape_errors(spark, tmp_path):
 def test_snapshot_or_empty(spark, folder):
     assert nested.snapshot_or_empty(spark, str(folder / "no_such")).count() == 0
     assert nested.snapshot_or_empty(spark, str(folder / "broken.json")).count() == 0
+    whole = nested.read_nested(spark, str(folder / "single.json"))
+    assert dict(nested.snapshot_or_empty(spark, str(folder / "no_such")).dtypes) == dict(whole.dtypes)
+
+
+@pytest.mark.parametrize("name", ["no_such", "broken.json"])
+def test_first_run_without_snapshot(spark, folder, tmp_path, name):
+    (tmp_path / "b0.jsonl").write_text("")
+    df = nested.read_nested(spark, str(folder / "west_routes_tagged.json"))
+    _, routes, summary = enrichment.run(spark, df, lines.batch_paths(str(tmp_path), "b0"),
+                                        nested.snapshot_or_empty(spark, str(folder / name)))
+    assert routes.count() == 4 and summary.first()["routes_total"] == 4
+
+
+def test_equal_and_odd_file_names(spark, tmp_path):
+    names = ["nv/routes.json", "ca/routes.json", "ca/new mexico+1%.json"]
+    for n, name in enumerate(names):
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_text(json.dumps([{**AREAS[0], "area_id": f"x{n}"}]))
+    (tmp_path / "index.json").write_text(json.dumps([*names, "ca/gone.json", "no/gone.json"]))
+    df, skipped = nested.scan_manifest(spark, str(tmp_path / "index.json"), str(tmp_path))
+    assert skipped == ["ca/gone.json", "no/gone.json"]
+    assert {r["area_id"]: r["file_ord"] for r in df.collect()} == {"x0": 0, "x1": 1, "x2": 2}
+    states = nested.scan_states(spark, str(tmp_path / "ca"), ".json").select("state").distinct().collect()
+    assert {r["state"] for r in states} == {"routes", "new mexico+1%"}
+
+
+def test_large_single_line_is_not_fetched(spark, tmp_path):
+    (tmp_path / "one.json").write_text("  " + json.dumps(AREAS * 50))
+    assert nested._first_character(spark, str(tmp_path / "one.json")) == "["
+    assert nested.scan_single(spark, str(tmp_path / "one.json")).count() == 150
+
+
+def _parts(spark, per_row):
+    """One area with 8 routes, the first 4 boulders, and routes of an unknown area."""
+    rows = [("a", i, f"r{i}", "Boulder" if i < 4 else "Sport", '{"A":["t"]}') for i in range(8)] + [("gone", 5, "g", "Sport", "{}")]
+    routes = spark.createDataFrame(rows, "area_id string, route_pos int, route_id string, route_type string, route_tags string")
+    areas = spark.createDataFrame([("a", "Area"), ("bare", "Bare")], "area_id string, area_name string")
+    return extract.nest(areas, routes, per_row)
+
+
+@pytest.mark.parametrize("per_row", [2, 4, 1000])
+def test_parts_of_an_area_are_one_area(spark, tmp_path, per_row):
+    store.write_json(_parts(spark, per_row), str(tmp_path / "n"))
+    back = nested.read_nested(spark, str(tmp_path / "n"), multi_line=False)
+    areas, routes = nested.flatten_nested(reduction.reduce_nested(back))
+    assert sorted((r["area_id"], r["area_name"]) for r in areas.collect()) in (
+        [("a", "Area"), ("gone", None)],)
+    assert sorted(r["route_id"] for r in routes.collect()) == ["g", "r4", "r5", "r6", "r7"]
+    old_areas, old = enrichment.typed(*nested.flatten_nested(back))
+    assert old_areas.count() == 3
+    now = old.select("area_id", "route_id").withColumn("route_tags", F.from_json(F.lit("{}"), "map<string,array<string>>"))
+    merged = enrich.merge_route_snapshot(now, old).filter("area_id = 'a'").collect()
+    assert [r["route_tags"] for r in merged] == [{"A": ["t"]}] * 8
 
 
 def test_enrichment_job(spark, folder, tmp_path):

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from crestline import fixed
+from crestline.functions import derive
 from crestline.functions import tags as T
 from crestline.functions.arrays import TAG_MAP
 from crestline.operators import enrich
@@ -144,10 +145,27 @@ def test_split_two_fifths(spark):
     reqs = spark.range(1003).select(
         F.lit(1).alias("kind"), F.lit(0).alias("area_ord"), F.col("id").alias("route_ord"),
         F.struct(F.col("id").cast("string").alias("custom_id")).alias("request"))
-    got = enrich.split_batches(reqs).select("route_ord", "request_no", "batch_no").collect()
-    assert sorted(r["request_no"] for r in got) == list(range(1, 1004))
-    assert all(r["request_no"] == r["route_ord"] + 1 for r in got)
-    assert sum(r["batch_no"] == 1 for r in got) == 401
+    got = enrich.split_batches(reqs)
+    assert [r["batch_no"] for r in got.orderBy("route_ord").collect()] == [1] * 401 + [2] * 602
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()  # requests stay where they are
+    numbers = enrich.numbered(reqs.select("kind", "area_ord", "route_ord"))
+    assert all(r["request_no"] == r["route_ord"] + 1 for r in numbers.collect())
+    assert {r["batch_no"] for r in enrich.split_batches(reqs.limit(2)).collect()} == {2}
+
+
+def test_split_by_a_nested_ordinal(spark):
+    reqs = spark.range(10).select(
+        F.lit(1).alias("kind"), F.struct(F.lit("f").alias("file"), F.struct((F.col("id") % 2).alias("row")).alias("pos")).alias("area_ord"),
+        F.col("id").alias("route_ord"), F.struct("id").alias("request"))
+    assert sorted(r["request"]["id"] for r in enrich.split_batches(reqs).filter("batch_no = 1").collect()) == [0, 2, 4, 6]
+
+
+def test_tag_shapes(spark):
+    raw = ['{"A":"one","B":["x","y"]}', '["p","q","p"]', "[]", "{}", "oops", None, '{"A":"","B":[]}']
+    df = spark.createDataFrame([(i, r) for i, r in enumerate(raw)], "i int, raw string")
+    got = df.select("i", derive.tag_map(F.col("raw")).alias("m"), derive.flat_tags_any(F.col("raw")).alias("f")).orderBy("i").collect()
+    assert [r["m"] for r in got] == [{"A": ["one"], "B": ["x", "y"]}, {}, {}, {}, {}, {}, {"A": [], "B": []}]
+    assert [r["f"] for r in got] == [["one", "A:one", "x", "y", "B:x", "B:y"], ["p", "q"], [], [], [], [], []]
 
 
 def test_split_decision(spark):
