@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from crestline.session import cut_lineage
+from crestline.session import cut_lineage, drop_tables, written_table
 
 COMPACT_EVERY = 8
 
@@ -15,13 +15,13 @@ COMPACT_EVERY = 8
 def reachable(edges: DataFrame, start: DataFrame) -> DataFrame:
     """URLs reachable from ``start`` over (src_url, dst_url), with the wave that
     found each."""
-    return _waves(cut_lineage(edges.select("src_url", "dst_url")), start, None)
+    return _waves(edges, start, None)
 
 
 def discover_leaves(graph: DataFrame, start: DataFrame) -> DataFrame:
     """Leaf pages reachable from ``start``. ``graph`` = (url, is_leaf, links);
     pages are read once, later waves use the narrow graph. Leaves are not left."""
-    graph = cut_lineage(graph.select("url", "is_leaf", "links"))
+    graph = written_table(graph.select("url", "is_leaf", "links"), "page-graph")
     leaves = graph.filter("is_leaf").select("url")
     edges = graph.filter("NOT is_leaf").select(
         F.col("url").alias("src_url"), F.explode("links").alias("dst_url"))
@@ -31,12 +31,13 @@ def discover_leaves(graph: DataFrame, start: DataFrame) -> DataFrame:
 def _waves(edges: DataFrame, start: DataFrame, stop: DataFrame | None) -> DataFrame:
     """Breadth-first waves; links may be cyclic.
 
-    Each wave is written to the shared folder, so a lost executor restarts one
-    wave, and visited parts are compacted now and then. Edges stay on the left
-    of each join: a page that holds a large share of all links is split by
-    adaptive execution.
+    Edges are partitioned by their source once, so no wave shuffles them; a
+    source's edges are bounded by its page. Each wave is written to the shared
+    folder, so a lost executor restarts one wave. Visited parts are compacted now
+    and then, and the waves they replace are deleted.
     """
-    wave = cut_lineage(start.select("url").distinct().withColumn("wave", F.lit(0)))
+    edges = cut_lineage(edges.select("src_url", "dst_url").repartition("src_url"))
+    wave = written_table(start.select("url").distinct().withColumn("wave", F.lit(0)), "wave")
     seen, n = [wave], 0
     while True:
         n += 1
@@ -48,9 +49,11 @@ def _waves(edges: DataFrame, start: DataFrame, stop: DataFrame | None) -> DataFr
             .join(visited.select("url"), "url", "left_anti")
             .withColumn("wave", F.lit(n))
         )
-        wave = cut_lineage(found)
+        wave = written_table(found, "wave")
         if wave.isEmpty():
             return visited
         seen.append(wave)
         if len(seen) > COMPACT_EVERY:
-            seen = [cut_lineage(reduce(DataFrame.unionByName, seen))]
+            compacted = written_table(reduce(DataFrame.unionByName, seen[:-1]), "visited")
+            drop_tables(*seen[:-1])
+            seen = [compacted, wave]

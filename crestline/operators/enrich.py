@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from crestline import fixed, schemas
@@ -13,6 +13,7 @@ from crestline.operators.keyed import first_wins, last_wins
 from crestline.operators.ordinal import global_row_number
 
 AREA_PREFIX = "area_"
+_REQUEST_ORDER = ("kind", "area_ord", "route_ord")
 
 
 # --- results -------------------------------------------------------------------
@@ -259,7 +260,26 @@ def split_decision(requests: DataFrame, input_name: str = "", force_names=("cali
 
 
 def split_batches(requests: DataFrame) -> DataFrame:
-    """First floor(2n/5) requests in order are batch 1, the rest batch 2."""
-    numbered = global_row_number(requests, ["kind", "area_ord", "route_ord"], "request_no", total="_all")
-    cut = F.floor(F.col("_all") * 2 / 5)
-    return numbered.withColumn("batch_no", F.when(F.col("request_no") <= cut, 1).otherwise(2)).drop("_all")
+    """First floor(2n/5) requests in order are batch 1, the rest batch 2. Only the
+    order columns are shuffled, to find the last key of batch 1; requests stay
+    where they are and compare with it."""
+    last = numbered(requests.select(*_REQUEST_ORDER)).filter(
+        F.col("request_no") == F.floor(F.col("_all") * 2 / 5)).select(*_REQUEST_ORDER).first()
+    if last is None:
+        return requests.withColumn("batch_no", F.lit(2))
+    key = F.struct(*_REQUEST_ORDER)
+    cut = F.struct(*[_literal(v).cast(requests.schema[c].dataType).alias(c) for c, v in zip(_REQUEST_ORDER, last)])
+    return requests.withColumn("batch_no", F.when(key <= cut, 1).otherwise(2))
+
+
+def _literal(value) -> Column:
+    """A value of a row, also a nested one, as a literal."""
+    if isinstance(value, Row):
+        return F.struct(*[_literal(v).alias(n) for n, v in value.asDict().items()])
+    return F.lit(value)
+
+
+def numbered(requests: DataFrame) -> DataFrame:
+    """``requests`` (the order columns and narrow others) with their number in
+    order and the number of all."""
+    return global_row_number(requests, list(_REQUEST_ORDER), "request_no", total="_all")

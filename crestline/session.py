@@ -50,6 +50,23 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def written_table(df: DataFrame, name: str) -> DataFrame:
+    """The rows as a table in the shared folder. Unlike a checkpoint it shows its
+    real size to later plans; in loops, size estimates would multiply from join
+    to join."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def drop_tables(*tables: DataFrame) -> None:
+    """Delete the files of written tables that nothing reads any more."""
+    for df in tables:
+        for file in df.inputFiles():
+            path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(file)
+            path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, False)
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new folder name below the shared folder."""
     return f"{shared_dir(spark).rstrip('/')}/crestline-{name}-{uuid.uuid4().hex}"
