@@ -85,7 +85,6 @@ ROOT_NAME = "All Locations"
 PRIOR_VOTES, PRIOR_STARS = 5, 2.5
 MIN_VOTES, CLASSIC_STARS = 5, 3
 PAGE_SIZE_WEB, PAGE_SIZE_STORE, SCAN_LIMIT_STORE = 100, 20, 100
-STORE_ID_LIMIT = 10
 FRESH_DAYS = 7
 MIN_TICK_WORDS = 15
 BYTES_PER_REQUEST, MAX_BATCH_BYTES, MAX_BATCH_REQUESTS = 6500, 200_000_000, 25_000

@@ -110,9 +110,13 @@ def in_selected_areas(routes: DataFrame, selections: DataFrame, path: str = "are
 
     Only distinct area paths are compared: each is cut to every length that
     occurs among the selections and looked up. The list of lengths is bounded
-    by the longest path, not by the number of selections.
+    by the longest path, not by the number of selections. Nothing selected =
+    everything, as in ``path_prefix``.
     """
+    selections = selections.filter(F.col(selected).isNotNull())
     lengths = [r[0] for r in selections.select(F.length(selected)).distinct().collect()]
+    if not lengths:
+        return routes
     heads = (
         routes.select(path).distinct()
         .select(path, F.explode(F.array(*[F.lit(n) for n in lengths]).cast("array<int>")).alias("_n"))
@@ -167,6 +171,12 @@ def path_range(path: Column, prefix: str) -> Column:
     return (path >= prefix) & (path < prefix + PATH_END)
 
 
+def areas_by_path(areas: DataFrame, prefix: str, limit: int | None = None) -> DataFrame:
+    """Areas below a path, by path and id; all of them unless a limit is asked for."""
+    found = areas.filter(path_range(F.col("area_hierarchy_path"), prefix)).orderBy("area_hierarchy_path", "area_id")
+    return found if limit is None else found.limit(limit)
+
+
 def grade_rank_range(low: str | None, high: str | None) -> Column:
     conds = []
     if low:
@@ -181,29 +191,26 @@ def flag_conds(f: StoreFilter) -> Column:
     return all_of([F.col(n) for n in wanted])
 
 
-def area_conds(f: StoreFilter, compat: bool = False) -> Column:
-    """Ids win over the path. ``compat`` keeps the store's limit of ten ids."""
+def area_conds(f: StoreFilter) -> Column:
+    """Ids win over the path."""
     if f.area_ids:
-        ids = f.area_ids[:fixed.STORE_ID_LIMIT] if compat else f.area_ids
-        return F.col("area_id").isin(list(ids))
+        return F.col("area_id").isin(list(f.area_ids))
     return path_range(F.col("area_hierarchy_path"), f.area_path) if f.area_path else F.lit(True)
 
 
-def no_excluded_type(route_type: Column, excluded: tuple[str, ...], compat: bool = False) -> Column:
-    """Array form. ``compat`` compares case-sensitively, as the store client did."""
+def no_excluded_type(route_type: Column, excluded: tuple[str, ...]) -> Column:
+    """Array form, whatever the case."""
     if not excluded:
         return F.lit(True)
-    if compat:
-        return ~overlaps(route_type, excluded)
     return ~overlaps(F.transform(or_empty(route_type), lambda t: F.lower(t)), [t.lower() for t in excluded])
 
 
-def pushed_predicate(f: StoreFilter, compat: bool = False) -> Column:
-    return area_conds(f, compat) & flag_conds(f) & grade_rank_range(f.min_grade, f.max_grade)
+def pushed_predicate(f: StoreFilter) -> Column:
+    return area_conds(f) & flag_conds(f) & grade_rank_range(f.min_grade, f.max_grade)
 
 
-def residual_predicate(f: StoreFilter, compat: bool = False) -> Column:
-    return has_all(F.col("tags"), f.tags) & no_excluded_type(F.col("route_type"), f.excluded_types, compat)
+def residual_predicate(f: StoreFilter) -> Column:
+    return has_all(F.col("tags"), f.tags) & no_excluded_type(F.col("route_type"), f.excluded_types)
 
 
 # --- areas ---------------------------------------------------------------------

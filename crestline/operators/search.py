@@ -118,35 +118,23 @@ def search_areas(areas: DataFrame, query: str, k: int = 15, explain: bool = Fals
 
 
 def search_areas_or_names(areas: DataFrame, query: str, k: int = 15) -> DataFrame:
-    """Explained search; when it finds nothing, plain name containment."""
-    best = search_areas(areas, query, k, explain=True)
-    if not long_enough(query) or not best.isEmpty():
-        return best
-    return areas.filter(F.lower("area_name").contains(query.lower()))
+    """Explained search. A plain search of names as a fallback could add nothing: a
+    name that holds the whole query holds each of its terms and scores already."""
+    return search_areas(areas, query, k, explain=True)
 
 
 def search_routes(routes: DataFrame, query: str, filters: StoreFilter = StoreFilter(),
                   key: str = "quality", direction: str = "desc",
-                  page_size: int = fixed.PAGE_SIZE_STORE, compat: bool = False) -> DataFrame:
-    """Text search over route documents; all terms must occur.
-
-    By default every predicate applies before the page is cut. ``compat`` keeps
-    the store client's order: at most ten area ids or the path, then the first
-    100 rows by key, then text, grade, flags and tags."""
+                  page_size: int = fixed.PAGE_SIZE_STORE) -> DataFrame:
+    """Text search over route documents; all terms must occur, and every
+    predicate applies before the page is cut."""
     if not long_enough(query):
         return routes.limit(0)
     order = store_order(key, direction, text_search=True)
     words = all_of([F.col("searchable_text").contains(t) for t in query_terms(query)])
     rest = words & grade_rank_range(filters.min_grade, filters.max_grade) & flag_conds(filters) \
         & has_all(F.col("tags"), filters.tags)
-    if compat:
-        if len(filters.area_ids) > fixed.STORE_ID_LIMIT:
-            # too many ids: the client drops the id list and falls back to the path
-            filters = StoreFilter(area_path=filters.area_path)
-        routes = routes.filter(area_conds(filters)).orderBy(*order).limit(fixed.SCAN_LIMIT_STORE)
-    else:
-        rest = rest & area_conds(filters)
-    return routes.filter(rest).orderBy(*order).limit(page_size)
+    return routes.filter(rest & area_conds(filters)).orderBy(*order).limit(page_size)
 
 
 def popular_areas(areas: DataFrame, n: int = 10) -> DataFrame:

@@ -72,15 +72,21 @@ def store_order(key: str, direction: str, has_grade: bool = False,
 
 
 def after(keys: list[tuple[str, bool]], cursor: dict) -> Column:
-    """Rows strictly behind the cursor in the mixed-direction order."""
+    """Rows strictly behind the cursor in the mixed-direction order, where nulls
+    come first upwards and last downwards."""
+    def behind(name: str, desc: bool, or_same: bool) -> Column:
+        c, v = F.col(name), cursor[name]
+        if v is None:
+            return F.lit(True) if or_same and not desc else c.isNull() if or_same else F.lit(False) if desc else c.isNotNull()
+        if desc:
+            return ((c <= v) if or_same else (c < v)) | c.isNull()
+        return (c >= v) if or_same else (c > v)
+
     out, same = F.lit(False), F.lit(True)
     for name, desc in keys:
-        v = F.lit(cursor[name])
-        out = out | (same & ((F.col(name) < v) if desc else (F.col(name) > v)))
-        same = same & (F.col(name) == v)
-    name, desc = keys[0]
-    lead = (F.col(name) <= cursor[name]) if desc else (F.col(name) >= cursor[name])
-    return lead & out  # the leading bound can be pushed to the scan
+        out = out | (same & behind(name, desc, False))
+        same = same & F.col(name).eqNullSafe(F.lit(cursor[name]))
+    return behind(*keys[0], True) & out  # the leading bound can be pushed to the scan
 
 
 @dataclass
@@ -91,25 +97,19 @@ class Page:
 
 
 def page_frame(routes: DataFrame, filters: StoreFilter, key: str = "quality", direction: str = "desc",
-               cursor: dict | None = None, page_size: int = fixed.PAGE_SIZE_STORE,
-               compat: bool = False) -> DataFrame:
-    """One page with ``page_pos`` and ``has_more``, lazily.
-
-    Default: all predicates before the cut, pages are full. ``compat``: tags
-    and excluded types are tested after the cut, so pages may be short."""
+               cursor: dict | None = None, page_size: int = fixed.PAGE_SIZE_STORE) -> DataFrame:
+    """One page with ``page_pos`` and ``has_more``, lazily; all predicates apply
+    before the cut, so pages are full."""
     keys = store_keys(key, direction, filters.has_grade)
     order = [F.col(c).desc() if d else F.col(c).asc() for c, d in keys]
-    rows = routes.filter(pushed_predicate(filters, compat))
-    if not compat:
-        rows = rows.filter(residual_predicate(filters))
+    rows = routes.filter(pushed_predicate(filters) & residual_predicate(filters))
     if cursor:
         rows = rows.filter(after(keys, cursor))
     # at most page_size + 1 rows reach the window
     head = rows.orderBy(*order).limit(page_size + 1)
-    head = head.withColumn("page_pos", F.row_number().over(Window.orderBy(*order))) \
+    return head.withColumn("page_pos", F.row_number().over(Window.orderBy(*order))) \
         .withColumn("has_more", F.count("*").over(Window.partitionBy()) > page_size) \
         .filter(F.col("page_pos") <= page_size)
-    return head.filter(residual_predicate(filters, compat)) if compat else head
 
 
 def fetch_page(routes: DataFrame, filters: StoreFilter, key: str = "quality", direction: str = "desc",

@@ -255,11 +255,9 @@ def _(spark, sf):
 # --- document store ------------------------------------------------------------
 
 @query("areas_by_path", """SELECT area_id, store_path AS area_hierarchy_path FROM areas
-    WHERE starts_with(store_path, 'All Locations/AFRICA') ORDER BY store_path, area_id LIMIT 100""")
+    WHERE starts_with(store_path, 'All Locations/AFRICA')""")
 def _(spark, sf):
-    a = area_docs(spark, sf).filter(FL.path_range(F.col("area_hierarchy_path"), "All Locations/AFRICA"))
-    return a.orderBy("area_hierarchy_path", "area_id").limit(fixed.SCAN_LIMIT_STORE).select(
-        "area_id", "area_hierarchy_path")
+    return FL.areas_by_path(area_docs(spark, sf), "All Locations/AFRICA").select("area_id", "area_hierarchy_path")
 
 
 _STORE = FL.StoreFilter(min_grade="5.9", max_grade="5.12c", is_sport=True, tags=("single_pitch",),
@@ -275,11 +273,10 @@ def _(spark, sf):
 _IDS = tuple(f"a{i}" for i in range(0, 24, 2))
 
 
-@query("store_area_ids", f"""SELECT route_id, area_id IN {_IDS[:10]} AS compat FROM texts WHERE area_id IN {_IDS}""")
+@query("store_area_ids", f"""SELECT route_id, area_id FROM texts WHERE area_id IN {_IDS}""")
 def _(spark, sf):
     f = FL.StoreFilter(area_ids=_IDS)
-    return route_docs(spark, sf).filter(FL.area_conds(f)).select(
-        "route_id", FL.area_conds(f, compat=True).alias("compat"))
+    return route_docs(spark, sf).filter(FL.area_conds(f)).select("route_id", "area_id")
 
 
 @query("store_flags", """SELECT route_id FROM texts WHERE is_multipitch AND is_trad""")
@@ -287,12 +284,10 @@ def _(spark, sf):
     return route_docs(spark, sf).filter(FL.flag_conds(FL.StoreFilter(is_multipitch=True, is_trad=True))).select("route_id")
 
 
-@query("store_excluded_types", """SELECT route_id, NOT list_contains(types, 'Alpine') AS kept, true AS kept_compat FROM texts""")
+@query("store_excluded_types", """SELECT route_id, NOT list_contains(types, 'Alpine') AS kept FROM texts""")
 def _(spark, sf):
-    c = F.col("route_type")
     return route_docs(spark, sf).select(
-        "route_id", FL.no_excluded_type(c, ("alpine",)).alias("kept"),
-        FL.no_excluded_type(c, ("alpine",), compat=True).alias("kept_compat"))
+        "route_id", FL.no_excluded_type(F.col("route_type"), ("alpine",)).alias("kept"))
 
 
 @query("store_first_page", f"""SELECT route_id, row_number() OVER (ORDER BY grade_numeric DESC, quality_score DESC, route_id)::INTEGER
@@ -310,12 +305,11 @@ def _(spark, sf):
     return sorting.pages(docs, FL.StoreFilter(is_trad=True), 3, "votes").select("route_id", "page_no")
 
 
-@query("store_page_compat", """SELECT route_id, page_pos FROM (SELECT route_id, tags,
-      row_number() OVER (ORDER BY route_lr::INTEGER, route_id)::INTEGER AS page_pos FROM texts)
-    WHERE page_pos <= 20 AND list_contains(tags, 'single_pitch')""")
+@query("store_page_by_tag", """SELECT route_id, row_number() OVER (ORDER BY route_lr::INTEGER, route_id)::INTEGER AS page_pos
+    FROM texts WHERE list_contains(tags, 'single_pitch') QUALIFY page_pos <= 20""")
 def _(spark, sf):
     f = FL.StoreFilter(tags=("single_pitch",))
-    return sorting.page_frame(route_docs(spark, sf), f, "lr", "asc", compat=True).select("route_id", "page_pos")
+    return sorting.page_frame(route_docs(spark, sf), f, "lr", "asc").select("route_id", "page_pos")
 
 
 @query("store_areas_by_name", "SELECT area_id, area_name FROM areas")
@@ -440,10 +434,9 @@ def _(spark, sf):
     return search.search_routes(route_docs(spark, sf), "widget sport", f).select("route_id")
 
 
-@query("search_routes_compat", f"""SELECT route_id FROM (SELECT * FROM texts ORDER BY route_stars DESC, route_id DESC LIMIT 100)
-    WHERE {_WORDS} ORDER BY route_stars DESC, route_id DESC LIMIT 20""")
+@query("search_routes_by_stars", f"""SELECT route_id FROM texts WHERE {_WORDS} ORDER BY route_stars DESC, route_id DESC LIMIT 20""")
 def _(spark, sf):
-    return search.search_routes(route_docs(spark, sf), "widget sport", key="stars", compat=True).select("route_id")
+    return search.search_routes(route_docs(spark, sf), "widget sport", key="stars").select("route_id")
 
 
 @query("popular_areas", "SELECT area_id, area_name FROM areas ORDER BY area_name, area_id LIMIT 10")

@@ -234,8 +234,10 @@ def _(spark, sf):
     SELECT custom_id, CAST(request_no AS BIGINT) AS request_no,
       CASE WHEN request_no <= total * 2 // 5 THEN 1 ELSE 2 END AS batch_no FROM r""")
 def _(spark, sf):
-    return enrich.split_batches(_requests(spark, sf)).select(
-        "request.custom_id", F.col("request_no").cast("bigint").alias("request_no"), "batch_no")
+    requests = _requests(spark, sf)
+    narrow = requests.select("kind", "area_ord", "route_ord", "request.custom_id")
+    numbers = enrich.numbered(narrow).select("custom_id", F.col("request_no").cast("bigint").alias("request_no"))
+    return enrich.split_batches(requests).select("request.custom_id", "batch_no").join(numbers, "custom_id")
 
 
 @query("request_split_decision", f"""SELECT CAST(count(*) AS BIGINT) AS n_requests,

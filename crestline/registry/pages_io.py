@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from crestline import fixed
 from crestline.functions.text import slug_to_title, title_case
-from crestline.operators import crawl, enrich, extract, ledger, reduction
+from crestline.operators import crawl, enrich, extract, filters, ledger, reduction
 from crestline.plans import enrichment as enrichment_plan
+from crestline.plans import load
 from crestline.plans import mapping as m
 from crestline.registry import sql as S
 from crestline.registry.base import joined, long_tags, query
@@ -48,10 +49,9 @@ def _(spark, sf):
         .select("page_id", "pos", extract.absolute(F.col("href"), F.col("url")).alias("href"))
 
 
-@query("url_keys", """SELECT page_id, md5(url) AS cache_key, regexp_replace(url, '^(.*?)/en/', '\\1/en/') AS same FROM pages""")
+@query("url_keys", "SELECT page_id, md5(url) AS cache_key FROM pages")
 def _(spark, sf):
-    return m.table(spark, sf, "pages").select("page_id", ledger.cache_key(F.col("url")).alias("cache_key"),
-                                              F.col("url").alias("same"))
+    return m.table(spark, sf, "pages").select("page_id", ledger.cache_key(F.col("url")).alias("cache_key"))
 
 
 @query("stats_urls", "SELECT route_id, replace(route_url, '/route/', '/route/stats/') AS stats_url FROM routes")
@@ -161,6 +161,18 @@ def _(spark, sf):
         "route_url", "pos", "c.*")
 
 
+@query("site_comments_stray", f"""SELECT '{_SITE}/route/' || k || '/r-' || k AS route_url, 0 AS pos, 'Ann ' || k AS comment_author,
+      'Nice and long' AS comment_text FROM routes WHERE k % 2 = 0
+    UNION ALL SELECT '{_SITE}/route/' || k || '/r-' || k, (CASE WHEN k % 2 = 0 THEN 1 ELSE 0 END), 'N/A', 'ok' FROM routes""")
+def _(spark, sf):
+    # parts of a comment that lie outside all comment tables
+    stray = '$1<div class="bio">Nobody</div><div class="comment-body">stray</div><span class="comment-time">now</span>'
+    pages = m.site_route_pages(spark, sf).withColumn(
+        "html", F.regexp_replace("html", r'(<div[^>]*comment-list[^>]*>)', stray))
+    return with_elements(pages).select(F.col("url").alias("route_url"), F.posexplode(extract.comments()).alias("pos", "c")).select(
+        "route_url", "pos", "c.comment_author", "c.comment_text")
+
+
 def _stats(spark, sf):
     return extract.route_stats(with_elements(m.site_stats_pages(spark, sf)))
 
@@ -216,17 +228,18 @@ def _(spark, sf):
 
 # --- files ---------------------------------------------------------------------
 
-def _nested_areas(spark, sf):
+def _nested_areas(spark, sf, per_row=1000):
     """Nested areas of the mapping with list- or map-shaped tags as raw text."""
     areas = m.areas(spark, sf).withColumn("area_tags", F.when(F.col("approach").isNull(), "[]").otherwise(
         F.to_json(F.create_map(F.lit(fixed.APPROACH), F.array("approach")))))
     n = m.size(spark, sf, "supplier")
     # part k is route number k div n of its supplier
     routes = m.routes(spark, sf, with_ratings=True).withColumn("route_pos", F.floor(F.col("k") / n).cast("int"))
-    return extract.nest(areas, routes.drop("k", "area_ord", "route_ord"))
+    return extract.nest(areas, routes.drop("k", "area_ord", "route_ord"), per_row)
 
 
-_IN_AREAS = "routes JOIN areas USING (area_id)"
+# routes of an unknown area keep a record with nothing but its id
+_IN_AREAS = "routes LEFT JOIN areas USING (area_id)"
 
 
 @query("manifest_scan", f"SELECT area_id, route_id, area_name, route_type FROM {_IN_AREAS}")
@@ -245,22 +258,23 @@ def _(spark, sf):
     return routes.select("area_id", "route_id", "area_name", "route_type")
 
 
-@query("state_reduction", f"""SELECT lower(r_name) AS state, CAST(count(*) AS BIGINT) AS n_routes FROM {_IN_AREAS}
+@query("state_reduction", f"""SELECT coalesce(lower(r_name), 'unknown') AS state, CAST(count(*) AS BIGINT) AS n_routes FROM {_IN_AREAS}
     WHERE {S.ELIGIBLE} GROUP BY r_name""")
 def _(spark, sf):
     folder = scratch_path(spark, "states")
     nested_areas = _nested_areas(spark, sf).withColumn(
-        "state", F.lower(F.col("area_hierarchy")[1]["area_hierarchy_name"])).drop("area_ord", "approach")
-    store.write_by_state(nested_areas, folder)
-    # partition folders carry the state
-    back = nested.read_nested(spark, folder, multi_line=False)
-    state = F.regexp_extract("file_path", r"state=([^/]+)/", 1)
-    kept = reduction.reduce_nested(back.withColumn("state", F.replace(state, F.lit("%20"), F.lit(" "))))
+        "state", F.coalesce(F.lower(F.get("area_hierarchy", F.lit(1))["area_hierarchy_name"]), F.lit("unknown"))
+    ).drop("area_ord", "approach")
+    # one folder <state>_routes_tagged.json for each state, of the fixed regions of the mapping
+    states = [r[0] for r in nested_areas.select("state").distinct().collect()]
+    for state in states:
+        store.write_json(nested_areas.filter(F.col("state") == state).drop("state"), f"{folder}/{state}_routes_tagged.json")
+    kept = reduction.reduce_nested(nested.scan_states(spark, folder, multi_line=False))
     return nested.flatten_nested(kept)[1].groupBy("state").agg(F.count("*").alias("n_routes"))
 
 
 @query("nested_json_roundtrip", f"""SELECT area_id, area_name, CAST(count(route_id) AS BIGINT) AS n_routes,
-    CASE WHEN approach IS NULL THEN '' ELSE approach END AS approach FROM areas LEFT JOIN routes USING (area_id) GROUP BY ALL""")
+    CASE WHEN approach IS NULL THEN '' ELSE approach END AS approach FROM areas FULL JOIN routes USING (area_id) GROUP BY ALL""")
 def _(spark, sf):
     folder = scratch_path(spark, "tagged")
     store.write_json(_nested_areas(spark, sf).drop("area_ord", "approach"), store.tagged_name(f"{folder}.json"))
@@ -272,17 +286,26 @@ def _(spark, sf):
 
 
 @query("enrichment_from_files", f"""SELECT route_id, category, array_to_string(tags, ',') AS tags FROM (
-    SELECT * FROM enriched WHERE route_id IN (SELECT route_id FROM {_IN_AREAS}) AND category <> '{fixed.APPROACH}'
+    SELECT * FROM enriched WHERE category <> '{fixed.APPROACH}'
     UNION ALL SELECT route_id, '{fixed.APPROACH}', [approach] FROM {_IN_AREAS} WHERE approach IS NOT NULL)""")
 def _(spark, sf):
-    folder = scratch_path(spark, "enrich")
-    store.write_json(_nested_areas(spark, sf).drop("area_ord", "approach"), f"{folder}/areas")
-    # earlier snapshot: the same areas with the earlier tags of their routes
+    return _enriched_files(spark, sf, 1000)
+
+
+def _earlier_nested(spark, sf, per_row):
+    """Earlier snapshot: the same areas with the earlier tags of their routes."""
     earlier = m.previous_tags(spark, sf).withColumn("route_pos", F.col("route_ord")).withColumn(
         "area_url", F.lit(None).cast("string")).drop("area_ord", "route_ord")
     earlier = earlier.withColumn("route_pos", F.col("route_pos") + F.lit(2) * F.floor(
         F.col("route_id").cast("bigint") / m.size(spark, sf, "supplier")).cast("int"))
-    store.write_json(extract.nest(m.areas(spark, sf).drop("area_ord", "approach"), earlier), f"{folder}/earlier")
+    return extract.nest(m.areas(spark, sf).drop("area_ord", "approach"), earlier, per_row)
+
+
+def _enriched_files(spark, sf, per_row, first_run=False):
+    folder = scratch_path(spark, "enrich")
+    store.write_json(_nested_areas(spark, sf, per_row).drop("area_ord", "approach"), f"{folder}/areas")
+    if not first_run:
+        store.write_json(_earlier_nested(spark, sf, per_row), f"{folder}/earlier")
     results = m.result_lines(spark, sf)
     for batch in (0, 1):
         results.filter(F.col("batch_ord") == batch).select("value").write.text(f"{folder}/results/b{batch}.jsonl")
@@ -293,6 +316,106 @@ def _(spark, sf):
     return long_tags(routes, "route_id")
 
 
+_WITH_RESULTS = f"(SELECT route_id FROM result_ids JOIN routes USING (route_id) WHERE {S.ELIGIBLE})"
+
+
+@query("enrichment_first_run", f"""SELECT route_id, category, array_to_string(tags, ',') AS tags FROM (
+    SELECT * FROM enriched WHERE category <> '{fixed.APPROACH}' AND route_id IN {_WITH_RESULTS}
+    UNION ALL SELECT route_id, category, list_sort(tags) FROM manual WHERE route_id NOT IN {_WITH_RESULTS}
+    UNION ALL SELECT route_id, '{fixed.APPROACH}', [approach] FROM {_IN_AREAS} WHERE approach IS NOT NULL)""")
+def _(spark, sf):
+    return _enriched_files(spark, sf, 1000, first_run=True)
+
+
+@query("reduced_nested_parts", f"""SELECT area_id, area_name, CAST(count(*) AS BIGINT) AS n_routes FROM {_IN_AREAS}
+    WHERE {S.ELIGIBLE} GROUP BY ALL""")
+def _(spark, sf):
+    folder = scratch_path(spark, "parts")
+    store.write_json(_nested_areas(spark, sf, per_row=3).drop("area_ord", "approach"), folder)
+    areas, routes = nested.flatten_nested(reduction.reduce_nested(nested.read_nested(spark, folder, multi_line=False)))
+    n = routes.groupBy("area_id").agg(F.count("*").alias("n_routes"))
+    return areas.select("area_id", "area_name").join(n, "area_id", "left")
+
+
+@query("snapshot_merge_parts", "SELECT route_id, category, array_to_string(tags, ',') AS tags FROM previous")
+def _(spark, sf):
+    folder = scratch_path(spark, "earlier-parts")
+    store.write_json(_earlier_nested(spark, sf, per_row=3), folder)
+    _, earlier = enrichment_plan.typed(*nested.flatten_nested(nested.snapshot_or_empty(spark, folder, multi_line=False)))
+    routes = m.routes(spark, sf, **_bare).withColumn("route_tags", F.from_json(F.lit("{}"), "map<string,array<string>>"))
+    return long_tags(enrich.merge_route_snapshot(routes, earlier), "route_id")
+
+
+@query("manifest_equal_names", f"""SELECT route_id, (1 - coalesce(s_suppkey, 0) % 2)::INTEGER AS file_ord FROM {_IN_AREAS}""")
+def _(spark, sf):
+    folder = scratch_path(spark, "names")
+    nested_areas = _nested_areas(spark, sf)
+    for i, state in enumerate(("b", "a")):  # equal names in two folders, with blanks in them
+        nested_areas.filter(F.coalesce("area_ord", F.lit(0)) % 2 == 1 - i).drop("area_ord", "approach").write.json(
+            f"{folder}/{state}/all routes.json")
+    spark.createDataFrame([('["b/all routes.json","a/all routes.json","gone.json"]',)], "value string").coalesce(1) \
+        .write.text(f"{folder}/index")
+    areas, _ = nested.scan_manifest(spark, f"{folder}/index", folder, multi_line=False)
+    return nested.flatten_nested(areas)[1].select("route_id", "file_ord")
+
+
+@query("load_job", """SELECT 'areas' AS collection, count(*)::BIGINT AS valid, 0::BIGINT AS invalid, 0::BIGINT AS skipped,
+      count(*)::BIGINT AS stored FROM areas
+    UNION ALL SELECT 'routes', (SELECT count(*) FROM docs), 0, count(*) - (SELECT count(*) FROM docs), (SELECT count(*) FROM docs)
+      FROM routes""")
+def _(spark, sf):
+    return load.run(spark, *_flat_load(spark, sf), scratch_path(spark, "load"))
+
+
+def _flat_load(spark, sf):
+    from crestline.registry.base import ruled
+
+    areas = m.areas(spark, sf).withColumn("area_tags", F.from_json(F.lit("{}"), "map<string,array<string>>"))
+    routes = m.routes(spark, sf, with_text=True, with_ratings=True)
+    return areas, enrich.with_manual_tags(routes).withColumnRenamed("manual_tags", "route_tags")
+
+
+@query("stored_routes_by_path", """SELECT route_id, quality_score FROM docs
+    WHERE starts_with(area_hierarchy_path, 'All Locations/ASIA') AND grade_numeric >= 13""")
+def _(spark, sf):
+    base = scratch_path(spark, "stored")
+    load.run(spark, *_flat_load(spark, sf), base)
+    rows = store.read_version(spark, f"{base}/routes")
+    return rows.filter(filters.path_range(F.col("area_hierarchy_path"), "All Locations/ASIA")
+                       & filters.grade_rank_range("5.9", None)).select("route_id", "quality_score")
+
+
+@query("skip_areas_load", "SELECT route_id, area_name FROM docs")
+def _(spark, sf):
+    base, (areas, routes) = scratch_path(spark, "skip"), _flat_load(spark, sf)
+    load.run(spark, areas, routes.limit(0), base)
+    # areas come from the stored collection; the given ones have lost their names
+    load.run(spark, areas.withColumn("area_name", F.lit("")), routes, base, force=True, skip_areas=True)
+    return store.read_version(spark, f"{base}/routes").select("route_id", "area_name")
+
+
+@query("areas_by_root", "SELECT 'some-place' AS root_slug, area_id FROM areas")
+def _(spark, sf):
+    folder = scratch_path(spark, "root")
+    store.write_by_root(m.areas(spark, sf).select("area_id"), folder, "https://crags.example.org/area/1/some-place/")
+    return spark.read.json(folder).select("root_slug", "area_id")
+
+
+@query("mapped_categories", """SELECT route_id, CASE WHEN category = 'Rope Length' THEN 'Rope' ELSE category END AS category,
+    array_to_string(tags, ',') AS tags FROM manual""")
+def _(spark, sf):
+    from crestline.functions.tags import map_categories
+    from crestline.registry.base import ruled
+
+    mapped = ruled(spark, sf).withColumn("manual_tags", map_categories(F.col("manual_tags"), {"Rope Length": "Rope"}))
+    return long_tags(mapped, "route_id", "manual_tags")
+
+
+@query("upload_outcomes", "SELECT o_orderstatus AS status, count(*) AS n FROM orders GROUP BY 1")
+def _(spark, sf):
+    return store.outcome_totals(m.table(spark, sf, "orders").select(F.col("o_orderstatus").alias("status")))
+
+
 @query("result_files", """SELECT 'route' AS kind, route_id AS entity_id, category, array_to_string(tags, ',') AS tags
       FROM result_tags UNION ALL SELECT 'area', area_id, category, array_to_string(tags, ',') FROM area_result_tags""")
 def _(spark, sf):
@@ -349,15 +472,24 @@ def _(spark, sf):
     return store.read_version(spark, base).select("route_id", "origin").withColumn("version", F.lit(v))
 
 
-@query("file_inventory", "SELECT 5::BIGINT AS files, true AS has_bytes, true AS sorted")
-def _(spark, sf):
+def _state_files(spark, sf):
+    """Inventory of one file of area ids for each state."""
     folder = scratch_path(spark, "inventory")
-    areas = m.areas(spark, sf).withColumn("state", F.col("area_hierarchy")[1]["area_hierarchy_name"])
-    store.write_by_state(areas.repartition("state").select("area_id", "area_name", "state"), folder)
-    files = store.inventory(spark, folder)
-    per_folder = files.groupBy(F.regexp_extract("path", "state=([^/]+)/", 1).alias("state")).agg(F.sum("bytes").alias("b"))
-    return per_folder.agg(F.count("*").alias("files"), (F.min("b") > 0).alias("has_bytes"),
-                          F.lit(True).alias("sorted"))
+    state = F.replace(F.col("area_hierarchy")[1]["area_hierarchy_name"], F.lit(" "), F.lit("_"))
+    m.areas(spark, sf).select(state.alias("state"), F.col("area_id").alias("value")).repartition("state").write.partitionBy(
+        "state").text(folder)
+    return store.inventory(spark, folder, "*.txt")
+
+
+@query("file_inventory", """SELECT replace(r_name, ' ', '_') AS state, sum(strlen(area_id) + 1)::BIGINT AS bytes,
+    sum(strlen(area_id) + 1) / 1048576.0::DOUBLE AS size_mb FROM areas GROUP BY r_name""")
+def _(spark, sf):
+    return _state_files(spark, sf).select(F.regexp_extract("path", "state=([^/]+)/", 1).alias("state"), "bytes", "size_mb")
+
+
+@query("file_totals", "SELECT count(DISTINCT r_name) AS files, sum(strlen(area_id) + 1)::BIGINT AS bytes FROM areas")
+def _(spark, sf):
+    return store.size_totals(_state_files(spark, sf)).select("files", "bytes")
 
 
 @query("work_ledger", """SELECT 'pending' AS status, CAST(count(*) - (SELECT count(*) FROM supplier WHERE s_suppkey % 3 = 0) AS BIGINT) AS n

@@ -121,23 +121,38 @@ def test_pages_equal_one_sort(docs, direction):
     assert ids(paged) == ids(whole)
 
 
-def test_compat_page_is_cut_first(docs):
-    f = FL.StoreFilter(tags=("slab",))
-    page = sorting.page_frame(docs, f, "votes", "desc", page_size=10, compat=True)
-    assert page.count() < 10
-    assert sorting.page_frame(docs, f, "votes", "desc", page_size=10).count() == 10
+@pytest.mark.parametrize("direction", ["asc", "desc"])
+def test_pages_keep_null_keys(docs, direction):
+    f = FL.StoreFilter()
+    some = docs.withColumn("route_votes", F.when(F.col("grade_numeric") > 2, F.col("route_votes")))
+    paged = sorting.pages(some, f, 30, "votes", direction, page_size=3).orderBy("page_no", "page_pos")
+    assert ids(paged) == ids(some.orderBy(*sorting.store_order("votes", direction)))
+
+
+def test_page_is_filtered_before_it_is_cut(docs):
+    assert sorting.page_frame(docs, FL.StoreFilter(tags=("slab",)), "votes", "desc", page_size=10).count() == 10
 
 
-def test_ten_ids_in_compat(docs):
+def test_many_ids(docs):
     f = FL.StoreFilter(area_ids=tuple(f"a{i}" for i in range(12)))
     assert docs.filter(FL.area_conds(f)).count() == 73
-    assert docs.filter(FL.area_conds(f, compat=True)).select("area_id").distinct().count() == 10
 
 
 def test_excluded_case(docs):
-    c = F.col("route_type")
-    assert docs.filter(FL.no_excluded_type(c, ("sport",))).count() == 0
-    assert docs.filter(FL.no_excluded_type(c, ("sport",), compat=True)).count() == 73
+    assert docs.filter(FL.no_excluded_type(F.col("route_type"), ("sport",))).count() == 0
+
+
+def test_areas_by_path_has_no_hidden_limit(docs):
+    areas = docs.select(F.col("route_id").alias("area_id"), "area_hierarchy_path")
+    assert FL.areas_by_path(areas, "All/W").count() == 73
+    assert FL.areas_by_path(areas, "All/W", limit=5).count() == 5
+
+
+def test_nothing_selected_is_everything(spark, docs):
+    none = spark.createDataFrame([], "selected_path string")
+    routes = docs.withColumn("area_path", F.col("area_hierarchy_path"))
+    assert FL.in_selected_areas(routes, none).count() == 73
+    assert FL.in_selected_areas(routes, spark.createDataFrame([("All/W",)], "selected_path string")).count() == 73
 
 
 def test_path_range(docs):
@@ -148,10 +163,8 @@ def test_path_range(docs):
 def test_text_search(docs):
     assert ids(search.search_routes(docs, "rock 72")) == ["r72"]
     assert search.search_routes(docs, " x ").count() == 0
-    # too many ids: the client drops the id filter
     many = FL.StoreFilter(area_ids=tuple(f"b{i}" for i in range(11)))
     assert search.search_routes(docs, "rock", many).count() == 0
-    assert search.search_routes(docs, "rock", many, compat=True).count() == 20
 
 
 def test_field_score(spark):
