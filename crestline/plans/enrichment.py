@@ -7,9 +7,12 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from crestline import schemas
 from crestline.functions import derive
-from crestline.operators import enrich
-from crestline.sources import lines, nested
+from crestline.operators import enrich, extract
+from crestline.sources import lines, nested, store
+
+PART = 1000  # routes of an area in one record
 
 
 def typed(areas: DataFrame, routes: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -26,6 +29,23 @@ def typed(areas: DataFrame, routes: DataFrame) -> tuple[DataFrame, DataFrame]:
     return areas, routes
 
 
+def run_versions(spark: SparkSession, nested_areas: DataFrame, result_paths: str | Sequence[str], base: str) -> int:
+    """Enrich and write the tagged nested records as the next version of ``base``, with the tags of the
+    version before; that one stays as a backup. Returns the number of the version."""
+    found = store.versions(spark, base)
+    previous = nested.snapshot_or_empty(spark, f"{base}/v={found[-1] if found else 0}", multi_line=False)
+    areas, routes, _ = run(spark, nested_areas, result_paths, previous)
+    first = F.coalesce(F.col("part"), F.lit(0)) * PART + F.col("route_pos") if "part" in routes.columns else F.col("route_pos")
+    fields = [c for c in schemas.ROUTE_COLUMNS if c in routes.columns and c not in ("manual_tags", "llm_tags")]
+    records = extract.nest(
+        areas.select([F.to_json(c).alias(c) if c == "area_tags" else F.col(c) for c in schemas.AREA_COLUMNS]),
+        routes.select("area_id", first.alias("route_pos"), *[
+            F.to_json(c).alias(c) if c == "route_tags" else F.col(c) for c in fields]), PART)
+    version = store.next_version(spark, base)
+    store.write_json(records, f"{base}/v={version}")
+    return version
+
+
 def _ordinals(areas: DataFrame) -> tuple[Column, Column]:
     """(order of an area, order of a route inside its area)."""
     path, pos = F.col("file_path"), F.col("area_pos")

@@ -262,7 +262,7 @@ SITE = "https://crags.example.org"
 
 def _spread(df: DataFrame, key: str) -> DataFrame:
     """Deal narrow rows out before each becomes a page, about fifty times as wide."""
-    return df.repartition(df.sparkSession.sparkContext.defaultParallelism, key)
+    return df.repartition(key)
 
 
 def site_url(kind: str, key: str, slug: str) -> str:

@@ -8,8 +8,9 @@ from crestline import fixed
 from crestline.functions.text import slug_to_title, title_case
 from crestline.operators import crawl, enrich, extract, filters, ledger, reduction
 from crestline.plans import enrichment as enrichment_plan
-from crestline.plans import load
+from crestline.plans import extraction, load
 from crestline.plans import mapping as m
+from crestline.plans import reduction as reduction_plan
 from crestline.registry import sql as S
 from crestline.registry.base import joined, long_tags, query
 from crestline.session import scratch_path
@@ -262,6 +263,12 @@ def _(spark, sf):
     WHERE {S.ELIGIBLE} GROUP BY r_name""")
 def _(spark, sf):
     folder = scratch_path(spark, "states")
+    _write_states(spark, sf, folder)
+    kept = reduction.reduce_nested(nested.scan_states(spark, folder, multi_line=False))
+    return nested.flatten_nested(kept)[1].groupBy("state").agg(F.count("*").alias("n_routes"))
+
+
+def _write_states(spark, sf, folder):
     nested_areas = _nested_areas(spark, sf).withColumn(
         "state", F.coalesce(F.lower(F.get("area_hierarchy", F.lit(1))["area_hierarchy_name"]), F.lit("unknown"))
     ).drop("area_ord", "approach")
@@ -269,8 +276,6 @@ def _(spark, sf):
     states = [r[0] for r in nested_areas.select("state").distinct().collect()]
     for state in states:
         store.write_json(nested_areas.filter(F.col("state") == state).drop("state"), f"{folder}/{state}_routes_tagged.json")
-    kept = reduction.reduce_nested(nested.scan_states(spark, folder, multi_line=False))
-    return nested.flatten_nested(kept)[1].groupBy("state").agg(F.count("*").alias("n_routes"))
 
 
 @query("nested_json_roundtrip", f"""SELECT area_id, area_name, CAST(count(route_id) AS BIGINT) AS n_routes,
@@ -359,6 +364,52 @@ def _(spark, sf):
     return nested.flatten_nested(areas)[1].select("route_id", "file_ord")
 
 
+# the second run has no results: categories with rule tags are merged again, which sorts them
+_TWICE = f"""SELECT route_id, category, array_to_string(CASE WHEN (route_id, category) IN (SELECT (route_id, category) FROM manual)
+      THEN list_sort(tags) ELSE tags END, ',') AS tags FROM (
+    SELECT * FROM enriched WHERE category <> '{fixed.APPROACH}' AND route_id IN {_WITH_RESULTS}
+    UNION ALL SELECT route_id, category, list_sort(tags) FROM manual WHERE route_id NOT IN {_WITH_RESULTS}
+    UNION ALL SELECT route_id, '{fixed.APPROACH}', [approach] FROM {_IN_AREAS} WHERE approach IS NOT NULL)"""
+
+
+@query("enrichment_versions", _TWICE)
+def _(spark, sf):
+    base = scratch_path(spark, "versions")
+    store.write_json(_nested_areas(spark, sf).drop("area_ord", "approach"), f"{base}/in")
+    m.result_lines(spark, sf).select("value").write.text(f"{base}/results")
+    m.result_lines(spark, sf).select("value").limit(0).write.text(f"{base}/none")
+    current = nested.read_nested(spark, f"{base}/in", multi_line=False)
+    # the second run has no results; it keeps the tags of the first
+    for results in ("results", "none"):
+        version = enrichment_plan.run_versions(spark, current, [f"{base}/{results}"], f"{base}/out")
+    back = nested.read_nested(spark, f"{base}/out/v={version}", multi_line=False)
+    return long_tags(enrichment_plan.typed(*nested.flatten_nested(back))[1], "route_id")
+
+
+@query("reduction_job", f"""WITH s AS (SELECT coalesce(lower(r_name), 'unknown') AS state, area_id, {S.ELIGIBLE} AS ok FROM {_IN_AREAS}),
+    p AS (SELECT state, count(*)::BIGINT AS routes_total, count(*) FILTER (WHERE ok)::BIGINT AS routes_kept,
+      count(DISTINCT area_id) FILTER (WHERE ok)::BIGINT AS areas_kept FROM s GROUP BY state)
+    SELECT state, routes_total, routes_kept, areas_kept FROM p
+    UNION ALL SELECT 'Total', sum(routes_total)::BIGINT, sum(routes_kept)::BIGINT, sum(areas_kept)::BIGINT FROM p""")
+def _(spark, sf):
+    folder = scratch_path(spark, "reduction")
+    _write_states(spark, sf, f"{folder}/in")
+    stats = reduction_plan.run(spark, f"{folder}/in", f"{folder}/out", multi_line=False)
+    return stats.select("state", "routes_total", "routes_kept", "areas_kept")
+
+
+@query("extraction_resume", f"""SELECT md5({_url("s_suppkey")}) AS area_id, count(k)::BIGINT AS n_routes FROM supplier, n
+    LEFT JOIN routes ON k % ns = s_suppkey AND s_suppkey * 10 + 1 >= ns GROUP BY ALL""")
+def _(spark, sf):
+    base = scratch_path(spark, "extraction")
+    pages = m.site_area_pages(spark, sf)
+    others = m.site_route_pages(spark, sf), m.site_stats_pages(spark, sf)
+    some = pages.filter(F.crc32("url") % 2 == 0)
+    extraction.run(spark, some, *others, base, _SITE)
+    extraction.run(spark, pages, *others, base, _SITE)  # takes the rest only
+    return extraction.records(spark, base).groupBy("area_id").agg(F.sum(F.size("routes")).alias("n_routes"))
+
+
 @query("load_job", """SELECT 'areas' AS collection, count(*)::BIGINT AS valid, 0::BIGINT AS invalid, 0::BIGINT AS skipped,
       count(*)::BIGINT AS stored FROM areas
     UNION ALL SELECT 'routes', (SELECT count(*) FROM docs), 0, count(*) - (SELECT count(*) FROM docs), (SELECT count(*) FROM docs)

@@ -56,6 +56,11 @@ def read_version(spark: SparkSession, base: str, version: int | None = None) ->
     return spark.read.parquet(f"{base}/v={found[-1] if version is None else version}")
 
 
+def next_version(spark: SparkSession, base: str) -> int:
+    found = versions(spark, base)
+    return (found[-1] if found else 0) + 1
+
+
 def has_rows(spark: SparkSession, base: str) -> bool:
     """Probe of an existing target."""
     df = read_version(spark, base)
@@ -66,9 +71,7 @@ def write_version(df: DataFrame, base: str, cluster_by: list[str] | None = None)
     """Write the next version; earlier ones stay as backups. With ``cluster_by``
     rows are range partitioned and sorted, so later prefix and range filters
     read few files."""
-    spark = df.sparkSession
-    found = versions(spark, base)
-    version = (found[-1] if found else 0) + 1
+    version = next_version(df.sparkSession, base)
     if cluster_by:
         df = df.repartitionByRange(*cluster_by).sortWithinPartitions(*cluster_by)
     df.write.mode("overwrite").parquet(f"{base}/v={version}")
