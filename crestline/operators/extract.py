@@ -9,6 +9,7 @@ from crestline import fixed
 from crestline.functions.arrays import or_empty
 from crestline.functions.text import slug, slug_to_title, strip
 from crestline.schemas import COMMENTS, HIERARCHY
+from crestline.session import written_table
 from crestline.sources.html import bind, first, following, has_class, inside, joined, select, with_elements
 
 MISSING = "N/A"  # text of a field the page does not have
@@ -298,8 +299,9 @@ def gps() -> Column:
     return F.coalesce(first(F.filter(links, lambda h: contains(h, "maps.google.com"))), F.lit(MISSING))
 
 
-def area_records(pages_with_els: DataFrame) -> DataFrame:
-    """One area record per page; the id is a digest of the URL, so reruns agree."""
+def area_records(pages_with_els: DataFrame, *more: Column) -> DataFrame:
+    """One area record per page, with ``more`` columns; the id is a digest of the
+    URL, so reruns agree."""
     there = first(select(els(), lambda e: (e["tag"] == "h2") & contains(e["raw"], "Getting There")))
     return pages_with_els.select(
         F.md5("url").alias("area_id"), F.col("url").alias("area_url"), slug(F.col("url")).alias("area_name"),
@@ -308,21 +310,37 @@ def area_records(pages_with_els: DataFrame) -> DataFrame:
         F.coalesce(joined(following(els(), there, is_block)), F.lit(MISSING)).alias("area_getting_there"),
         F.lit("[]").alias("area_tags"), hierarchy().alias("area_hierarchy"),
         access_issues().alias("area_access_issues"), page_views().alias("area_page_views"),
-        shared_on().alias("area_shared_on"), comments().alias("area_comments"))
+        shared_on().alias("area_shared_on"), comments().alias("area_comments"), *more)
 
 
-def route_list(pages_with_els: DataFrame) -> DataFrame:
-    """Rows of the route table, in list order (route_pos)."""
+def _route_links() -> Column:
+    """(name, href, lr) of the links in the route table."""
     links = bind(route_table(), lambda t: select(
         els(), lambda e: (e["tag"] == "a") & (e["table"] == t["start"]) & (e["nth"] == 0)))
-    return pages_with_els.select(
-        F.md5("url").alias("area_id"), F.col("url").alias("area_url"), F.posexplode(links).alias("route_pos", "a"),
-    ).select(
-        "area_id", "area_url", "route_pos", joined(F.col("a")).alias("route_name"),
+    return F.transform(links, lambda a: F.struct(joined(a).alias("name"), a["href"].alias("href"), a["lr"].alias("lr")))
+
+
+def _listed(areas: DataFrame) -> DataFrame:
+    """Route rows of (area_id, area_url, links)."""
+    return areas.select("area_id", "area_url", F.posexplode("links").alias("route_pos", "a")).select(
+        "area_id", "area_url", "route_pos", F.col("a.name").alias("route_name"),
         absolute(F.col("a.href"), F.col("area_url")).alias("route_url"),
         F.coalesce(F.col("a.lr").try_cast("int"), F.lit(0)).alias("route_lr"))
 
 
+def route_list(pages_with_els: DataFrame) -> DataFrame:
+    """Rows of the route table, in list order (route_pos)."""
+    return _listed(pages_with_els.select(
+        F.md5("url").alias("area_id"), F.col("url").alias("area_url"), _route_links().alias("links")))
+
+
+def areas_and_lists(pages_with_els: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``area_records`` and ``route_list`` of the same pages, which are read once: the
+    parsed rows are written, and both come from there."""
+    parsed = written_table(area_records(pages_with_els, _route_links().alias("links")), "parsed-areas")
+    return parsed.drop("links"), _listed(parsed)
+
+
 def route_details(pages_with_els: DataFrame) -> DataFrame:
     """Fields of a route page, keyed by its URL."""
     t = F.col("_type")
@@ -345,11 +363,11 @@ def route_stats(pages_with_els: DataFrame) -> DataFrame:
                                  tick_comments().alias("route_tick_comments"))
 
 
-def routes_of_areas(area_els: DataFrame, route_els: DataFrame, stats_els: DataFrame) -> DataFrame:
-    """List rows with the details and statistics of each route; the position of
-    the list wins over the one of the detail page."""
+def routes_of_areas(listed: DataFrame, route_els: DataFrame, stats_els: DataFrame) -> DataFrame:
+    """Rows of ``route_list`` with the details and statistics of each route; the
+    position of the list wins over the one of the detail page."""
     stats = route_stats(stats_els)
-    out = route_list(area_els).join(route_details(route_els), "route_url", "left")
+    out = listed.join(route_details(route_els), "route_url", "left")
     return out.withColumn("stats_url", stats_url(F.col("route_url"))) \
         .join(stats, "stats_url", "left").drop("stats_url")
 
@@ -376,4 +394,4 @@ def nest(areas: DataFrame, routes: DataFrame, per_row: int = 1000) -> DataFrame:
 
 
 __all__ = ["with_elements", "area_records", "route_list", "route_details", "route_stats",
-           "routes_of_areas", "nest", "page_links", "page_graph", "leaf_flags"]
+           "areas_and_lists", "routes_of_areas", "nest", "page_links", "page_graph", "leaf_flags"]

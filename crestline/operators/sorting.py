@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from crestline import fixed
 from crestline.functions.grades import grade_web_rank
 from crestline.operators.filters import StoreFilter, pushed_predicate, residual_predicate
+from crestline.session import written_table
 
 INPUT_ORDER = ["area_ord", "route_ord"]
 STORE_KEYS = {"grade": "grade_numeric", "stars": "route_stars", "votes": "route_votes",
@@ -114,8 +115,8 @@ def page_frame(routes: DataFrame, filters: StoreFilter, key: str = "quality", di
 
 def fetch_page(routes: DataFrame, filters: StoreFilter, key: str = "quality", direction: str = "desc",
                cursor: dict | None = None, page_size: int = fixed.PAGE_SIZE_STORE) -> Page:
-    """One page with its cursor; at most ``page_size`` keys reach the driver."""
-    rows = page_frame(routes, filters, key, direction, cursor, page_size)
+    """One page with its cursor, computed once; one key reaches the driver."""
+    rows = written_table(page_frame(routes, filters, key, direction, cursor, page_size), "page")
     names = [c for c, _ in store_keys(key, direction, filters.has_grade)]
     last = rows.orderBy(F.desc("page_pos")).select(*names, "has_more").limit(1).collect()
     if not last:

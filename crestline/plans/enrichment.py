@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from crestline import schemas
 from crestline.functions import derive
 from crestline.operators import enrich, extract
+from crestline.session import written_table
 from crestline.sources import lines, nested, store
 
 PART = 1000  # routes of an area in one record
@@ -62,7 +63,8 @@ def run(spark: SparkSession, nested_areas: DataFrame, result_paths: str | Sequen
         previous: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(areas, routes, summary). ``previous`` is an earlier tagged nested snapshot."""
     areas, routes = typed(*nested.flatten_nested(nested_areas))
-    results = enrich.latest_results(enrich.parse_results(lines.read_lines(spark, result_paths)))
+    # narrow; read for areas and for routes
+    results = written_table(enrich.latest_results(enrich.parse_results(lines.read_lines(spark, result_paths))), "results")
     old_areas = old_routes = None
     if previous is not None:
         old_areas, old_routes = typed(*nested.flatten_nested(previous))

@@ -24,8 +24,8 @@ def run(spark: SparkSession, area_pages: DataFrame, route_pages: DataFrame, stat
     """
     todo = ledger.remaining(area_pages, checkpoint(spark, base), start_url)
     good, failed = ledger.good_and_failed(with_elements(todo))
-    records = extract.nest(extract.area_records(good), extract.routes_of_areas(
-        good, with_elements(route_pages), with_elements(stats_pages)))
+    areas, listed = extract.areas_and_lists(good)
+    records = extract.nest(areas, extract.routes_of_areas(listed, with_elements(route_pages), with_elements(stats_pages)))
     version = store.next_version(spark, f"{base}/records")
     store.write_json(records, f"{base}/records/v={version}")
     todo = written_table(good.select("url", F.lit(True).alias("done")).unionByName(

@@ -11,6 +11,8 @@ from crestline.functions import derive
 from crestline.operators import enrich, flatten
 from crestline.plans import mapping as m
 from crestline.registry.sql import full
+from crestline.session import scratch_path
+from crestline.sources import store
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -55,6 +57,20 @@ def route_docs(spark, sf) -> DataFrame:
     return flatten.project_routes(flatten.attach_area(r, m.areas(spark, sf)))
 
 
+_STORED: dict[tuple[str, str], str] = {}
+
+
+def stored_routes(spark, sf) -> DataFrame:
+    """The route documents as a stored collection, clustered by path and id; written
+    once for each application and table folder."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _STORED:
+        base = scratch_path(spark, "routes")
+        store.write_version(route_docs(spark, sf), base, ["area_hierarchy_path", "route_id"])
+        _STORED[key] = base
+    return store.read_version(spark, _STORED[key])
+
+
 def area_docs(spark, sf) -> DataFrame:
     """Flattened area documents; approach tags as their tag map."""
     from crestline import fixed

@@ -11,7 +11,7 @@ from crestline.operators import flatten, hierarchy, search, sorting
 from crestline.plans import listing as listing_plan
 from crestline.plans import mapping as m
 from crestline.registry import sql as S
-from crestline.registry.base import area_docs, joined, listing, query, route_docs
+from crestline.registry.base import area_docs, joined, listing, query, route_docs, stored_routes
 
 _bare = {"with_votes": False}
 
@@ -267,7 +267,7 @@ _STORE_SQL = """is_sport AND grade_numeric BETWEEN 13 AND 41 AND list_contains(t
 
 @query("store_filter", f"""SELECT route_id FROM texts WHERE {_STORE_SQL} AND NOT list_contains(types, 'TR')""")
 def _(spark, sf):
-    return route_docs(spark, sf).filter(FL.pushed_predicate(_STORE) & FL.residual_predicate(_STORE)).select("route_id")
+    return stored_routes(spark, sf).filter(FL.pushed_predicate(_STORE) & FL.residual_predicate(_STORE)).select("route_id")
 
 
 _IDS = tuple(f"a{i}" for i in range(0, 24, 2))
@@ -276,17 +276,17 @@ _IDS = tuple(f"a{i}" for i in range(0, 24, 2))
 @query("store_area_ids", f"""SELECT route_id, area_id FROM texts WHERE area_id IN {_IDS}""")
 def _(spark, sf):
     f = FL.StoreFilter(area_ids=_IDS)
-    return route_docs(spark, sf).filter(FL.area_conds(f)).select("route_id", "area_id")
+    return stored_routes(spark, sf).filter(FL.area_conds(f)).select("route_id", "area_id")
 
 
 @query("store_flags", """SELECT route_id FROM texts WHERE is_multipitch AND is_trad""")
 def _(spark, sf):
-    return route_docs(spark, sf).filter(FL.flag_conds(FL.StoreFilter(is_multipitch=True, is_trad=True))).select("route_id")
+    return stored_routes(spark, sf).filter(FL.flag_conds(FL.StoreFilter(is_multipitch=True, is_trad=True))).select("route_id")
 
 
 @query("store_excluded_types", """SELECT route_id, NOT list_contains(types, 'Alpine') AS kept FROM texts""")
 def _(spark, sf):
-    return route_docs(spark, sf).select(
+    return stored_routes(spark, sf).select(
         "route_id", FL.no_excluded_type(F.col("route_type"), ("alpine",)).alias("kept"))
 
 
@@ -294,13 +294,13 @@ def _(spark, sf):
       AS page_pos, count(*) OVER () > 20 AS has_more FROM texts
     WHERE {_STORE_SQL} AND NOT list_contains(types, 'TR') QUALIFY page_pos <= 20""")
 def _(spark, sf):
-    return sorting.page_frame(route_docs(spark, sf), _STORE).select("route_id", "page_pos", "has_more")
+    return sorting.page_frame(stored_routes(spark, sf), _STORE).select("route_id", "page_pos", "has_more")
 
 
 @query("store_pages", """SELECT route_id, ((rn - 1) // 20 + 1)::INTEGER AS page_no FROM (
       SELECT route_id, row_number() OVER (ORDER BY route_votes DESC, route_id) AS rn FROM texts WHERE is_trad) WHERE rn <= 60""")
 def _(spark, sf):
-    docs = route_docs(spark, sf).select("route_id", "route_votes", "is_trad", "is_sport", "is_multipitch",
+    docs = stored_routes(spark, sf).select("route_id", "route_votes", "is_trad", "is_sport", "is_multipitch",
                                         "route_type", "tags", "grade_numeric", "area_id", "area_hierarchy_path")
     return sorting.pages(docs, FL.StoreFilter(is_trad=True), 3, "votes").select("route_id", "page_no")
 
@@ -309,7 +309,7 @@ def _(spark, sf):
     FROM texts WHERE list_contains(tags, 'single_pitch') QUALIFY page_pos <= 20""")
 def _(spark, sf):
     f = FL.StoreFilter(tags=("single_pitch",))
-    return sorting.page_frame(route_docs(spark, sf), f, "lr", "asc").select("route_id", "page_pos")
+    return sorting.page_frame(stored_routes(spark, sf), f, "lr", "asc").select("route_id", "page_pos")
 
 
 @query("store_areas_by_name", "SELECT area_id, area_name FROM areas")
@@ -323,7 +323,7 @@ def _(spark, sf):
 def _(spark, sf):
     from crestline.sources.store import by_id
 
-    return by_id(route_docs(spark, sf), "route_id", "42").select("route_id", "normalized_grade")
+    return by_id(stored_routes(spark, sf), "route_id", "42").select("route_id", "normalized_grade")
 
 
 # --- search --------------------------------------------------------------------
@@ -431,12 +431,12 @@ _WORDS = "contains(searchable_text, 'widget') AND contains(searchable_text, 'spo
     ORDER BY quality_score DESC, route_id DESC LIMIT 20""")
 def _(spark, sf):
     f = FL.StoreFilter(min_grade="5.9", is_sport=True)
-    return search.search_routes(route_docs(spark, sf), "widget sport", f).select("route_id")
+    return search.search_routes(stored_routes(spark, sf), "widget sport", f).select("route_id")
 
 
 @query("search_routes_by_stars", f"""SELECT route_id FROM texts WHERE {_WORDS} ORDER BY route_stars DESC, route_id DESC LIMIT 20""")
 def _(spark, sf):
-    return search.search_routes(route_docs(spark, sf), "widget sport", key="stars").select("route_id")
+    return search.search_routes(stored_routes(spark, sf), "widget sport", key="stars").select("route_id")
 
 
 @query("popular_areas", "SELECT area_id, area_name FROM areas ORDER BY area_name, area_id LIMIT 10")

@@ -11,6 +11,7 @@ from crestline.operators import enrich, facets, reduction
 from crestline.plans import mapping as m
 from crestline.registry import sql as S
 from crestline.registry.base import joined, long_tags, query, ruled
+from crestline.session import written_table
 
 _norm, _ix = S.migrate("route_grade")
 _bare = {"with_votes": False}
@@ -123,7 +124,8 @@ def _snapshot(spark, sf):
 
 
 def _enriched(spark, sf):
-    results = enrich.latest_results(enrich.parse_results(m.result_lines(spark, sf)))
+    # narrow; read for areas and for routes
+    results = written_table(enrich.latest_results(enrich.parse_results(m.result_lines(spark, sf))), "results")
     areas = m.areas(spark, sf).withColumn("area_tags", empty_tags())
     routes = m.routes(spark, sf, with_ratings=True).withColumn("route_tags", empty_tags())
     return enrich.enrich(areas, routes, results, previous_routes=_snapshot(spark, sf))

@@ -194,11 +194,9 @@ def _(spark, sf):
 
 
 def _site_records(spark, sf):
-    area_els = _area_els(spark, sf)
-    areas = extract.area_records(area_els)
-    routes = extract.routes_of_areas(area_els, with_elements(m.site_route_pages(spark, sf)),
-                                     with_elements(m.site_stats_pages(spark, sf)))
-    return areas, routes
+    areas, listed = extract.areas_and_lists(_area_els(spark, sf))
+    return areas, extract.routes_of_areas(listed, with_elements(m.site_route_pages(spark, sf)),
+                                          with_elements(m.site_stats_pages(spark, sf)))
 
 
 @query("site_nested_records", f"""WITH listed AS ({_LIST}), detail AS ({_DETAILS})
@@ -490,6 +488,8 @@ def _(spark, sf):
         # the second part arrives later and is merged over the first
         all_lines.filter(F.col("batch_ord") == batch).select("value").write.mode("append").text(f"{folder}/in")
         arrivals.start(spark, f"{folder}/in", f"{folder}/state", f"{folder}/check").awaitTermination()
+        if batch == 0:
+            arrivals.compact(spark, f"{folder}/state")
     return arrivals.current(spark, f"{folder}/state").select(
         "kind", "entity_id", F.explode("tags").alias("category", "t")).select(
         "kind", "entity_id", "category", joined(F.col("t")).alias("tags"))

@@ -43,6 +43,16 @@ def _status(spark: SparkSession, pattern: str):
     return path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(path) or []
 
 
+def folders(spark: SparkSession, pattern: str) -> list[str]:
+    return [s.getPath().toString() for s in _status(spark, pattern)]
+
+
+def delete_folders(spark: SparkSession, paths: list[str]) -> None:
+    for p in paths:
+        path = spark._jvm.org.apache.hadoop.fs.Path(p)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def versions(spark: SparkSession, base: str) -> list[int]:
     """Finished versions (``v=<n>`` folders with a success marker)."""
     done = [s.getPath().getParent().getName() for s in _status(spark, f"{base}/v=*/_SUCCESS")]

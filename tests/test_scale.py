@@ -74,3 +74,45 @@ def test_no_nested_loops_or_windows(spark, sf, name):
 
 def test_top_rows_stay_small(spark, sf):
     assert "TakeOrderedAndProject" in plan(entry.queries()["listing_by_votes"](spark, sf))
+
+
+@pytest.mark.parametrize("name,pushed", [("store_route_by_id", "EqualTo(route_id,42)"),
+                                         ("store_flags", "EqualTo(is_multipitch,true)"),
+                                         ("stored_routes_by_path", "area_hierarchy_path")])
+def test_store_predicates_reach_the_scan(spark, sf, name, pushed):
+    spark.conf.set("spark.sql.maxMetadataStringLength", "2000")
+    text = plan(entry.queries()[name](spark, sf))
+    assert pushed in text[text.index("PushedFilters"):]
+
+
+def test_pages_are_read_once(spark, sf):
+    assert plan(entry.queries()["site_nested_records"](spark, sf)).count("MapInArrow") <= 2  # route and stats pages
+
+
+def test_deep_crawl_keeps_planning(spark):
+    from crestline.operators import crawl
+
+    edges = spark.range(40).selectExpr("cast(id as string) src_url", "cast(id + 1 as string) dst_url")
+    got = crawl.reachable(edges, spark.createDataFrame([("0",)], "url string"))
+    assert {r["url"]: r["wave"] for r in got.collect()} == {str(n): n for n in range(41)}
+
+
+def test_stream_state_is_compacted(spark, tmp_path):
+    from crestline.streaming import arrivals
+
+    def batch(n, rows):
+        spark.createDataFrame([("route", i, n, (k,), {"A": [t]}) for k, (i, t) in enumerate(rows)],
+                              "kind string, entity_id string, batch_ord int, line_no struct<row:bigint>, tags map<string,array<string>>") \
+            .write.parquet(f"{tmp_path}/s/batch={n}")
+
+    def now():
+        return {r["entity_id"]: r["tags"]["A"][0] for r in arrivals.current(spark, f"{tmp_path}/s").collect()}
+
+    batch(0, [("a", "old"), ("b", "b")])
+    batch(1, [("a", "new")])
+    assert now() == {"a": "new", "b": "b"}
+    assert arrivals.compact(spark, f"{tmp_path}/s") == 1
+    assert not list((tmp_path / "s").glob("batch=*")) and now() == {"a": "new", "b": "b"}
+    batch(2, [("b", "newer")])
+    assert now() == {"a": "new", "b": "newer"} and arrivals.compact(spark, f"{tmp_path}/s") == 2
+    assert now() == {"a": "new", "b": "newer"}
