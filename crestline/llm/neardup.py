@@ -1,9 +1,9 @@
 """Near-duplicate documents by min-max hashing, confirmed on full shingle sets.
 
 A document's set holds its distinct runs of five words, ASCII letters in lower case; a shorter text is
-one run. Under each permutation both the minimum and the maximum of the set are kept, so 48 hash passes
-give 96 signature values. A band is the two minima and two maxima of two permutations; at the similarity
-of the threshold a pair shares no band with probability (1 - 0.85 ** 4) ** 24 = 2e-8.
+one run. Under each permutation both the minimum and the maximum of the set are kept, so 90 hash passes
+give 180 signature values. A band is the minima and maxima of three permutations; at the similarity of
+the threshold a pair shares no band with probability (1 - 0.85 ** 6) ** 30 = 7e-7.
 
 Documents with equal sets are one class from the start (a group by a 128-bit digest), so exact copies
 cost one row each. Classes that share a band's bucket are candidates, but no bucket is turned into all
@@ -12,11 +12,14 @@ its pairs:
 1. every member of a bucket is compared with the bucket's smallest member (its pivot);
 2. components of the confirmed links settle every bucket whose members are all connected;
 3. in the others, members outside the component of another, hashed pivot are compared with that one;
-4. what is still apart in one bucket is compared in full: the members outside the bucket's largest
-   component against all members of other components.
+4. what is still apart in some bucket meets by an exact prefix join: with a document's shingles ordered
+   from rare to frequent, two sets can only be near if they share a shingle so early in both orders that
+   enough is left behind it. Members of different components that share one are compared; of the members
+   of a frequent shingle, those outside its largest component with the others.
 
-So each pair of a bucket is confirmed, refuted, or joined already, at any bucket size. Confirmation joins
-the full sets of both classes; pivots are salted.
+So each pair of a bucket is confirmed, refuted, or joined already, at any bucket size, and variants of one
+text that are not near each other never meet as pairs. Confirmation joins the full sets of both classes;
+pivots are salted.
 
 Defined results: texts without words have an empty set and no links; null texts too. Rows that share a
 doc_id are linked. A row without doc_id has the component of its copies and is marked as kept only if
@@ -29,19 +32,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from xxhash import xxh3_128_hexdigest
 
 from crestline.llm import words
 from crestline.llm.common import query, small_batches, table, written
 from crestline.llm.graph import components
-from crestline.session import cut_lineage
 
 SHINGLE = 5
 #: Links need 100 * intersection >= PERCENT * union.
 PERCENT = 85
-BANDS, PER_BAND = 24, 2
+BANDS, PER_BAND = 30, 3
 PIVOT_ROUNDS = 2
 SALTS = 32
 #: Shingles hashed under all permutations at once.
@@ -106,7 +108,7 @@ def signed(docs: DataFrame) -> DataFrame:
 
 
 def _full_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(node, s): shingle sets of the documents whose ids are in ``wanted`` (node)."""
+    """(node, s): sorted shingle sets of the documents whose ids are in ``wanted`` (node)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("node", pa.int64()), ("s", pa.list_(pa.int64()))])
         for batch in batches:
@@ -137,42 +139,64 @@ def _other_pairs(found: DataFrame, tested: DataFrame) -> DataFrame:
         tested.select(lo, hi), ["lo", "hi"], "left_anti").select("a", "b")
 
 
+def _may_be_near(left: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of the nodes of ``left`` (node, label) with different labels whose ``sets`` are not
+    refuted by sizes or by the place of a shared shingle: before the first shingle that two sets share, in
+    an order common to all, lie only shingles of one of them. That holds for any order; rare ones first
+    leaves the fewest pairs."""
+    own = sets.join(left, "node").groupBy("node", "label", F.xxhash64("s").alias("set")).agg(F.any_value("s").alias("s"))
+    tokens = own.select("node", "label", "set", F.size("s").alias("size"), F.explode("s").alias("token"))
+    frequency = tokens.groupBy("token").agg(F.count("*").alias("n")).filter("n > 1")
+    one = Window.partitionBy("node", "set")  # a document's own shingles
+    shared = tokens.join(frequency, "token").withColumn("rank", F.row_number().over(one.orderBy("n", "token"))).withColumn(
+        "behind", F.count("*").over(one) - F.col("rank") + 1)  # shared shingles from this one on; the single ones lie before
+    early = written(shared.filter(F.col("behind") * 100 >= F.col("size") * percent).select(
+        "token", "node", "label", "size", "behind"), "early-shingles")
+    most = early.groupBy("token", "label").agg(F.count("*").alias("n")).groupBy("token").agg(
+        F.max_by("label", F.struct("n", "label")).alias("main"))
+    strays = early.join(most, "token").filter("label <> main").select("token", *[
+        F.col(c).alias(f"{c}_b") for c in ("node", "label", "size", "behind")])
+    enough = F.least("behind", "behind_b") * (100 + percent) >= (F.col("size") + F.col("size_b")) * percent
+    return early.join(strays, "token").filter((F.col("label") != F.col("label_b")) & enough).select(
+        F.col("node").alias("a"), F.col("node_b").alias("b"))
+
+
 def clusters(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every row."""
     rows = written(signed(docs), "signed")
-    classes = cut_lineage(rows.filter("digest IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("node")))
+    classes = written(rows.filter("digest IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("node")), "classes")
     # left side: a class may hold a third of all rows
     member = rows.select("doc_id", "n_shingles", "digest").join(classes, "digest", "left")
     shared = member.filter("doc_id IS NOT NULL AND node IS NOT NULL").groupBy("doc_id").agg(
         F.min("node").alias("a"), F.max("node").alias("b")).filter("a < b")
     same_id = shared.select("a", "b").unionByName(shared.select(F.col("doc_id").alias("a"), "b")).filter("a <> b")
 
-    heads = rows.select(F.col("doc_id").alias("node"), "digest", "buckets", "n_shingles").join(
+    heads = rows.select(F.col("doc_id").alias("node"), "digest", "buckets").join(
         classes.filter("node IS NOT NULL"), ["digest", "node"], "left_semi")
-    dealt = heads.select("node", "n_shingles", F.explode("buckets").alias("bucket"))
+    dealt = heads.select("node", F.explode("buckets").alias("bucket"))
     pivots = dealt.groupBy("bucket").agg(F.min("node").alias("pivot"), F.max("node").alias("last")).filter(
         "pivot < last").drop("last")
-    members = cut_lineage(dealt.join(pivots, "bucket"))
-    tested = cut_lineage(members.filter("node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct())
+    members = written(dealt.join(pivots, "bucket"), "members")
+    tested = written(members.filter("node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct(), "pairs")
     wanted = members.select("node").distinct()
     sets = written(_full_sets(docs, wanted), "shingle-sets")
-    links = cut_lineage(confirmed(tested, sets, percent).unionByName(same_id))
+    links = written(confirmed(tested, sets, percent).unionByName(same_id), "links")
     labels = components(links)
 
     def apart() -> DataFrame:
         """Members of the buckets that are not one component, with their label."""
         own = members.join(labels, "node", "left").select(
-            "bucket", "node", "n_shingles", F.coalesce("label", "node").alias("label"))
+            "bucket", "node", F.coalesce("label", "node").alias("label"))
         split = own.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi")
         return own.join(split.select("bucket"), "bucket")
 
     def compare(pairs: DataFrame) -> bool:
         """Confirm new pairs and renew the labels; whether there were any."""
         nonlocal tested, links, labels
-        pairs = cut_lineage(pairs)
+        pairs = written(pairs, "pairs")
         if pairs.isEmpty():
             return False
-        found = cut_lineage(confirmed(pairs, sets, percent))
+        found = written(confirmed(pairs, sets, percent), "links")
         tested = tested.unionByName(pairs)
         if not found.isEmpty():
             links = links.unionByName(found)
@@ -180,19 +204,14 @@ def clusters(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
         return True
 
     for n in range(PIVOT_ROUNDS):
-        own = cut_lineage(apart())
+        own = written(apart(), "apart")
         chosen = own.groupBy("bucket").agg(F.min_by(F.struct("node", "label"), F.xxhash64("node", F.lit(n))).alias("p"))
         if not compare(_other_pairs(own.join(chosen, "bucket").filter("label <> p.label").select(
                 F.col("node").alias("a"), F.col("p.node").alias("b")), tested)):
             break
-    own = cut_lineage(apart())
-    most = own.groupBy("bucket", "label").agg(F.count("*").alias("n")).groupBy("bucket").agg(
-        F.max_by("label", F.struct("n", "label")).alias("main"))
-    strays = own.join(most, "bucket").filter("label <> main").select(
-        "bucket", F.col("node").alias("b"), F.col("label").alias("other"), F.col("n_shingles").alias("size"))
-    sizes = F.least("size", "n_shingles") * 100 >= F.greatest("size", "n_shingles") * percent
-    compare(_other_pairs(own.join(strays, "bucket").filter((F.col("label") != F.col("other")) & sizes).select(
-        F.col("node").alias("a"), "b"), tested))
+    left = written(apart().select("node", "label").distinct(), "apart")
+    if not left.isEmpty():
+        compare(_other_pairs(_may_be_near(left, sets, percent), tested))
 
     component = F.coalesce("label", "node", "doc_id")
     return member.join(labels, "node", "left").select(
