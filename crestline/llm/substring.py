@@ -19,8 +19,8 @@ both ways as far as its windows reach.
 Keys of matches are two 64-bit hashes. Lists that come back to a document are as long as the document.
 
 Defined results: a null text has no words; fewer than LENGTH words are never removed; rows that share a
-doc_id are the same document, so equal places of them are not earlier than each other; a null doc_id comes
-before all others. Words are joined by one space where something was removed, else texts stay as they are.
+doc_id are the same document, so equal places of them are not earlier than each other (if their texts
+differ, a place that is first in one of them counts as first); a null doc_id comes before all others. Words are joined by one space where something was removed, else texts stay as they are.
 """
 
 from __future__ import annotations
@@ -53,11 +53,8 @@ class Seeds:
         self.anchors = np.zeros(0, np.int64)
         if len(self.words) >= LENGTH:
             grams = words.runs(self.hashes, GRAM)
-            nearest = np.lib.stride_tricks.sliding_window_view(grams, LENGTH - GRAM + 1).argmin(axis=1)
-            at = nearest + np.arange(len(nearest))
-            self.starts = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
-            self.lengths = np.diff(np.append(self.starts, len(at)))
-            self.places = at[self.starts]
+            self.starts, self.places = words.first_minima(grams, LENGTH - GRAM + 1)
+            self.lengths = np.diff(np.append(self.starts, len(self.words) - LENGTH + 1))
             self.anchors = grams[self.places].view(np.int64)
 
     def digests(self) -> np.ndarray:
@@ -73,8 +70,9 @@ class Seeds:
         shape = (self.lengths << 32 | (self.places - self.starts)).astype(np.uint64)
         return words.mixed(words.mixed(run) + shape).view(np.int64)
 
-    def windows(self) -> np.ndarray:
-        return words.runs(self.hashes, LENGTH, seed=LENGTH).view(np.int64)
+
+def _windows_of(hashes: np.ndarray) -> np.ndarray:
+    return words.runs(hashes, LENGTH, seed=LENGTH).view(np.int64)
 
 
 def _batch(schema: pa.Schema, columns: list) -> pa.RecordBatch:
@@ -142,50 +140,39 @@ def _sha(kept: list[bytes]) -> tuple[str, str]:
     return hashlib.sha256(data).hexdigest(), data.decode()
 
 
-def _affected(batch: pa.RecordBatch) -> list[tuple[int, str, np.ndarray]]:
-    return [(i, t, np.asarray(a, np.int64)) for i, t, a in zip(
-        batch.column("id").to_pylist(), batch.column("text").to_pylist(), batch.column("repeated").to_pylist())]
+def _spread(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Starts of all windows of some runs."""
+    if not len(starts):
+        return np.zeros(0, np.int64)
+    return np.repeat(starts - np.append(0, np.cumsum(lengths)[:-1]), lengths) + np.arange(lengths.sum())
 
 
-def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    schema = pa.schema([("anchor", pa.int64()), ("digest", pa.int64()), ("id", pa.int64()), ("start", pa.int32())])
-    for batch in batches:
-        for doc, text, repeated in _affected(batch):
-            s = Seeds(text)
-            hit = np.isin(s.anchors, repeated)
-            yield _batch(schema, [s.anchors[hit], s.digests()[hit], np.full(hit.sum(), doc), s.starts[hit].astype(np.int32)])
+#: A run's start and its number of windows (at most 15) in one number, in the order of starts.
+_SPOT = 16
 
 
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Windows of the runs at the wanted starts."""
-    schema = pa.schema([("anchor", pa.int64()), ("win", pa.int64()), ("id", pa.int64()), ("start", pa.int32())])
+    """Windows of the wanted runs (spot, anchor)."""
+    schema = pa.schema([("anchor", pa.int64()), ("win", pa.int64()), ("id", pa.int64()), ("start", pa.int64())])
     for batch in batches:
         for doc, text, wanted in zip(*(batch.column(c).to_pylist() for c in ("id", "text", "wanted"))):
-            s = Seeds(text)
-            hit = np.flatnonzero(np.isin(s.starts, np.array(wanted, np.int64)))
-            at = _spread(s, hit)
-            yield _batch(schema, [np.repeat(s.anchors[hit], s.lengths[hit]), s.windows()[at], np.full(len(at), doc), at.astype(np.int32)])
-
-
-def _spread(s: Seeds, hit: np.ndarray) -> np.ndarray:
-    """Starts of all windows of the runs ``hit``."""
-    n = s.lengths[hit]
-    return np.repeat(s.starts[hit] - np.append(0, np.cumsum(n)[:-1]), n) + np.arange(n.sum()) if len(hit) else np.zeros(0, np.int64)
-
-
-def _removed(s: Seeds, repeated: np.ndarray, firsts: list, wins: list) -> np.ndarray:
-    """Which words are covered by windows that start earlier elsewhere. ``firsts``: (start, digest,
-    several) of runs that are the first of their kind, ``wins``: (start, hash) of windows likewise."""
-    hit = np.flatnonzero(np.isin(s.anchors, repeated))
-    digests, first = s.digests(), {(f["start"], f["digest"]): f["several"] for f in firsts}
-    state = np.array([first.get((int(s.starts[r]), int(digests[r])), -1) for r in hit], np.int64)
-    gone = [_spread(s, hit[state == -1])]
-    part = _spread(s, hit[state == 1])
-    if len(part):
-        own, kept = s.windows(), {(w["start"], w["win"]) for w in wins}
-        gone.append(np.array([p for p in part.tolist() if (p, int(own[p])) not in kept], np.int64))
-    at = np.concatenate(gone).astype(np.int64)
-    step = np.zeros(len(s.words) + 1, np.int64)
+            own = words.split(text)
+            for run in wanted:
+                start, n = divmod(run["spot"], _SPOT)
+                win = _windows_of(words.hashes(own[start:start + n + LENGTH - 1]))
+                if len(win) == n:  # else another text with the same id is meant
+                    yield _batch(schema, [np.full(n, run["anchor"]), win, np.full(n, doc), np.arange(start, start + n)])
+
+
+def _removed(n_words: int, spots: np.ndarray, digests: np.ndarray, firsts: list, wins: list) -> np.ndarray:
+    """Which words are covered by windows that start earlier elsewhere. ``firsts``: (spot, digest,
+    several) of the runs that are the first of their kind, ``wins``: starts of such windows."""
+    first = {(f["spot"], f["digest"]): f["several"] for f in firsts}
+    state = np.array([first.get(k, -1) for k in zip(spots.tolist(), digests.tolist())], np.int64)
+    starts, lengths = spots // _SPOT, spots % _SPOT
+    part = _spread(starts[state == 1], lengths[state == 1])
+    at = np.concatenate([_spread(starts[state == -1], lengths[state == -1]), part[~np.isin(part, np.array(wins, np.int64))]])
+    step = np.zeros(n_words + 1, np.int64)
     np.add.at(step, at, 1)
     np.add.at(step, at + LENGTH, -1)
     return np.cumsum(step[:-1]) > 0
@@ -206,44 +193,51 @@ def without_repeats(docs: DataFrame, carry: list[str] | None = None) -> DataFram
 
     row = rows.schema["row"]
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Results of unaffected rows; their texts go on only if asked for."""
+        """Results of unaffected rows, whose texts go on only if asked for; the repeated anchors' runs of
+        the others."""
         for batch in batches:
-            texts, hits = batch.column("text").to_pylist(), batch.column("repeated").is_valid().to_pylist()
             out = []
-            for text, hit in zip(texts, hits):
-                kept = words.split(text)
-                out.append((len(kept), None if hit else _sha(kept)[0], text if hit or whole else None))
-            n, sha, text = zip(*out) if out else ((), (), ())
+            for text, repeated in zip(batch.column("text").to_pylist(), batch.column("repeated").to_pylist()):
+                if repeated is None:
+                    kept = words.split(text)
+                    out.append((text if whole else None, len(kept), _sha(kept)[0], None, None, None))
+                else:
+                    s = Seeds(text)
+                    hit = np.isin(s.anchors, np.array(repeated, np.int64))
+                    out.append((text, len(s.words), None, (s.starts * _SPOT + s.lengths)[hit], s.anchors[hit], s.digests()[hit]))
+            text, n, sha, *runs = zip(*out) if out else [()] * 6
             yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), batch.column("row"), pa.array(text, pa.string()), batch.column("repeated"),
-                 pa.array(n, pa.int64()), pa.array(sha, pa.string())],
-                names=["id", "row", "text", "repeated", "n_words", "kept_sha256"])
+                [batch.column("id"), batch.column("row"), pa.array(text, pa.string()), pa.array(n, pa.int64()),
+                 pa.array(sha, pa.string()), *[pa.array(r, pa.list_(pa.int64())) for r in runs]],
+                names=["id", "row", "text", "n_words", "kept_sha256", "spots", "anchors", "digests"])
 
-    base = StructType([StructField("id", LongType()), row, StructField("text", StringType()), StructField("repeated", ArrayType(LongType())),
-                       StructField("n_words", LongType()), StructField("kept_sha256", StringType())])
+    base = StructType([StructField("id", LongType()), row, StructField("text", StringType()), StructField("n_words", LongType()),
+                       StructField("kept_sha256", StringType()), *[StructField(c, ArrayType(LongType())) for c in ("spots", "anchors", "digests")]])
     settled = written(rows.join(by_doc, "id", "left").select("id", "row", "text", "repeated").mapInArrow(settle, base), "settled")
-    affected = settled.filter("repeated IS NOT NULL").select("id", "row", "text", "repeated", "n_words")
+    affected = settled.filter("spots IS NOT NULL")
 
-    runs = affected.select("id", "text", "repeated").mapInArrow(_runs, "anchor long, digest long, id long, start int")
-    kinds = written(runs.groupBy("anchor", "digest").agg(F.min(F.struct("id", "start")).alias("first")), "runs")
+    runs = affected.select("id", F.explode(F.arrays_zip("anchors", "digests", "spots")).alias("r")).select(
+        "id", F.col("r.anchors").alias("anchor"), F.col("r.digests").alias("digest"), F.col("r.spots").alias("spot"))
+    kinds = written(runs.groupBy("anchor", "digest").agg(F.min(F.struct("id", "spot")).alias("first")), "runs")
     several = kinds.groupBy("anchor").agg((F.count("*") > 1).cast("int").alias("several"))
-    firsts = kinds.join(several, "anchor").select("first.id", "first.start", "digest", "several")
-    firsts = written(firsts.groupBy("id").agg(F.collect_list(F.struct("start", "digest", "several")).alias("firsts")), "firsts")
-    wanted = firsts.select("id", F.transform(F.filter("firsts", lambda f: f["several"] == 1), lambda f: f["start"]).alias("wanted"))
-    windows = affected.select("id", "text").join(wanted.filter(F.size("wanted") > 0), "id").select("id", "text", "wanted").mapInArrow(
-        _windows, "anchor long, win long, id long, start int")
+    firsts = kinds.join(several, "anchor").select("first.id", "first.spot", "anchor", "digest", "several")
+    firsts = written(firsts.groupBy("id").agg(F.collect_list(F.struct("spot", "anchor", "digest", "several")).alias("firsts")), "firsts")
+    wanted = firsts.select("id", F.transform(F.filter("firsts", lambda f: f["several"] == 1), lambda f: F.struct(
+        f["spot"].alias("spot"), f["anchor"].alias("anchor"))).alias("wanted")).filter(F.size("wanted") > 0)
+    windows = affected.select("id", "text").join(wanted, "id").select("id", "text", "wanted").mapInArrow(
+        _windows, "anchor long, win long, id long, start long")
     wins = windows.groupBy("anchor", "win").agg(F.min(F.struct("id", "start")).alias("first")).groupBy("first.id").agg(
-        F.collect_list(F.struct(F.col("first.start").alias("start"), "win")).alias("wins"))
+        F.collect_list("first.start").alias("wins"))
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for (_, text, repeated_here), first, win in zip(
-                    _affected(batch), batch.column("firsts").to_pylist(), batch.column("wins").to_pylist()):
-                s = Seeds(text)
-                gone = _removed(s, repeated_here, first or [], win or [])
-                sha, kept = _sha([w for w, g in zip(s.words, gone.tolist()) if not g])
+            for text, spots, digests, first, win in zip(*(batch.column(c).to_pylist() for c in (
+                    "text", "spots", "digests", "firsts", "wins"))):
+                own = words.split(text)
+                gone = _removed(len(own), np.array(spots, np.int64), np.array(digests, np.int64), first or [], win or [])
                 n = int(gone.sum())
+                sha, kept = _sha([w for w, g in zip(own, gone.tolist()) if not g] if n else own)
                 out.append((n, sha, (kept if n else text) if whole else None))
             n, sha, kept = zip(*out) if out else ((), (), ())
             yield pa.RecordBatch.from_arrays(
@@ -253,8 +247,8 @@ def without_repeats(docs: DataFrame, carry: list[str] | None = None) -> DataFram
     result = StructType([row, StructField("n_words", LongType()), StructField("n_removed", LongType()),
                          StructField("kept_sha256", StringType()), StructField("text", StringType())])
     changed = affected.join(firsts, "id", "left").join(wins, "id", "left").select(
-        "id", "row", "text", "repeated", "n_words", "firsts", "wins").mapInArrow(finish, result)
-    rest = settled.filter("repeated IS NULL").select("row", "n_words", F.lit(0).cast("long").alias("n_removed"), "kept_sha256", "text")
+        "row", "text", "n_words", "spots", "digests", "firsts", "wins").mapInArrow(finish, result)
+    rest = settled.filter("spots IS NULL").select("row", "n_words", F.lit(0).cast("long").alias("n_removed"), "kept_sha256", "text")
     both = changed.unionByName(rest)
     out = ["row.doc_id", "n_words", "n_removed", "kept_sha256"]
     return both.select(*out, F.col("row.carried").alias("row"), "text") if whole else both.select(*out)
