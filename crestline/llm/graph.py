@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from crestline.llm.common import written
+from crestline.session import drop_tables
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -26,6 +27,8 @@ def components(links: DataFrame) -> DataFrame:
                                                  F.least("label", "near").alias("label"))
         jump = labels.select(F.col("node").alias("label"), F.col("label").alias("further"))
         new = written(lower.join(jump, "label").select("node", "old", F.least("label", "further").alias("label")), "labels")
+        drop_tables(labels)
         labels = new.select("node", "label")
         if new.filter("label <> old").isEmpty():
+            drop_tables(both)
             return labels

@@ -39,6 +39,7 @@ from xxhash import xxh3_128_hexdigest
 from crestline.llm import words
 from crestline.llm.common import query, small_batches, table, written
 from crestline.llm.graph import components
+from crestline.session import drop_tables
 
 SHINGLE = 5
 #: Links need 100 * intersection >= PERCENT * union.
@@ -213,6 +214,7 @@ def clusters(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     if not left.isEmpty():
         compare(_other_pairs(_may_be_near(left, sets, percent), tested))
 
+    drop_tables(sets, members)  # what follows reads only rows, classes and labels
     component = F.coalesce("label", "node", "doc_id")
     return member.join(labels, "node", "left").select(
         "doc_id", "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"))

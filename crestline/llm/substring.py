@@ -70,11 +70,6 @@ class Seeds:
         shape = (self.lengths << 32 | (self.places - self.starts)).astype(np.uint64)
         return words.mixed(words.mixed(run) + shape).view(np.int64)
 
-
-def _windows_of(hashes: np.ndarray) -> np.ndarray:
-    return words.runs(hashes, LENGTH, seed=LENGTH).view(np.int64)
-
-
 def _batch(schema: pa.Schema, columns: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
 
@@ -156,12 +151,11 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     schema = pa.schema([("anchor", pa.int64()), ("win", pa.int64()), ("id", pa.int64()), ("start", pa.int64())])
     for batch in batches:
         for doc, text, wanted in zip(*(batch.column(c).to_pylist() for c in ("id", "text", "wanted"))):
-            own = words.split(text)
-            for run in wanted:
-                start, n = divmod(run["spot"], _SPOT)
-                win = _windows_of(words.hashes(own[start:start + n + LENGTH - 1]))
-                if len(win) == n:  # else another text with the same id is meant
-                    yield _batch(schema, [np.full(n, run["anchor"]), win, np.full(n, doc), np.arange(start, start + n)])
+            win = words.runs(words.hashes(words.split(text)), LENGTH, seed=LENGTH).view(np.int64)
+            spots, anchors = (np.array([run[c] for run in wanted], np.int64) for c in ("spot", "anchor"))
+            at, anchor = _spread(spots // _SPOT, spots % _SPOT), np.repeat(anchors, spots % _SPOT)
+            own = at < len(win)  # else another text with the same id is meant
+            yield _batch(schema, [anchor[own], win[at[own]], np.full(own.sum(), doc), at[own]])
 
 
 def _removed(n_words: int, spots: np.ndarray, digests: np.ndarray, firsts: list, wins: list) -> np.ndarray:

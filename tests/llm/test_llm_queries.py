@@ -1,9 +1,14 @@
 """Registered queries against their SQL, and the pipeline, on the smallest tables."""
 
+import hashlib
 import os
 import sys
 
 import pytest
+import test_neardup
+import test_packing
+import test_substring
+from tokenizers import Tokenizer
 
 ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 sys.path[:0] = [ROOT, os.path.join(ROOT, "tools")]
@@ -26,19 +31,35 @@ def test_query(spark, sf, name):
     assert ok, text
 
 
-def test_pipeline(spark, sf):
+def test_pipeline_brute_force(spark, sf):
+    """Each stage against a plain version over its own input."""
     docs = table(spark, sf, "documents")
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "near-duplicates", "repeated-passages", "source-mix", "packing"]
-    counts, now = [docs.count()], docs
+    results, now = {"": docs}, docs
     for name, stage in corpus_pipeline.STAGES:
-        now = corpus_pipeline.written(stage(spark, now, sf), f"test-{name}")
+        now = results[name] = corpus_pipeline.written(stage(spark, now, sf), f"test-{name}")
         if name != "packing":
             assert now.columns == docs.columns and dict(now.dtypes) == dict(docs.dtypes)
-            counts.append(now.count())
-            kept = now
-    assert counts[0] > counts[1] > counts[2] == counts[3] == counts[4]
-    assert now.select("doc_id").distinct().count() == counts[-1]
-    assert {r["doc_id"] for r in kept.select("doc_id").collect()} < {r["doc_id"] for r in docs.select("doc_id").collect()}
+    texts = {n: {r["doc_id"]: r["text"] for r in df.collect()} for n, df in results.items() if n != "packing"}
+
+    judged = catalogue.QUERIES["op4_toxicity"](spark, sf)
+    assert texts["toxicity"] == {i: texts[""][i] for i in (r["doc_id"] for r in judged.filter("predicted = 0").collect())}
+    kept = [i for i, _, _, first in test_neardup.brute(sorted(texts["toxicity"].items())) if first]
+    assert texts["near-duplicates"] == {i: texts["toxicity"][i] for i in kept}
+    for i, n_words, n_removed, sha in test_substring.brute(sorted(texts["near-duplicates"].items())):
+        left, before = texts["repeated-passages"][i], texts["near-duplicates"][i]
+        own = (left or "").encode().split()
+        assert len(own) == n_words - n_removed and (n_removed or left == before)
+        assert hashlib.sha256(b" ".join(own)).hexdigest() == sha
+    assert texts["source-mix"] == texts["repeated-passages"]
+    plain = Tokenizer.from_file(test_packing.PATH)
+    lengths = {i: len(plain.encode(t or "", add_special_tokens=False).ids) + 1 for i, t in texts["source-mix"].items()}
+    rows = results["packing"].collect()
+    found = {}
+    for r in rows:
+        found[r["doc_id"]] = found.get(r["doc_id"], 0) + r["length"]
+    assert found == lengths
+    assert len(test_packing.check(rows)) <= 1.02 * sum(lengths.values()) / 4096 + 1
 
 
 def test_pipeline_on_an_empty_table(spark, sf):
