@@ -93,7 +93,7 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = DEFAULT) -> DataFra
     # two keys per range: bounded by the number of partitions, not by rows or hosts
     bounds = ranged.groupBy("part").agg(F.min("key").alias("lo"), F.max("key").alias("hi"))
     limits = F.array(*[F.struct(F.lit(r["part"]).alias("part"), F.lit(r["lo"]).alias("lo"), F.lit(r["hi"]).alias("hi"))
-                       for r in bounds.collect()])
+                       for r in bounds.collect()]).cast("array<struct<part:int,lo:string,hi:string>>")
     host = F.translate("host", UPPER, LOWER)
     keyed = rules.filter("host IS NOT NULL AND path IS NOT NULL").select(
         host_key(host).alias("key"), host.alias("host"), "path", "verdict").distinct()
