@@ -26,13 +26,22 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document, in the order of the mix of sources."""
+    """Every document, in the order of the mix of sources. Parquet does not promise that order to its
+    readers: ``packed`` computes the places again and follows them."""
     return mixing.mix(docs)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents with their place in training sequences."""
-    return packing.pack(packing.pieces(docs))
+    """The pieces of all documents with their place in training sequences, whose numbers follow the mix."""
+    return in_mix_order(docs)
+
+
+def in_mix_order(docs: DataFrame, **options) -> DataFrame:
+    """``docs`` packed with ``options`` in the order of the mix. Only numbers move: a document's place in
+    the mix goes to its pieces by the number of its row."""
+    parts = written(packing.pieces(docs, with_source=True), "pieces")
+    places = mixing.interleaved(parts.filter("piece = 0").select("row", "doc_id", "source")).select("row", "position")
+    return packing.pack(parts.join(places, "row"), **options)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

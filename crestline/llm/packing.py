@@ -7,7 +7,9 @@ is best by the rule: ``norm`` takes the smallest weighted norm of what would be
 weighted dot product of demand and residual.
 
 Pieces are dealt by hash into groups of a bounded number, each packed by one task; a group leaves a few
-partly filled bins, a fixed small share. Only lengths are shuffled: token ids stay in the task that made
+partly filled bins, a fixed small share. Pieces with a position (the order of a mix) are dealt by consecutive
+ranges of it instead; groups are numbered in that order, and so are a group's bins, by the mean position of
+their pieces. Only lengths are shuffled: token ids stay in the task that made
 them, as a checksum, and the narrow piece table is written once, so a lost executor costs no second
 tokenization of finished tasks' rows.
 
@@ -36,6 +38,8 @@ END_ID = 1
 TOKENIZER = "word_bpe_49k.json"
 #: Pieces that one task packs, and entries that a worker's word caches hold before they start anew.
 GROUP_PIECES = 16384
+#: Cells of positions that are counted for each group, about.
+CELLS = 64
 CACHE = 400_000
 #: Word pattern of the tokenizer file (fixed value) and the characters for which Python's lower() and
 #: the tokenizer's normalizer agree: printable Latin-1. Other words go through the tokenizer whole.
@@ -96,25 +100,31 @@ _PIECES = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa
                      ("length", pa.int64()), ("ids_crc32", pa.int64())])
 
 
-def pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
-    """(doc_id, piece, start, length, ids_crc32): the documents' token ids cut at the capacity."""
+def pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID,
+           with_source: bool = False) -> DataFrame:
+    """(doc_id, piece, start, length, ids_crc32): the documents' token ids cut at the capacity. Every row
+    has a piece 0. With ``with_source`` also ``row``, a number of the row, and its ``source``."""
     path = tokenizer or public_tokenizers.path(TOKENIZER)
     small_batches(docs.sparkSession)
+    extra = [F.monotonically_increasing_id().alias("row"), F.col("source").cast("string")] if with_source else []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens, end, step = WordTokens(path), np.array([end_id], "<u4").tobytes(), 4 * capacity
         for batch in batches:
-            out = []
-            for doc_id, text in zip(*(c.to_pylist() for c in batch.columns)):
+            out, owner = [], []
+            for row, (doc_id, text) in enumerate(zip(*(c.to_pylist() for c in batch.columns[:2]))):
                 ids = tokens.ids(text or "") + end
                 for n, at in enumerate(range(0, len(ids), step)):
                     cut = ids[at:at + step]
                     out.append((doc_id, n, at // 4, len(cut) // 4, zlib.crc32(cut)))
+                    owner.append(row)
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), _PIECES)], schema=_PIECES)
+                carried = [c.take(pa.array(owner)) for c in batch.columns[2:]]
+                yield pa.RecordBatch.from_arrays([*(pa.array(c, f.type) for c, f in zip(zip(*out), _PIECES)), *carried],
+                                                 names=[*_PIECES.names, *batch.schema.names[2:]])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(
-        run, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return docs.select(F.col("doc_id").cast("long"), "text", *extra).mapInArrow(
+        run, "doc_id long, piece int, start long, length long, ids_crc32 long" + ", row long, source string" * with_source)
 
 
 def best_fit(lengths: np.ndarray, capacities: tuple[int, int, int], rule: str = "norm",
@@ -147,23 +157,42 @@ def best_fit(lengths: np.ndarray, capacities: tuple[int, int, int], rule: str =
     return bins, offsets
 
 
+def _ranges(parts: DataFrame, groups: int) -> DataFrame:
+    """``parts`` with ``dealt``: consecutive ranges of position with about equal numbers of pieces. Pieces
+    are counted in CELLS cells a group, which are all that is collected."""
+    step = max(1, ((parts.agg(F.max("position")).first()[0] or 0) + 1) // (groups * CELLS))
+    cell = F.expr(f"position div {step}").alias("cell")
+    counts = sorted(parts.groupBy(cell).agg(F.count("*").alias("n")).collect())
+    total, before, dealt = sum(n for _, n in counts), 0, []
+    for at, n in counts:
+        dealt.append((at, before * groups // total))
+        before += n
+    found = parts.sparkSession.createDataFrame(dealt, "cell long, dealt long")
+    return parts.withColumn("cell", cell).join(F.broadcast(found), "cell").drop("cell")
+
+
 def pack(parts: DataFrame, tokens: int = CAPACITY, documents: int | None = None, attention: int | None = None,
          rule: str = "norm", group_pieces: int = GROUP_PIECES) -> DataFrame:
     """``parts`` (the columns of ``pieces``) with sequence_id and offset. Unset capacities never bind:
-    a bin of n tokens holds at most n documents and an attention cost of n squared."""
+    a bin of n tokens holds at most n documents and an attention cost of n squared. If ``parts`` has a
+    column ``position``, sequence ids follow it: all pieces of a group lie before those of the next one."""
     capacities = (tokens, documents or tokens, attention or tokens * tokens)
-    parts = written(parts, "pieces")
+    placed = "position" in parts.columns
+    parts = written(parts.select(*_PIECES.names, *["position"] * placed), "pieces")
     groups = max(1, math.ceil(parts.count() / group_pieces))
 
     def run(key: tuple, group: pa.Table) -> pa.Table:
-        group = group.select(_PIECES.names).sort_by(
-            [("length", "descending"), ("doc_id", "ascending"), ("piece", "ascending")])
+        group = group.sort_by([("length", "descending"), ("doc_id", "ascending"), ("piece", "ascending")])
         bins, offsets = best_fit(group["length"].to_numpy(), capacities, rule)
-        return group.append_column("sequence_id", pa.array((key[0].as_py() << 32) + bins)).append_column(
-            "offset", pa.array(offsets))
+        if placed:
+            means = np.bincount(bins, group["position"].to_numpy()) / np.bincount(bins)
+            bins = np.argsort(np.argsort(means, kind="stable"), kind="stable")[bins]
+        return group.select(_PIECES.names).append_column(
+            "sequence_id", pa.array((key[0].as_py() << 32) + bins)).append_column("offset", pa.array(offsets))
 
     row = F.monotonically_increasing_id()  # of a written table; spreads repeated rows
-    return parts.withColumn("dealt", F.pmod(F.xxhash64(row), F.lit(groups)).cast("long")).groupBy("dealt").applyInArrow(
+    dealt = _ranges(parts, groups) if placed else parts.withColumn("dealt", F.pmod(F.xxhash64(row), F.lit(groups)).cast("long"))
+    return dealt.groupBy("dealt").applyInArrow(
         run, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
 
 

@@ -3,11 +3,13 @@
 import hashlib
 import os
 import sys
+from collections import Counter
 
 import pytest
 import test_neardup
 import test_packing
 import test_substring
+from llm_tables import documents
 from tokenizers import Tokenizer
 
 ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
@@ -15,7 +17,7 @@ sys.path[:0] = [ROOT, os.path.join(ROOT, "tools")]
 import __spark_entry__ as entry  # noqa: E402
 import compare  # noqa: E402
 import corpus_pipeline  # noqa: E402
-from crestline.llm import catalogue  # noqa: E402
+from crestline.llm import catalogue, mixing  # noqa: E402
 from crestline.llm.common import table  # noqa: E402
 
 
@@ -67,3 +69,26 @@ def test_pipeline_on_an_empty_table(spark, sf):
     for _, stage in corpus_pipeline.STAGES:
         now = stage(spark, now, sf)
     assert now.count() == 0
+
+
+def test_sequences_follow_the_mix(spark):
+    """Up to any group, the numbers of documents are those of the mix, whatever order the table has."""
+    rows = [(n, "word " * (n % 40), "hot" if n % 3 else f"s{n % 4}") for n in range(3000)] + [(None, "x", "hot"), (5, "y", "s0")] * 20
+    docs = documents(spark, rows).orderBy("lang", "doc_id").repartition(5)
+    packed = corpus_pipeline.in_mix_order(docs, group_pieces=300).collect()
+    assert len(packed) == len(rows)
+    mix = [r["source"] for r in mixing.interleaved(docs).orderBy("position").select("source").collect()]
+    source = {r[0]: r[2] for r in rows[:3000]}
+    groups = {}
+    for r in packed:
+        name = "hot" if r["doc_id"] is None else source[r["doc_id"]]
+        if r["doc_id"] == 5 and r["length"] == 2:
+            name = "s0"
+        groups.setdefault(r["sequence_id"] >> 32, Counter())[name] += 1
+    assert len(groups) == 11 and sorted(groups) == list(range(11))
+    done, at = Counter(), 0
+    for g in sorted(groups):
+        done += groups[g]
+        at += sum(groups[g].values())
+        assert done == Counter(mix[:at])
+    test_packing.check(packed)
