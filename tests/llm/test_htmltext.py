@@ -26,6 +26,36 @@ def test_pages(html, text):
     assert main_text(html) == text
 
 
+LONG = "".join(f"<p>{p} It goes on for some time, so that the page has text.</p>" for p in PARAGRAPHS)
+LONG_TEXT = "\n\n".join(f"{p} It goes on for some time, so that the page has text." for p in TEXT.split("\n\n"))
+
+
+@pytest.mark.parametrize("wrapper", [
+    "<div class='has-sidebar'>", "<div class='content no-sidebar'>", "<div id='page-with-nav'>", "<div class='post share-enabled'>",
+    "<div class='widget-page'>", "<div class='wrap social'>", "<form id='aspnetForm'>", "<form><div class='widget'>", "<x-app class='sidebar'>",
+    "<div class='share'><div class='tags'>"])
+def test_marked_wrappers_hide_nothing(wrapper):
+    assert main_text(f"<body><nav>Menu</nav>{wrapper}<article>{BODY}</article></form></div></body>") == TEXT
+    assert main_text(f"<body><nav>Menu</nav>{wrapper}<div>{LONG}</div></form></div></x-app><p>Contact</p></body>") in (
+        LONG_TEXT, LONG_TEXT + "\n\nContact")
+    assert main_text(f"<article><h1>T</h1>{wrapper}{LONG}</form></div></x-app></article>") == "T\n\n" + LONG_TEXT
+
+
+@pytest.mark.parametrize("html,text", [
+    (f"<div class='related'><article><p>A teaser</p></article></div><article>{BODY}</article>", TEXT),
+    (f"<div class='has-sidebar'><article>{BODY}</article><div class='sidebar'>{BODY}</div><div class='comments'>{BODY}</div></div>", TEXT),
+    (f"<article>{BODY}<div class='comments'>{BODY}{BODY}</div></article>", TEXT),
+    (f"<article>{BODY}<p>Said so. <span class='share'>share</span></p></article>", TEXT + "\n\nSaid so."),
+    ("".join(f"<div class='entry social'><article>{BODY}</article></div>" for _ in range(3)), "\n\n".join([TEXT] * 3)),
+])
+def test_marked_blocks(html, text):
+    assert main_text(html) == text
+
+
+def test_many_nested_marks():
+    assert main_text("<div class='nav'>" * 20_000 + BODY) == TEXT
+
+
 @pytest.mark.parametrize("html", ["<![foo", "<!", "<", "a<b", "&#x0;", "<![if x]>a", "</p></div></article>", "<div " * 50, "<b>" * 3000])
 def test_broken_markup_does_not_throw(html):
     main_text(html)
