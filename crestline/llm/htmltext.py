@@ -5,19 +5,21 @@ line. A line knows its text, its number of tags and the region it lies in: the o
 main element, else the nearest container. Lines inside menus, headers, footers, asides and hidden elements
 hold no text. Elements that are only named like adverts, sidebars, notices or comments, and forms, are kept
 with a mark until the page is read. A marked element is content if it holds a landmark (an article or main;
-one at least half as long as the longest that lies in no marked element), or if elements of its name hold ten times the prose (text outside of
-links) that is known to be outside of them, or all of it; the others' text is taken out. The ratio of text to tags per line is smoothed with
-a Gaussian; a two-cluster threshold over the smoothed ratios marks the dense lines, and regions with
-dense lines are content: articles or mains if any of them has some, else the dense lines of the others
-with all lines between them in the same container.
-
-Defined results: a null or empty page has an empty text; a page without any dense line gives the region
-with most text; markup that the parser refuses is read as text. Work and memory per page are linear in
-its length, rows are independent.
+one at least half as long as the longest that lies in no marked element), or if elements of its name hold
+ten times the prose (text outside of links) that is known to be outside of them, or all of it; the others'
+text is taken out. The logarithm of text to tags per line, on which one very long line weighs little, is
+smoothed with a Gaussian; a two-cluster threshold over these values marks the dense lines. Content are all
+lines of the articles and mains, unless these hold next to nothing of the dense text; else all lines of the
+innermost container around all dense lines.
+
+Defined results: a null or empty page has an empty text; a page without any dense line gives the innermost
+container around all text; markup that the parser refuses is read as text. Work and memory per page are
+linear in its length, rows are independent.
 """
 
 from __future__ import annotations
 
+import heapq
 import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
@@ -252,6 +254,19 @@ def _texts(page: Lines, content: list[bool]) -> list[tuple[str, int, int]]:
     return [line for line in joined if line[0] or line[1]]
 
 
+def _lowest_common(page: Lines, regions: list[int]) -> int:
+    """The innermost region around all ``regions``; a region has a higher number than those around it."""
+    seen = set(regions)
+    heap = [-r for r in seen]
+    heapq.heapify(heap)
+    while len(heap) > 1:
+        up = page.above[-heapq.heappop(heap)]
+        if up not in seen:
+            seen.add(up)
+            heapq.heappush(heap, -up)
+    return -heap[0]
+
+
 def main_text(html: str | None) -> str:
     """The page's main text: its blocks in order, joined by an empty line."""
     page = parsed(html or "")
@@ -261,23 +276,23 @@ def main_text(html: str | None) -> str:
         lines = _texts(page, [True] * len(content))
         if not any(text for text, *_ in lines):
             return ""
-    ratios = np.array([len(text) / max(1, tags) for text, tags, *_ in lines])
-    values = smoothed(ratios)
+    ratios = np.array([len(text) / max(1, tags) for text, tags, _ in lines])
+    values = smoothed(np.log1p(ratios))
     dense = (values >= threshold(values)) & (ratios > 0)
-    landmarks = {r for (_, _, r), d in zip(lines, dense) if d and page.is_landmark[r]}
-    if landmarks:
-        chosen = [text for text, _, r in lines if r in landmarks]
-    elif dense.any():
-        ends: dict[int, list[int]] = {}
-        for n in np.flatnonzero(dense):
-            ends.setdefault(lines[n][2], [n, n])[1] = n
-        chosen = [text for n, (text, _, r) in enumerate(lines) if r in ends and ends[r][0] <= n <= ends[r][1]]
+    read = outside = 0  # text of landmarks, those in marked elements without weight, and dense text elsewhere
+    for (text, _, r), d in zip(lines, dense):
+        if page.is_landmark[r]:
+            read += len(text) * (1 if page.within[r] else TIMES)
+        elif d:
+            outside += len(text)
+    if read and read >= outside:
+        chosen = [text for text, _, r in lines if page.is_landmark[r]]
     else:
-        sizes: dict[int, int] = {}
-        for text, _, r in lines:
-            sizes[r] = sizes.get(r, 0) + len(text)
-        best = max(sizes, key=lambda r: (sizes[r], -r))
-        chosen = [text for text, _, r in lines if r == best]
+        around = _lowest_common(page, [r for (text, _, r), d in zip(lines, dense) if (d if dense.any() else text)])
+        inside = [False] * len(page.above)
+        for r in range(len(inside)):
+            inside[r] = r == around or inside[page.above[r]]
+        chosen = [text for text, _, r in lines if inside[r]]
     return "\n\n".join(text for text in chosen if text)
 
 

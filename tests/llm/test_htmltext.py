@@ -52,6 +52,35 @@ def test_marked_blocks(html, text):
     assert main_text(html) == text
 
 
+def words(n, tag="w"):
+    return " ".join(f"{tag}{i}" for i in range(n))
+
+
+@pytest.mark.parametrize("blocks", [
+    [("p", words(50)), ("p", words(45, "a")), ("p", words(1300, "long")), *[("p", words(50, f"p{n}")) for n in range(6)]],
+    [("h1", "Title"), ("h2", "By the way"), *[("p", words(60, f"p{n}")) for n in range(4)], ("h2", "End"), ("p", "Bye."), ("p", "All.")],
+    [("p", words(60)), ("li", "one"), ("li", "two"), ("p", words(40)), ("td", "1"), ("td", "2"), ("blockquote", "So it is."), ("p", "Yes.")],
+])
+def test_pages_without_landmarks_are_whole(blocks):
+    outer = {"li": "ul", "td": "table"}
+    body = "\n\n".join(f"<{outer.get(t, 'div')}><{t}>{x}</{t}></{outer.get(t, 'div')}>" if t in outer else f"<{t}>{x}</{t}>" for t, x in blocks)
+    page = f"<body><header>Site</header><div id='nav'><a href='/'>Home</a></div><div class='x'>{body}</div><div class='comments'>No</div></body>"
+    assert main_text(page) == "\n\n".join(x for _, x in blocks)
+
+
+@pytest.mark.parametrize("html,text", [
+    (f"<main><h1>Short</h1><p>Yes.</p></main><div><p>{words(20)}</p></div>", "Short\n\nYes."),  # 23 in the landmark, at most ten times outside
+    (f"<div><h1>T</h1>{LONG}</div><article class='x'><p>Buy</p></article>", f"T\n\n{LONG_TEXT}"),
+    (f"<div>{LONG}</div><div class='comments'><article><p>{words(50)}</p></article></div>", f"{LONG_TEXT}\n\n{words(50)}"),
+])
+def test_landmarks_and_the_rest(html, text):
+    assert main_text(html) == text
+
+
+def test_many_regions():
+    assert main_text("<div><p>a b c</p>" * 20_000).count("a b c") == 20_000
+
+
 def test_many_nested_marks():
     assert main_text("<div class='nav'>" * 20_000 + BODY) == TEXT
 
