@@ -3,7 +3,8 @@
 A document's set holds its distinct runs of five words, ASCII letters in lower case; a shorter text is
 one run. Under each permutation both the minimum and the maximum of the set are kept, so 90 hash passes
 give 180 signature values. A band is the minima and maxima of three permutations; at the similarity of
-the threshold a pair shares no band with probability (1 - 0.85 ** 6) ** 30 = 7e-7.
+the threshold a pair shares no band with probability (1 - 0.85 ** 6) ** 30 = 7e-7. Other thresholds take as
+many bands as that needs: 47 at 0.8.
 
 Documents with equal sets are one class from the start (a group by a 128-bit digest), so exact copies
 cost one row each. Classes that share a band's bucket are candidates, but no bucket is turned into all
@@ -28,7 +29,9 @@ none of them has an id. Extra columns are ignored (``keep_first`` carries them a
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -44,17 +47,30 @@ from crestline.session import drop_tables
 SHINGLE = 5
 #: Links need 100 * intersection >= PERCENT * union.
 PERCENT = 85
-BANDS, PER_BAND = 30, 3
+PER_BAND = 3
+#: Probability at most that a pair at the threshold shares no band.
+MISSED = 7.5e-7
 PIVOT_ROUNDS = 2
 SALTS = 32
 #: Shingles hashed under all permutations at once.
 CHUNK = 4096
 
-_seeds = words.mixed(np.arange(1, 2 * BANDS * PER_BAND + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-_XOR, _MUL = _seeds[::2, None], _seeds[1::2, None] | np.uint64(1)
 _HALF = np.uint64(32)
 
 
+def band_count(percent: int = PERCENT) -> int:
+    return math.ceil(math.log(MISSED) / math.log(1 - (percent / 100) ** (2 * PER_BAND)))
+
+
+BANDS = band_count()
+
+
+@lru_cache
+def _permutations(n: int) -> tuple[np.ndarray, np.ndarray]:
+    seeds = words.mixed(np.arange(1, 2 * n + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    return seeds[::2, None], seeds[1::2, None] | np.uint64(1)
+
+
 def shingles(text: str | None) -> np.ndarray:
     """Sorted distinct hashes of the document's set."""
     found = words.hashes(words.split(text.lower() if text and text.isascii() else _lower(text)))
@@ -67,22 +83,23 @@ def _lower(text: str | None) -> str | None:
     return text.encode().lower().decode() if text else text  # bytes.lower() changes A-Z only
 
 
-def signature(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Minimum and maximum of the set under each permutation."""
-    low = np.full(len(_XOR), np.iinfo(np.uint64).max, np.uint64)
-    high = np.zeros(len(_XOR), np.uint64)
+def signature(values: np.ndarray, n: int = BANDS * PER_BAND) -> tuple[np.ndarray, np.ndarray]:
+    """Minimum and maximum of the set under each of n permutations."""
+    xor, mul = _permutations(n)
+    low = np.full(n, np.iinfo(np.uint64).max, np.uint64)
+    high = np.zeros(n, np.uint64)
     for at in range(0, len(values), CHUNK):
-        x = (values[at:at + CHUNK] ^ _XOR) * _MUL
+        x = (values[at:at + CHUNK] ^ xor) * mul
         x ^= x >> _HALF
         np.minimum(low, x.min(axis=1), out=low)
         np.maximum(high, x.max(axis=1), out=high)
     return low, high
 
 
-def bands(values: np.ndarray) -> np.ndarray:
-    """A bucket number for each band."""
-    low, high = (s.reshape(BANDS, PER_BAND) for s in signature(values))
-    key = np.arange(1, BANDS + 1, dtype=np.uint64)
+def bands(values: np.ndarray, n: int = BANDS) -> np.ndarray:
+    """A bucket number for each of n bands."""
+    low, high = (s.reshape(n, PER_BAND) for s in signature(values, n * PER_BAND))
+    key = np.arange(1, n + 1, dtype=np.uint64)
     for i in range(PER_BAND):
         key = words.mixed(words.mixed(key + low[:, i]) + high[:, i])
     return key.view(np.int64)
@@ -92,7 +109,7 @@ _SIGNED = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("diges
                      ("buckets", pa.list_(pa.int64()))])
 
 
-def signed(docs: DataFrame) -> DataFrame:
+def signed(docs: DataFrame, n: int = BANDS) -> DataFrame:
     """(doc_id, n_shingles, digest, buckets) of every row; empty sets have neither digest nor buckets."""
     small_batches(docs.sparkSession)
 
@@ -102,7 +119,7 @@ def signed(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([
                 batch.column(0), pa.array([len(s) for s in sets], pa.int64()),
                 pa.array([xxh3_128_hexdigest(s.tobytes()) if len(s) else None for s in sets], pa.string()),
-                pa.array([bands(s) if len(s) else None for s in sets], pa.list_(pa.int64()))], schema=_SIGNED)
+                pa.array([bands(s, n) if len(s) else None for s in sets], pa.list_(pa.int64()))], schema=_SIGNED)
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(
         run, "doc_id long, n_shingles long, digest string, buckets array<long>")
@@ -164,7 +181,7 @@ def _may_be_near(left: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 def clusters(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every row."""
-    rows = written(signed(docs), "signed")
+    rows = written(signed(docs, band_count(percent)), "signed")
     classes = written(rows.filter("digest IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("node")), "classes")
     # left side: a class may hold a third of all rows
     member = rows.select("doc_id", "n_shingles", "digest").join(classes, "digest", "left")

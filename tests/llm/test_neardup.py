@@ -111,3 +111,25 @@ def test_components_of_a_long_chain(spark):
     got = {r["node"]: r["label"] for r in components(links).collect()}
     assert got == {**{n: 0 for n in range(201)}, **{n: 900 for n in range(900, 904)}}
     assert components(links.limit(0)).count() == 0
+
+
+def test_another_threshold(spark):
+    """Brute force at 0.8, with pairs between that and the threshold of op8; bands are as many as it needs."""
+    rng = random.Random(8)
+    rows = []
+    for n in range(30):
+        base = [f"w{rng.randrange(400)}" for _ in range(150)]
+        rows += [(3 * n, " ".join(base)), (3 * n + 1, " ".join(base[:-rng.randint(23, 40)])),
+                 (3 * n + 2, " ".join(edited(rng, base, rng.choice([2, 3, 4]))))]
+    sets = {i: shingle_set(t) for i, t in rows}
+    like = {(a, b): len(sets[a] & sets[b]) / len(sets[a] | sets[b]) for a in sets for b in sets if a < b}
+    assert any(0.8 <= x < 0.85 for x in like.values()) and any(0.7 < x < 0.8 for x in like.values())
+    group = {i: {i} for i in sets}
+    for (a, b), x in like.items():
+        if x >= 0.8 and group[a] is not group[b]:
+            group[a] |= group[b]
+            for i in group[b]:
+                group[i] = group[a]
+    kept = sorted({min(g) for g in group.values()})
+    assert sorted(r["doc_id"] for r in neardup.keep_first(documents(spark, rows), percent=80).collect()) == kept
+    assert (1 - 0.8 ** 6) ** neardup.band_count(80) < 1e-6 and neardup.band_count(85) == 30
