@@ -24,7 +24,8 @@ pivots are salted.
 
 Defined results: texts without words have an empty set and no links; null texts too. Rows that share a
 doc_id are linked. A row without doc_id has the component of its copies and is marked as kept only if
-none of them has an id. Extra columns are ignored (``keep_first`` carries them along).
+none of them has an id. Extra columns are ignored (``keep_first`` and ``keep_one`` carry them along).
+``kept`` and ``keep_first`` go by doc_id, so repeated rows and rows without one stay; ``keep_one`` goes by row.
 """
 
 from __future__ import annotations
@@ -179,8 +180,9 @@ def _may_be_near(left: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         F.col("node").alias("a"), F.col("node_b").alias("b"))
 
 
-def clusters(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) of every row."""
+def clusters(docs: DataFrame, percent: int = PERCENT, same: DataFrame | None = None) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept) of every row. ``same`` = (doc_id, name), for docs with
+    distinct ids: rows with equal names are linked, empty ones too."""
     rows = written(signed(docs, band_count(percent)), "signed")
     classes = written(rows.filter("digest IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("node")), "classes")
     # left side: a class may hold a third of all rows
@@ -188,6 +190,11 @@ def clusters(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     shared = member.filter("doc_id IS NOT NULL AND node IS NOT NULL").groupBy("doc_id").agg(
         F.min("node").alias("a"), F.max("node").alias("b")).filter("a < b")
     same_id = shared.select("a", "b").unionByName(shared.select(F.col("doc_id").alias("a"), "b")).filter("a <> b")
+    if same is not None:
+        member = member.withColumn("node", F.coalesce("node", "doc_id"))
+        named = member.select("doc_id", "node").join(same.filter("name IS NOT NULL"), "doc_id")
+        lowest = named.groupBy("name").agg(F.min("node").alias("b"), F.max("node").alias("last")).filter("b < last")
+        same_id = named.join(lowest, "name").select(F.col("node").alias("a"), "b").filter("a <> b").distinct()
 
     heads = rows.select(F.col("doc_id").alias("node"), "digest", "buckets").join(
         classes.filter("node IS NOT NULL"), ["digest", "node"], "left_semi")
@@ -244,6 +251,21 @@ def keep_first(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     return docs.join(ids, docs["doc_id"] == ids["gone_id"], "left_anti")
 
 
+def keep_one(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """``docs``, all columns, with exactly one row of each component: one of the smallest doc_id, one
+    without doc_id only where no row has any. Copies without doc_id and rows that are repeated as a whole
+    are told apart by the number of the row in a written copy, which takes the place of doc_id."""
+    keyed = written(docs.select(F.monotonically_increasing_id().alias("at"), F.struct("*").alias("own")), "keyed")
+    ids = keyed.select(F.col("at").alias("doc_id"), F.col("own.doc_id").cast("long").alias("name"))
+    found = clusters(keyed.select(F.col("at").alias("doc_id"), "own.text"), percent, ids).select("doc_id", "component_id")
+    ranked = found.join(ids, "doc_id").select("doc_id", "component_id", F.col("name").isNull().alias("unnamed"), "name")
+    ranked = written(ranked, "components")
+    first = ranked.groupBy("component_id").agg(
+        F.min(F.struct("unnamed", "name", "doc_id")).alias("first"), F.count("*").alias("n")).filter("n > 1")
+    gone = ranked.join(first, "component_id").filter("doc_id <> first.doc_id").select(F.col("doc_id").alias("at"))
+    return keyed.join(gone, "at", "left_anti").select("own.*")
+
+
 @query("op8_near_duplicates")
 def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clusters(table(spark, sf_dir, "documents"))

@@ -92,6 +92,28 @@ def test_filter_keeps_columns(spark):
     assert rows_of(kept, "doc_id", "gone_id") == [(None, "own gone_id"), (1, "own gone_id"), (3, "own gone_id")]
 
 
+def test_one_row_of_each_component(spark):
+    base = " ".join(f"h{n}" for n in range(80))
+    rows = [(4, base), (4, base), (4, base), (None, base), (None, f"{base} end"), (9, f"{base} tail"),
+            (None, "no id"), (None, "no id"), (None, f"x {base[3:]} y z u v w q r s t o p i k m"), (None, f"{base} last words"),
+            (7, "first text"), (7, "second text"), (8, "second text"), (6, ""), (6, ""), (None, None), (None, None), (5, None)]
+    df = documents(spark, rows).repartition(4)
+    kept = neardup.keep_one(df)
+    assert kept.columns == df.columns
+    got = rows_of(kept, "doc_id", "text")
+    want = [(4, base), (None, "no id"), (6, ""), (None, None), (None, None), (5, None)]
+    odd = rows[8]
+    sets = [shingle_set(odd[1]), shingle_set(base)]
+    assert 100 * len(sets[0] & sets[1]) < 85 * len(sets[0] | sets[1])
+    sevens = [r for r in got if r[0] == 7]
+    assert len(sevens) == 1 and sevens[0] in rows
+    assert sorted(got, key=str) == sorted([*want, odd, *sevens], key=str)
+    # near copies without any id among themselves
+    alone = [(None, base), (None, base), (None, f"{base} tail"), (None, f"{base} end"), (None, "other")]
+    assert sorted(r["text"] == "other" for r in neardup.keep_one(documents(spark, alone)).collect()) == [False, True]
+    assert neardup.keep_one(documents(spark, [])).count() == 0
+
+
 def test_empty(spark):
     assert neardup.clusters(documents(spark, [])).collect() == []
     assert neardup.keep_first(documents(spark, [])).count() == 0
