@@ -41,6 +41,7 @@ from xxhash import xxh3_64_intdigest
 
 from crestline.llm import words
 from crestline.llm.common import query, small_batches, table, written
+from crestline.session import drop_tables
 
 LENGTH, GRAM = 50, 16
 #: Places of an anchor in a window, and so the most windows of a string.
@@ -50,6 +51,10 @@ CROWD = 20_000
 #: Strings of a collection, unless one anchor has more.
 COLLECTION = 32_768
 STRETCH = 1 << 20
+#: Bytes from which joined texts are hashed.
+JOINED = 1 << 17
+#: Bits of a place in joined texts.
+_PLACE = np.uint64((1 << 22) - 1)
 _PAD = 0xFF  # no byte of UTF-8
 _SINGLE = -1  # marks a window that is a string of its own
 _SIGN = 1 << 63
@@ -61,31 +66,65 @@ def _digest(data: bytes) -> int:
 
 
 class Runs:
-    """Runs of windows with one anchor: start, number of windows, place of the anchor in the first one, anchor."""
-
-    def __init__(self, data: bytes) -> None:
-        parts = [self._of(data, at) for at in range(0, max(len(data) - LENGTH + 1, 0), STRETCH)]
+    """Runs of windows with one anchor in several texts: text, start, number of windows, place of the anchor in the
+    first window, hash of the anchor. Texts are joined to stretches, and cut where they are longer."""
+
+    def __init__(self, texts: list[bytes]) -> None:
+        parts, held, size = [], [], 0
+        for n, data in enumerate(texts):
+            for at in range(0, max(len(data) - LENGTH + 1, 0), STRETCH):
+                held.append((n, at, data[at:at + STRETCH + LENGTH - 1] if len(data) > STRETCH else data))
+                size += len(held[-1][2])
+                if size >= JOINED:
+                    parts.append(self._of(held))
+                    held, size = [], 0
+        if held:
+            parts.append(self._of(held))
         none = np.zeros(0, np.int64)
-        self.starts, self.lengths, self.places, self.anchors = (np.concatenate(c) for c in zip(*parts)) if parts else [none] * 4
+        self.texts, self.starts, self.lengths, self.places, self.anchors = (
+            np.concatenate(c) for c in zip(*parts)) if parts else [none] * 5
 
     @staticmethod
-    def _of(data: bytes, at: int) -> tuple[np.ndarray, ...]:
-        part = np.frombuffer(data, np.uint8, min(STRETCH + LENGTH - 1, len(data) - at), at).astype(np.uint64)
-        grams, size = part, 1
+    def _of(held: list[tuple[int, int, bytes]]) -> tuple[np.ndarray, ...]:
+        texts, offsets, data = zip(*held)
+        sizes = np.array([len(d) for d in data])
+        ends = np.cumsum(sizes)
+        grams, size = np.frombuffer(b"".join(data), np.uint8).astype(np.uint64), 1
         while size < GRAM:  # a hash of 2 size bytes from two of size bytes
             grams = grams[:-size] * words._STEP + grams[size:]
             grams ^= grams >> words._HALF
             size *= 2
         grams = words.mixed(grams)
-        starts, places = words.first_minima(grams, PLACES)
-        lengths = np.diff(np.append(starts, len(part) - LENGTH + 1))
-        return starts + at, lengths, places - starts, grams[places].view(np.int64)
+        # the least hash of every window and, in its low bits, the first place that has it
+        low, size = grams & ~_PLACE | np.arange(len(grams), dtype=np.uint64), 1
+        while size < PLACES:
+            step = min(size, PLACES - size)
+            low, size = np.minimum(low[:-step], low[step:]), size + step
+        places = (low & _PLACE).astype(np.int64)
+        new = np.append(True, places[1:] != places[:-1])
+        new[ends - sizes] = True
+        over = _windows(ends[:-1] - LENGTH + 1, np.full(len(ends) - 1, LENGTH - 1))  # windows across two texts
+        new[over] = True
+        starts = np.flatnonzero(new)
+        lengths = np.diff(np.append(starts, len(places)))
+        within = np.ones(len(new), bool)
+        within[over] = False
+        kept = within[starts]
+        starts, lengths = starts[kept], lengths[kept]
+        own = np.searchsorted(ends, starts, side="right")
+        shift = np.array(offsets) - (ends - sizes)
+        return np.array(texts)[own], starts + shift[own], lengths, places[starts] - starts, grams[places[starts]].view(np.int64)
 
 
 def _bytes(text: str | None) -> bytes:
     return text.encode() if text else b""
 
 
+def _windows(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Starts of all windows of some runs."""
+    return np.repeat(starts - np.cumsum(lengths) + lengths, lengths) + np.arange(lengths.sum())
+
+
 _SEEN = pa.schema([("key", pa.int64()), ("id", pa.int64()), ("anchor", pa.int64())])
 
 
@@ -94,12 +133,12 @@ def _seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     null) once, and (any key, id, anchor) for each, since they are known to be shared."""
     for batch in batches:
         ids = batch.column(0).to_numpy()
-        found = [np.unique(Runs(_bytes(t)).anchors) for t in batch.column(1).to_pylist()]
-        anchors, owner = np.concatenate(found), np.repeat(ids, [len(a) for a in found])
+        runs = Runs([_bytes(t) for t in batch.column(1).to_pylist()])
+        anchors, owner = runs.anchors, ids[runs.texts]
         order = np.lexsort((owner, anchors))
         anchors, owner = anchors[order], owner[order]
         new = np.append(True, anchors[1:] != anchors[:-1])[:len(anchors)]
-        own = np.append(True, owner[1:] != owner[:-1])[:len(anchors)] | new
+        own = np.append(True, owner[1:] != owner[:-1])[:len(anchors)] | new  # once for each document
         group = np.cumsum(new) - 1
         shared = np.bincount(group, weights=own)[group] > 1 if len(group) else new
         once, notice, known = ~shared & new, shared & new, shared & own
@@ -225,15 +264,10 @@ def _build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield result(pa.Table.from_batches(held))
 
 
-def _windows(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """Starts of all windows of some runs."""
-    return np.repeat(starts - np.cumsum(lengths) + lengths, lengths) + np.arange(lengths.sum())
-
-
-def _covered(data: bytes, starts: list[int], lengths: list[int], digests: list[int], owns: list[dict]) -> np.ndarray:
+def _covered(data: bytes, starts: np.ndarray, lengths: np.ndarray, owns: list[dict]) -> np.ndarray:
     """Which bytes are in windows of the runs that the document doesn't own."""
-    starts, lengths = np.array(starts, np.int64), np.array(lengths, np.int64)
     bits = {o["digest"]: o["bits"] for o in owns if o["bits"] != _SINGLE}
+    digests = [_digest(data[s:e]) for s, e in zip(starts.tolist(), (starts + lengths + LENGTH - 1).tolist())]
     own = np.repeat(np.array([bits.get(d, 0) for d in digests], np.int64), lengths)
     at = _windows(starts, lengths)
     lost = at[own >> (at - np.repeat(starts, lengths)) & 1 == 0]
@@ -247,41 +281,35 @@ def _covered(data: bytes, starts: list[int], lengths: list[int], digests: list[i
 
 
 def _listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Results of rows without shared anchors; text and runs of shared anchors of the others. ``fresh`` has the
-    runs whose string is new in the text."""
+    """Results of rows without shared anchors; text and runs of shared anchors of the others. A shape is a run's number
+    of windows and the place of its anchor."""
     for batch in batches:
-        out = []
-        for text, shared in zip(batch.column("text").to_pylist(), batch.column("shared").to_pylist()):
-            data = _bytes(text)
-            if shared is None:
-                out.append((len(data), hashlib.sha256(data).hexdigest(), None, None, None, None, None))
-                continue
-            runs = Runs(data)
-            hit = np.isin(runs.anchors, np.array(shared, np.int64))
-            starts, lengths = runs.starts[hit], runs.lengths[hit]
-            digests = np.array([_digest(data[s:e]) for s, e in zip(starts.tolist(), (starts + lengths + LENGTH - 1).tolist())], np.int64)
-            fresh = np.sort(np.unique(digests, return_index=True)[1])
-            items = {"anchor": runs.anchors[hit][fresh], "place": runs.places[hit][fresh], "start": starts[fresh], "length": lengths[fresh]}
-            items = [dict(zip(items, r)) for r in zip(*(c.tolist() for c in items.values()))]
-            out.append((len(data), None, data, starts, lengths, digests, items))
-        kinds = (pa.int64(), pa.string(), pa.binary(), *[pa.list_(pa.int64())] * 3, pa.list_(pa.struct(
-            [(c, pa.int64()) for c in ("anchor", "place", "start", "length")])))
-        columns = zip(*out) if out else [()] * len(kinds)
+        shared = batch.column("shared")
+        meets = np.asarray(shared.is_valid())
+        data = [_bytes(t) for t in batch.column("text").to_pylist()]
+        runs = Runs([d if m else b"" for d, m in zip(data, meets.tolist())])
+        hit = np.isin(runs.anchors, shared.flatten().to_numpy())
+        sizes = np.bincount(runs.texts[hit], minlength=len(data))
+        offsets = pa.array(np.append(0, np.cumsum(sizes)).astype(np.int32))
+        lists = [pa.ListArray.from_arrays(offsets, pa.array(c[hit].astype(np.int32))) for c in (
+            runs.starts, runs.lengths * _SHAPE + runs.places)]
         yield pa.RecordBatch.from_arrays(
-            [batch.column("id"), *(pa.array(c, k) for c, k in zip(columns, kinds))],
-            names=["id", "n_bytes", "kept_sha256", "data", "starts", "lengths", "digests", "fresh"])
+            [batch.column("id"), pa.array([len(d) for d in data], pa.int64()),
+             pa.array([None if m else hashlib.sha256(d).hexdigest() for d, m in zip(data, meets.tolist())], pa.string()),
+             pa.array([d if m else None for d, m in zip(data, meets.tolist())], pa.binary()), *lists],
+            names=["id", "n_bytes", "kept_sha256", "data", "starts", "shapes"])
 
 
-_LISTED = ("id long, n_bytes long, kept_sha256 string, data binary, starts array<long>, lengths array<long>, digests array<long>, "
-           "fresh array<struct<anchor: long, place: long, start: long, length: long>>")
+_SHAPE = 64
+_LISTED = "id long, n_bytes long, kept_sha256 string, data binary, starts array<int>, shapes array<int>"
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         out = []
-        for data, starts, lengths, digests, owns in zip(*(batch.column(c).to_pylist() for c in (
-                "data", "starts", "lengths", "digests", "owns"))):
-            gone = _covered(data, starts, lengths, digests, owns or [])
+        for n, (data, owns) in enumerate(zip(batch.column("data").to_pylist(), batch.column("owns").to_pylist())):
+            starts, shapes = (batch.column(c)[n].values.to_numpy().astype(np.int64) for c in ("starts", "shapes"))
+            gone = _covered(data, starts, shapes // _SHAPE, owns or [])
             kept = np.frombuffer(data, np.uint8)[~gone].tobytes()
             spans = int((np.diff(np.append(0, gone.view(np.int8))) == 1).sum())
             out.append((len(data) - len(kept), spans, hashlib.sha256(kept).hexdigest(), kept))
@@ -294,30 +322,34 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def without_repeats(docs: DataFrame, crowd: int = CROWD) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept) of every row; ``kept`` are the remaining bytes, null where
-    nothing was removed because nothing is shared."""
+    nothing was removed because nothing is shared. Each step is written, so what it shuffled can go, and tables that
+    no later step reads are dropped."""
     small_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("id"), "text")
     seen = rows.filter("id IS NOT NULL").mapInArrow(_seen, "key long, id long, anchor long")
     shared = seen.repartition("key").sortWithinPartitions("key", "id").mapInArrow(_shared, "id long, anchor long")
-    lists = shared.groupBy("id").agg(F.collect_set("anchor").alias("shared"))
+    lists = written(shared.groupBy("id").agg(F.collect_set("anchor").alias("shared")), "shared")
     listed = written(rows.join(lists, "id", "left").select("id", "text", "shared").mapInArrow(_listed, _LISTED), "listed")
+    drop_tables(lists)
     affected = listed.filter("data IS NOT NULL")
 
-    items = affected.select("id", "data", F.explode("fresh").alias("r")).select(
-        "id", "r.anchor", F.col("r.place").cast("int").alias("place"),
-        F.expr(f"substring(data, CAST(r.start + 1 AS INT), CAST(r.length + {LENGTH - 1} AS INT))").alias("string"))
-    strings = written(items.groupBy("anchor", "place", "string").agg(F.min("id").alias("id")), "strings")
-    crowded = strings.groupBy("anchor").count().filter(F.col("count") > crowd).select("anchor")
-    whole = strings.join(crowded, "anchor", "left_anti").select(
-        F.col("anchor").alias("key"), "place", "string", "id", F.lit(False).alias("single"))
-    singles = strings.join(crowded, "anchor", "left_semi").select("id", "place", "string", F.explode(
+    items = affected.select("id", "data", F.explode(F.arrays_zip("starts", "shapes")).alias("r")).select(
+        "id", (F.col("r.shapes") % _SHAPE).alias("place"),
+        F.expr(f"substring(data, r.starts + 1, CAST(r.shapes DIV {_SHAPE} AS INT) + {LENGTH - 1})").alias("string"))
+    strings = written(items.groupBy("place", "string").agg(F.min("id").alias("id")), "strings")
+    keyed = strings.select(F.xxhash64(F.expr(f"substring(string, place + 1, {GRAM})")).alias("key"), "place", "string", "id")
+    crowded = written(keyed.groupBy("key").count().filter(F.col("count") > crowd).select("key"), "crowded")
+    whole = keyed.join(crowded, "key", "left_anti").withColumn("single", F.lit(False))
+    singles = keyed.join(crowded, "key", "left_semi").select("id", "place", "string", F.explode(
         F.sequence(F.lit(0), F.octet_length("string") - LENGTH)).alias("at")).groupBy(
         (F.col("place") - F.col("at")).alias("place"), F.expr(f"substring(string, at + 1, {LENGTH})").alias("string")).agg(F.min("id").alias("id"))
     singles = singles.select(F.xxhash64("string").alias("key"), "place", "string", "id", F.lit(True).alias("single"))
-    owns = whole.unionByName(singles).repartition("key").sortWithinPartitions("key").mapInArrow(_build, "id long, digest long, bits long")
+    owns = written(whole.unionByName(singles).repartition("key").sortWithinPartitions("key").mapInArrow(
+        _build, "id long, digest long, bits long"), "owns")
+    drop_tables(strings, crowded)
     by_doc = owns.groupBy("id").agg(F.collect_list(F.struct("digest", "bits")).alias("owns"))
 
-    changed = affected.join(by_doc, "id", "left").select("id", "n_bytes", "data", "starts", "lengths", "digests", "owns").mapInArrow(
+    changed = affected.join(by_doc, "id", "left").select("id", "n_bytes", "data", "starts", "shapes", "owns").mapInArrow(
         _cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
     rest = listed.filter("data IS NULL").select(F.col("id").alias("doc_id"), "n_bytes", F.lit(0).cast("long").alias("n_removed"),
                                                 F.lit(0).cast("long").alias("n_spans"), "kept_sha256", F.lit(None).cast("binary").alias("kept"))

@@ -79,9 +79,23 @@ def test_stretches_agree(monkeypatch):
     def anchors(runs):
         return dict(zip(suffixes._windows(runs.starts, runs.lengths).tolist(), np.repeat(runs.anchors, runs.lengths).tolist()))
 
-    whole = anchors(suffixes.Runs(data))
+    whole = anchors(suffixes.Runs([data]))
     monkeypatch.setattr(suffixes, "STRETCH", 170)
-    assert anchors(suffixes.Runs(data)) == whole and len(whole) == 5000 - L + 1
+    assert anchors(suffixes.Runs([data])) == whole and len(whole) == 5000 - L + 1
+
+
+def test_joined_texts_stay_apart(monkeypatch):
+    """Texts that are hashed together have the runs that each has on its own."""
+    rng = random.Random(6)
+    texts = ["".join(rng.choices("ab ", k=rng.choice([0, 10, 49, 50, 51, 99, 300]))).encode() for _ in range(60)]
+    for joined in (1, 400, 1 << 17):
+        monkeypatch.setattr(suffixes, "JOINED", joined)
+        runs = suffixes.Runs(texts)
+        for n, data in enumerate(texts):
+            one, own = suffixes.Runs([data]), runs.texts == n
+            for column in ("starts", "lengths", "places", "anchors"):
+                assert getattr(runs, column)[own].tolist() == getattr(one, column).tolist()
+            assert one.lengths.sum() == max(len(data) - L + 1, 0)
 
 
 def test_collection_orders_and_common_prefixes():
