@@ -5,15 +5,16 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from crestline import fixed
+from crestline.functions import derive
 from crestline.functions.text import slug_to_title, title_case
-from crestline.operators import crawl, enrich, extract, filters, ledger, reduction
+from crestline.operators import crawl, enrich, extract, filters, flatten, ledger, reduction
 from crestline.plans import enrichment as enrichment_plan
 from crestline.plans import extraction, load
 from crestline.plans import mapping as m
 from crestline.plans import reduction as reduction_plan
 from crestline.registry import sql as S
 from crestline.registry.base import joined, long_tags, query
-from crestline.session import scratch_path
+from crestline.session import scratch_path, written_table
 from crestline.sources import lines, nested, store
 from crestline.sources.html import with_elements
 
@@ -257,6 +258,30 @@ def _(spark, sf):
     return routes.select("area_id", "route_id", "area_name", "route_type")
 
 
+@query("array_file_scan", f"""SELECT area_id, area_name, CAST(count(route_id) AS BIGINT) AS n_routes, CAST(sum(route_pitches) AS BIGINT) AS pitches
+    FROM areas FULL JOIN routes USING (area_id) GROUP BY ALL""")
+def _(spark, sf):
+    folder = scratch_path(spark, "arrays")
+    store.write_arrays(_nested_areas(spark, sf).drop("area_ord", "approach"), folder)
+    # files of about a thousand records, cut into splits of 64 kB
+    found = nested.scan_single(spark, folder, split_bytes=1 << 16)
+    return found.groupBy("area_id").agg(
+        F.max("area_name").alias("area_name"), F.sum(F.size("routes")).alias("n_routes"),
+        F.sum(F.aggregate("routes", F.lit(0).cast("bigint"), lambda n, r: n + r["route_pitches"])).alias("pitches")) \
+        .withColumn("pitches", F.when(F.col("n_routes") > 0, F.col("pitches")))
+
+
+@query("flat_files_load", """SELECT route_id, coalesce(area_name, '') AS area_name, coalesce(web_path, '') AS area_path, route_grade, route_type
+    FROM routes LEFT JOIN areas USING (area_id)""")
+def _(spark, sf):
+    folder = scratch_path(spark, "flat")
+    store.write_arrays(m.areas(spark, sf).drop("area_ord", "approach"), f"{folder}/areas", member="areas")
+    store.write_arrays(m.routes(spark, sf, **_bare).drop("k", "area_ord", "route_ord"), f"{folder}/routes")
+    areas, routes = nested.read_flat(spark, f"{folder}/areas", f"{folder}/routes", split_bytes=1 << 16)
+    return flatten.attach_area(routes, areas).select(
+        "route_id", "area_name", derive.web_path(F.col("area_hierarchy")).alias("area_path"), "route_grade", "route_type")
+
+
 @query("state_reduction", f"""SELECT coalesce(lower(r_name), 'unknown') AS state, CAST(count(*) AS BIGINT) AS n_routes FROM {_IN_AREAS}
     WHERE {S.ELIGIBLE} GROUP BY r_name""")
 def _(spark, sf):
@@ -523,6 +548,30 @@ def _(spark, sf):
     return store.read_version(spark, base).select("route_id", "origin").withColumn("version", F.lit(v))
 
 
+_PARTS = 16
+
+
+@query("partial_upsert", f"""WITH p AS (SELECT route_id, route_grade, k, ('0x' || left(md5(route_id), 8))::BIGINT % {_PARTS} AS part FROM routes),
+    touched AS (SELECT DISTINCT part FROM p WHERE k % 400 = 7 AND route_grade <> '')
+    SELECT route_id, CASE WHEN k % 400 = 7 THEN '' ELSE route_grade END AS route_grade,
+      part IN (SELECT part FROM touched) AS rewritten FROM p""")
+def _(spark, sf):
+    base = scratch_path(spark, "parted")
+    r = m.routes(spark, sf, **_bare).select("route_id", "route_grade", "k")
+    store.upsert_parts(r, base, "route_id", parts=_PARTS)
+
+    def files():
+        return store.read_parts(spark, base).select("route_id", F.col("_metadata.file_name").alias("file"))
+
+    before = written_table(files(), "files")
+    some = r.filter("k % 400 = 7").withColumn("route_grade", F.lit(""))
+    store.upsert_parts(some, base, "route_id")
+    assert store.upsert_parts(some, base, "route_id") == [], "a repeated run writes nothing"
+    now = store.read_parts(spark, base).select("route_id", "route_grade", F.col("_metadata.file_name").alias("file"))
+    return now.join(before.withColumnRenamed("file", "old"), "route_id", "left").select(
+        "route_id", "route_grade", (~F.col("file").eqNullSafe(F.col("old"))).alias("rewritten"))
+
+
 def _state_files(spark, sf):
     """Inventory of one file of area ids for each state."""
     folder = scratch_path(spark, "inventory")

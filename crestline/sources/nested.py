@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from crestline import schemas
+from crestline.sources import arrays
 
 
 _RECORD = schemas.NESTED_AREA + ", part int, corrupt string"
@@ -26,22 +27,30 @@ def location(base: str, name: str) -> str:
     return name if "://" in name else f"{base.rstrip('/')}/{name.lstrip('/')}"
 
 
-def read_nested(spark: SparkSession, paths: str | Sequence[str], multi_line: bool = True) -> DataFrame:
+def read_nested(spark: SparkSession, paths: str | Sequence[str], multi_line: bool = True,
+                split_bytes: int | None = None) -> DataFrame:
     """Area rows with ``file_path`` and ``area_pos`` (position inside the file).
 
     The file root is an array or a single object. Incoming files are one JSON
-    array each, hence ``multi_line``; files written by this package hold one
-    record per line and can be split (``multi_line=False``). Records that do
-    not parse have ``corrupt`` set.
+    array each, hence ``multi_line``: their records are found by all tasks at
+    once (``arrays``). Files written by this package hold one record per line
+    (``multi_line=False``). Records that do not parse have ``corrupt`` set.
     """
-    df = (spark.read.schema(_RECORD)
-          .option("multiLine", multi_line).option("columnNameOfCorruptRecord", "corrupt")
+    if multi_line:
+        return parsed(arrays.split_records(spark, paths, split_bytes=split_bytes), _RECORD)
+    df = (spark.read.schema(_RECORD).option("columnNameOfCorruptRecord", "corrupt")
           .option("ignoreMissingFiles", True).json(paths if isinstance(paths, str) else list(paths)))
     return df.select("*", F.col("_metadata.file_path").alias("file_path"),
                      F.struct(F.col("_metadata.file_block_start").alias("block"),
                               F.monotonically_increasing_id().alias("row")).alias("area_pos"))
 
 
+def parsed(records: DataFrame, schema: str) -> DataFrame:
+    """Fields of ``schema`` from the records of array files."""
+    row = F.from_json("value", schema, {"columnNameOfCorruptRecord": "corrupt"})
+    return records.select(row.alias("r"), "file_path", "area_pos").select("r.*", "file_path", "area_pos")
+
+
 def existing_paths(spark: SparkSession, paths: Sequence[str]) -> list[str]:
     """Paths that exist, by one listing per folder; names come from a manifest,
     one entry per file."""
@@ -109,14 +118,14 @@ def _first_character(spark: SparkSession, path: str) -> str:
     return head[0][0] if head else ""
 
 
-def scan_single(spark: SparkSession, path: str) -> DataFrame:
+def scan_single(spark: SparkSession, path: str, split_bytes: int | None = None) -> DataFrame:
     """One file whose root must be a non-empty array."""
     first = _first_character(spark, path)
     if not first:
         raise NoDataError("empty file")
     if first != "[":
         raise ValueError("expected an array of areas")
-    return read_nested(spark, path)
+    return read_nested(spark, path, split_bytes=split_bytes)
 
 
 def scan_states(spark: SparkSession, folder: str, suffix: str = "_routes_tagged.json",
@@ -152,14 +161,15 @@ def flatten_nested(nested: DataFrame) -> tuple[DataFrame, DataFrame]:
     return areas, routes
 
 
-def read_flat(spark: SparkSession, areas_file: str, routes_file: str) -> tuple[DataFrame, DataFrame]:
-    """``{"areas": [...]}`` and ``[...]`` files; other shapes fail."""
-    a = spark.read.schema(schemas.FLAT_AREA_FILE).option("multiLine", True).json(areas_file)
-    a = a.select(F.when(F.col("areas").isNull(), F.raise_error(F.lit("expected an object with an areas array")))
-                 .otherwise(F.col("areas")).alias("areas"))
-    areas = a.select(F.posexplode("areas").alias("area_ord", "a")).select("a.*", "area_ord")
+def read_flat(spark: SparkSession, areas_file: str, routes_file: str,
+              split_bytes: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """``{"areas": [...]}`` and ``[...]`` files; other shapes fail. Ordinals are places in the file."""
     if _first_character(spark, routes_file) != "[":
         raise ValueError("expected an array of routes")
-    routes = spark.read.schema(schemas.FLAT_ROUTE).option("multiLine", True).json(routes_file) \
-        .withColumn("route_ord", F.monotonically_increasing_id())
-    return areas, routes
+
+    def ordered(records: DataFrame, schema: str, name: str) -> DataFrame:
+        place = F.struct("file_path", F.col("area_pos.block"), F.col("area_pos.row")).alias(name)
+        return parsed(records, schema).select("*", place).drop("file_path", "area_pos")
+
+    areas = ordered(arrays.split_records(spark, areas_file, "areas", split_bytes), schemas.AREA, "area_ord")
+    return areas, ordered(arrays.split_records(spark, routes_file, split_bytes=split_bytes), schemas.FLAT_ROUTE, "route_ord")

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from crestline.functions.text import slug
 from crestline.operators.flatten import upsert
+from crestline.operators.keyed import last_wins
+from crestline.session import written_table
 
 
 class TargetExistsError(RuntimeError):
@@ -36,6 +38,18 @@ def write_by_state(areas: DataFrame, path: str) -> None:
     areas.write.partitionBy("state").mode("errorifexists").json(path)
 
 
+def write_arrays(df: DataFrame, path: str, per_file: int = 1000, member: str | None = None) -> None:
+    """Files of one indented JSON array each, as other tools read them, of about ``per_file`` records
+    (dealt out by a hash of the record); with ``member``, an object that holds the array."""
+    record = F.to_json(F.struct(*df.columns), {"pretty": "true"})
+    files = max(1, -(-df.count() // per_file))
+    text = F.concat(F.lit("[ "), F.array_join(F.collect_list("record"), " ,\n"), F.lit(" ]"))
+    if member is not None:
+        text = F.concat(F.lit(f'{{ "{member}" : '), text, F.lit(" }"))
+    df.select(record.alias("record")).withColumn("file", F.pmod(F.xxhash64("record"), F.lit(files))) \
+        .groupBy("file").agg(text.alias("value")).write.partitionBy("file").mode("errorifexists").text(path)
+
+
 # --- versioned tables ----------------------------------------------------------
 
 def _status(spark: SparkSession, pattern: str):
@@ -67,8 +81,9 @@ def read_version(spark: SparkSession, base: str, version: int | None = None) ->
 
 
 def next_version(spark: SparkSession, base: str) -> int:
-    found = versions(spark, base)
-    return (found[-1] if found else 0) + 1
+    """Above all versions, also those that a writer began and never finished."""
+    begun = [re.sub(r"^v=", "", s.getPath().getName()) for s in _status(spark, f"{base}/v=*")]
+    return max((int(n) for n in begun if n.isdigit()), default=0) + 1
 
 
 def has_rows(spark: SparkSession, base: str) -> bool:
@@ -80,11 +95,11 @@ def has_rows(spark: SparkSession, base: str) -> bool:
 def write_version(df: DataFrame, base: str, cluster_by: list[str] | None = None) -> int:
     """Write the next version; earlier ones stay as backups. With ``cluster_by``
     rows are range partitioned and sorted, so later prefix and range filters
-    read few files."""
+    read few files. A folder that another writer has begun is an error."""
     version = next_version(df.sparkSession, base)
     if cluster_by:
         df = df.repartitionByRange(*cluster_by).sortWithinPartitions(*cluster_by)
-    df.write.mode("overwrite").parquet(f"{base}/v={version}")
+    df.write.mode("errorifexists").parquet(f"{base}/v={version}")
     return version
 
 
@@ -98,6 +113,79 @@ def upsert_version(incoming: DataFrame, base: str, key: str, order: str, force:
     return write_version(upsert(read_version(spark, base), incoming, key, order), base, cluster_by)
 
 
+# --- collections in parts ------------------------------------------------------
+
+PARTS = 64
+
+
+def part_of(key: Column, parts: int) -> Column:
+    """The part of a key; any engine with MD5 gives the same."""
+    return F.pmod(F.conv(F.substring(F.md5(key.cast("string")), 1, 8), 16, 10).cast("bigint"), F.lit(parts)).cast("int")
+
+
+def _number_of_parts(spark: SparkSession, base: str) -> int | None:
+    found = [s.getPath().getName() for s in _status(spark, f"{base}/of=*")]
+    return int(found[0].removeprefix("of=")) if found else None
+
+
+def read_parts(spark: SparkSession, base: str, keys: DataFrame | None = None) -> DataFrame | None:
+    """Rows of a collection in parts. With ``keys``, one column of layout keys, only the parts that hold
+    them are read; their numbers, not the keys, reach the driver."""
+    n = _number_of_parts(spark, base)
+    if n is None:
+        return None
+    rows = spark.read.parquet(f"{base}/of={n}")
+    if keys is not None:
+        wanted = [r[0] for r in keys.select(part_of(F.col(keys.columns[0]), n)).distinct().collect()]
+        rows = rows.filter(F.col("part").isin(wanted))
+    return rows.drop("part")
+
+
+def upsert_parts(incoming: DataFrame, base: str, key: str, order: str | None = None, by: str | None = None,
+                 parts: int = PARTS, backup: bool = True) -> list[int]:
+    """Set documents by ``key`` in a collection laid out by a hash of ``by`` (default: the key; a document
+    keeps its ``by``). Only parts with a document that changes are read whole and written; their numbers
+    are returned, none if everything is there already. The last row in ``order`` wins, which is a column of
+    its own and not stored; without it ``incoming`` has each key once.
+
+    The number of parts is fixed by the first write. Parts are replaced when the whole write has
+    succeeded, one after the other; a run that dies in between is repeated as it was. With ``backup``
+    the rows of the touched parts are kept first, as the next version of ``<base>/_before``.
+    """
+    spark = incoming.sparkSession
+    by = by or key
+    new = last_wins(incoming, [key], [order]).drop(order) if order else incoming
+    n = _number_of_parts(spark, base) or parts
+    new = written_table(new.withColumn("part", part_of(F.col(by), n)), "incoming")
+    folder = f"{base}/of={n}"
+    if _number_of_parts(spark, base) is None:
+        new.hint("rebalance", "part").write.partitionBy("part").mode("errorifexists").parquet(folder)
+        return sorted(r[0] for r in new.select("part").distinct().collect())
+    offered = [r[0] for r in new.select("part").distinct().collect()]  # at most n numbers
+    stored = spark.read.parquet(folder).filter(F.col("part").isin(offered))
+    text = F.to_json(F.struct(*[c for c in new.columns if c != "part"]), {"ignoreNullFields": "false"}).alias("_text")
+    changed = new.withColumn("_text", text).join(stored.select(key, text), [key, "_text"], "left_anti").drop("_text")
+    touched = sorted(r[0] for r in changed.select("part").distinct().collect())
+    if not touched:
+        return []
+    stored = stored.filter(F.col("part").isin(touched))
+    if backup:
+        stored.write.partitionBy("part").mode("errorifexists").parquet(f"{base}/_before/v={next_version(spark, f'{base}/_before')}")
+    kept = stored.join(new.select(key), key, "left_anti")
+    kept.unionByName(new.filter(F.col("part").isin(touched)), allowMissingColumns=True).hint("rebalance", "part").write.option(
+        "partitionOverwriteMode", "dynamic").partitionBy("part").mode("overwrite").parquet(folder)
+    return touched
+
+
+def undo_parts(spark: SparkSession, base: str) -> list[int]:
+    """Put the parts of the last backup back; their numbers."""
+    last = versions(spark, f"{base}/_before")[-1]
+    rows = spark.read.parquet(f"{base}/_before/v={last}")
+    rows.hint("rebalance", "part").write.option("partitionOverwriteMode", "dynamic").partitionBy("part").mode("overwrite").parquet(
+        f"{base}/of={_number_of_parts(spark, base)}")
+    return sorted(r[0] for r in rows.select("part").distinct().collect())
+
+
 def send_in_groups(df: DataFrame, send, size: int = 500, retries: int = 3) -> None:
     """Hand rows to an external store in groups of at most ``size`` from each
     partition; ``send(list_of_rows)`` must be an idempotent set-by-id."""

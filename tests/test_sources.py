@@ -256,3 +256,61 @@ def test_sinks(spark, tmp_path):
     assert (tmp_path / "w_tagged.json" / "_SUCCESS").exists()
     store.write_by_root(df, str(tmp_path / "roots"), "https://x.example/area/7/big-wall/")
     assert (tmp_path / "roots" / "root_slug=big-wall").exists()
+
+
+def test_arrays_that_other_tools_read(spark, tmp_path):
+    df = spark.range(0, 250).select(F.concat(F.lit("a{"), "id").alias("area_id"), F.array(F.struct(F.lit('"[').alias("route_id"))).alias("routes"))
+    store.write_arrays(df, str(tmp_path / "arrays"), per_file=100)
+    store.write_arrays(df, str(tmp_path / "members"), per_file=100, member="areas")
+    for name, inside in (("arrays", lambda d: d), ("members", lambda d: d["areas"])):
+        files = list((tmp_path / name).glob("file=*/*.txt"))
+        rows = [r["area_id"] for f in files for r in inside(json.loads(f.read_text()))]
+        assert len(files) == 3 and sorted(rows) == sorted(f"a{{{n}" for n in range(250))
+    assert nested.scan_single(spark, str(tmp_path / "arrays"), split_bytes=2000).select("area_id").distinct().count() == 250
+
+
+def test_unfinished_versions_are_left_alone(spark, tmp_path):
+    base = str(tmp_path / "docs")
+    df = spark.createDataFrame([("a",)], "id string")
+    assert store.write_version(df, base) == 1
+    (tmp_path / "docs" / "v=2").mkdir()  # another writer has begun
+    assert store.write_version(df, base) == 3 and store.versions(spark, base) == [1, 3]
+
+
+def _files(path):
+    return {f.parent.name: f.name for f in path.glob("of=*/part=*/*.parquet")}
+
+
+def test_partial_upsert(spark, tmp_path):
+    base = str(tmp_path / "docs")
+    rows = [(f"d{n}", n, {"t": [str(n)]}) for n in range(200)]
+    schema = "id string, v int, tags map<string,array<string>>"
+    df = spark.createDataFrame(rows, schema)
+    assert len(store.upsert_parts(df, base, "id", parts=20)) == 20
+    before = _files(tmp_path / "docs")
+    new = spark.createDataFrame([("d3", 9, 0), ("d3", -3, 1), ("new", 7, 0)], "id string, v int, ord int")
+    new = new.withColumn("tags", F.from_json(F.lit("{}"), "map<string,array<string>>"))
+    touched = store.upsert_parts(new.drop("ord").filter("v <> 9"), base, "id", parts=3)  # the first write fixed the number
+    assert len(touched) == 2
+    after = _files(tmp_path / "docs")
+    assert {p for p in before if before[p] != after[p]} == {f"part={p}" for p in touched}
+    got = {r["id"]: r["v"] for r in store.read_parts(spark, base).collect()}
+    assert got == {**{i: v for i, v, _ in rows}, "d3": -3, "new": 7}
+    # nothing changes, nothing is written
+    assert store.upsert_parts(new, base, "id", "ord") == [] and _files(tmp_path / "docs") == after
+    # only the parts of the keys are read
+    some = store.read_parts(spark, base, spark.createDataFrame([("d3",)], "id string"))
+    assert 0 < some.count() < 40 and some.filter("id = 'd3'").first()["v"] == -3
+    assert store.undo_parts(spark, base) == touched
+    assert {r["id"]: r["v"] for r in store.read_parts(spark, base).collect()} == {i: v for i, v, _ in rows}
+    assert store.read_parts(spark, str(tmp_path / "none")) is None
+
+
+def test_parts_by_another_column(spark, tmp_path):
+    base = str(tmp_path / "docs")
+    df = spark.range(0, 300).select(F.col("id").cast("string").alias("id"), (F.col("id") % 7).cast("string").alias("area"), F.lit(0).alias("v"))
+    store.upsert_parts(df, base, "id", by="area", parts=50)
+    touched = store.upsert_parts(df.filter("area = '3'").withColumn("v", F.lit(1)), base, "id", by="area", backup=False)
+    assert len(touched) == 1
+    assert {(r["area"], r["v"]) for r in store.read_parts(spark, base).select("area", "v").distinct().collect()} == {
+        (str(n), int(n == 3)) for n in range(7)}
