@@ -2,20 +2,20 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from crestline.session import cut_lineage, drop_tables, written_table
+from crestline.session import BucketedTable, written_table
 
 COMPACT_EVERY = 8
+#: URLs of a wave up to which they are looked up by name, so that only their buckets are read.
+FEW = 200
 
 
 def reachable(edges: DataFrame, start: DataFrame) -> DataFrame:
     """URLs reachable from ``start`` over (src_url, dst_url), with the wave that
     found each."""
-    return _waves(edges, start, None)
+    return _waves(edges, start)
 
 
 def discover_leaves(graph: DataFrame, start: DataFrame) -> DataFrame:
@@ -25,35 +25,41 @@ def discover_leaves(graph: DataFrame, start: DataFrame) -> DataFrame:
     leaves = graph.filter("is_leaf").select("url")
     edges = graph.filter("NOT is_leaf").select(
         F.col("url").alias("src_url"), F.explode("links").alias("dst_url"))
-    return _waves(edges, start, leaves).join(leaves, "url", "left_semi").select("url", "wave")
+    return _waves(edges, start).join(leaves, "url", "left_semi").select("url", "wave")
+
+
+def new_links(links: DataFrame, visited: DataFrame, wave: int) -> DataFrame:
+    """The next wave: targets of the links of ``wave`` that were not visited. Links lie in buckets of
+    their source and pages in buckets of their URL, as many of both, so only found targets are shuffled."""
+    front = visited.filter(F.col("wave") == wave).select(F.col("url").alias("src_url"))
+    return links.join(front, "src_url", "left_semi").select(F.col("dst_url").alias("url")).distinct() \
+        .join(visited.select("url"), "url", "left_anti").withColumn("wave", F.lit(wave + 1))
 
 
-def _waves(edges: DataFrame, start: DataFrame, stop: DataFrame | None) -> DataFrame:
+def _waves(edges: DataFrame, start: DataFrame) -> DataFrame:
     """Breadth-first waves; links may be cyclic.
 
-    Edges are partitioned by their source once, so no wave shuffles them; a
-    source's edges are bounded by its page. Each wave is written to the shared
-    folder, so a lost executor restarts one wave. Visited parts are compacted now
-    and then, and the waves they replace are deleted.
+    Links and visited pages are bucketed once and never shuffled again; a source's links are bounded by
+    its page. Each wave is appended in the shared folder, so a lost executor repeats tasks of one wave. A
+    wave of few pages reads the links of their buckets only. The files of visited pages are merged now
+    and then.
     """
-    edges = cut_lineage(edges.select("src_url", "dst_url").repartition("src_url"))
-    wave = written_table(start.select("url").distinct().withColumn("wave", F.lit(0)), "wave")
-    seen, n = [wave], 0
+    buckets = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    links = BucketedTable(edges.select("src_url", "dst_url"), "links", "src_url", buckets)
+    visited = BucketedTable(start.select("url").distinct().withColumn("wave", F.lit(0)), "visited", "url", buckets)
+    wave = 0
     while True:
-        n += 1
-        front = wave if stop is None else wave.join(stop, "url", "left_anti")
-        visited = reduce(DataFrame.unionByName, seen)
-        found = (
-            edges.join(front.select(F.col("url").alias("src_url")), "src_url", "left_semi")
-            .select(F.col("dst_url").alias("url")).distinct()
-            .join(visited.select("url"), "url", "left_anti")
-            .withColumn("wave", F.lit(n))
-        )
-        wave = written_table(found, "wave")
-        if wave.isEmpty():
-            return visited
-        seen.append(wave)
-        if len(seen) > COMPACT_EVERY:
-            compacted = written_table(reduce(DataFrame.unionByName, seen[:-1]), "visited")
-            drop_tables(*seen[:-1])
-            seen = [compacted, wave]
+        front = [r[0] for r in visited.read().filter(F.col("wave") == wave).select("url").limit(FEW + 1).collect()]
+        if not front:
+            break
+        out = links.read()
+        if len(front) <= FEW:
+            out = out.filter(F.col("src_url").isin(front))
+        visited.append(new_links(out, visited.read(), wave))
+        wave += 1
+        if wave % COMPACT_EVERY == 0:
+            merged = BucketedTable(visited.read(), "visited", "url", buckets)
+            visited.drop()
+            visited = merged
+    links.drop()
+    return visited.forget()

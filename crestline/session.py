@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -67,6 +68,50 @@ def drop_tables(*tables: DataFrame) -> None:
             path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, False)
 
 
+class BucketedTable:
+    """A table in the shared folder that is laid out by a hash of one column, in sorted buckets. Joins and
+    aggregates by that column don't shuffle it. Only the running session knows its name."""
+
+    def __init__(self, df: DataFrame, name: str, column: str, buckets: int) -> None:
+        self.spark, self.column, self.buckets = df.sparkSession, column, buckets
+        self.path = scratch_path(self.spark, name)
+        self.name = re.sub(r"\W", "_", self.path.rsplit("/", 1)[-1])
+        self._write(df.repartition(buckets, column), "errorifexists")
+
+    def _write(self, df: DataFrame, mode: str) -> None:
+        df.write.option("path", self.path).mode(mode).bucketBy(self.buckets, self.column).sortBy(self.column).saveAsTable(self.name)
+
+    def append(self, df: DataFrame) -> None:
+        """Add rows that are partitioned by the column already, as a join with this table leaves them."""
+        self._write(df, "append")
+
+    def read(self) -> DataFrame:
+        return self.spark.table(self.name)
+
+    def forget(self) -> DataFrame:
+        """Give up the name; the rows stay and can be read."""
+        rows = self.read()
+        self.spark.sql(f"DROP TABLE {self.name}")
+        return rows
+
+    def drop(self) -> None:
+        self.spark.sql(f"DROP TABLE {self.name}")
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def roots(df: DataFrame) -> set[str]:
+    """Folders and files that a plan names as its sources; their contents are not listed."""
+    leaves = df._jdf.queryExecution().analyzed().collectLeaves()
+    found = set()
+    for i in range(leaves.size()):
+        leaf = leaves.apply(i)
+        if leaf.getClass().getSimpleName() == "LogicalRelation" and leaf.relation().getClass().getSimpleName() == "HadoopFsRelation":
+            paths = leaf.relation().location().rootPaths()
+            found |= {paths.apply(k).toString() for k in range(paths.size())}
+    return found
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new folder name below the shared folder."""
     return f"{shared_dir(spark).rstrip('/')}/crestline-{name}-{uuid.uuid4().hex}"

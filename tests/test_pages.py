@@ -144,6 +144,42 @@ def test_long_chain_is_compacted(spark):
     assert crawl.reachable(edges, start).count() == 13
 
 
+def test_waves_shuffle_found_links_only(spark):
+    """Buckets spare links and visited pages the shuffle; few pages read their buckets only."""
+    from crestline.session import BucketedTable
+
+    pages = spark.range(0, 20_000).select(F.col("id").cast("string").alias("src_url"), (F.col("id") * 7 % 20_000).cast("string").alias("dst_url"))
+    links = BucketedTable(pages, "links", "src_url", 8)
+    visited = BucketedTable(pages.select(F.col("src_url").alias("url"), (F.col("src_url").cast("int") % 3).alias("wave")), "visited", "url", 8)
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = crawl.new_links(links.read(), visited.read(), 2)._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange") == 1 and "Exchange hashpartitioning(url" in plan, plan
+        few = crawl.new_links(links.read().filter(F.col("src_url").isin(["5"])), visited.read(), 2)
+        assert "SelectedBucketsCount: 1 out of 8" in few._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    links.drop()
+    assert visited.forget().count() == 20_000  # without its name
+
+
+def test_wide_waves_of_a_cyclic_graph(spark):
+    """Every page links to its children, the root and itself; far more pages than are looked up by name."""
+    ids = spark.range(0, 30_000).withColumn("to", F.explode(F.array(
+        F.col("id") * 40 + 1, F.col("id") * 40 + 2, F.col("id") * 40 + 39, F.lit(0), F.col("id"))))
+    edges = ids.select(F.concat(F.lit("p"), "id").alias("src_url"), F.concat(F.lit("p"), "to").alias("dst_url"))
+    got = crawl.reachable(edges, spark.createDataFrame([("p0",)], "url string"))
+    want, front, wave = {0: 0}, [0], 0
+    while front:
+        wave += 1
+        front = [t for n in front if n < 30_000 for t in (n * 40 + 1, n * 40 + 2, n * 40 + 39) if t not in want]
+        want.update({n: wave for n in front})
+    assert {r["url"]: r["wave"] for r in got.collect()} == {f"p{n}": w for n, w in want.items()}
+    # 3 children each: several waves are beyond the pages that are looked up
+    assert max(want.values()) >= 3
+
+
 @pytest.mark.parametrize("age,fresh", [("0 00:00:00", True), ("7 23:00:00", True), ("8 00:00:00", False)])
 def test_freshness(spark, age, fresh):
     df = spark.sql(f"SELECT timestamp'2024-03-20 12:00:00' AS now, "
