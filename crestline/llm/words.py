@@ -33,21 +33,21 @@ def hashes(words: list[bytes]) -> np.ndarray:
     return np.fromiter(map(_known.__getitem__, words), np.uint64, len(words))
 
 
+#: Bits of a place next to the bits of a value that are compared.
+_PLACE = np.uint64((1 << 32) - 1)
+
+
 def first_minima(values: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Runs of windows of ``width`` values with the same minimum, the leftmost of equal ones: the first
-    window of each run and the place of its minimum."""
-    low, size = values, 1
+    """Runs of windows of ``width`` values with their minimum at the same place, the leftmost of equal ones: the
+    first window of each run and that place. The upper halves of the values are compared, so a window's
+    minimum is where its values say, whatever surrounds it."""
+    low, size = values & ~_PLACE | np.arange(len(values), dtype=np.uint64), 1
     while size < width:
         step = min(size, width - size)
         low, size = np.minimum(low[:-step], low[step:]), size + step
-    starts = np.flatnonzero(np.append(True, low[1:] != low[:-1]))
-    places = starts + np.lib.stride_tricks.sliding_window_view(values, width)[starts].argmin(axis=1)
-    if (np.append(starts[1:], len(low)) - 1 <= places).all():
-        return starts, places
-    # equal values follow each other: look into every window
-    at = np.lib.stride_tricks.sliding_window_view(values, width).argmin(axis=1) + np.arange(len(low))
-    starts = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
-    return starts, at[starts]
+    places = (low & _PLACE).astype(np.int64)
+    starts = np.flatnonzero(np.append(True, places[1:] != places[:-1]))
+    return starts, places[starts]
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
