@@ -114,8 +114,13 @@ def assign_area_tags(areas: DataFrame, results: DataFrame) -> DataFrame:
     """New results replace the area's tags wholesale."""
     new = results.filter(F.col("kind") == "area").select(
         F.col("entity_id").alias("area_id"), F.col("tags").alias("_new"))
-    return areas.join(new, "area_id", "left").withColumn("area_updated", F.col("_new").isNotNull()) \
-        .withColumn("area_tags", F.coalesce("_new", "area_tags")).drop("_new")
+    return apply_area_tags(areas.join(new, "area_id", "left"), "_new")
+
+
+def apply_area_tags(areas: DataFrame, new: str) -> DataFrame:
+    """``assign_area_tags`` of rows that carry their results in the column ``new``."""
+    return areas.withColumn("area_updated", F.col(new).isNotNull()) \
+        .withColumn("area_tags", F.coalesce(new, "area_tags")).drop(new)
 
 
 def assign_route_tags(routes: DataFrame, results: DataFrame) -> DataFrame:
@@ -123,16 +128,20 @@ def assign_route_tags(routes: DataFrame, results: DataFrame) -> DataFrame:
     Adds llm_tags, route_tags and route_updated; needs manual_tags."""
     new = results.filter(F.col("kind") == "route").select(
         F.col("entity_id").alias("route_id"), F.col("tags").alias("_new"))
-    hit = T.eligible(F.col("route_type")) & F.col("_new").isNotNull()
+    return apply_route_tags(routes.join(new, "route_id", "left"), "_new")
+
+
+def apply_route_tags(routes: DataFrame, new: str) -> DataFrame:
+    """``assign_route_tags`` of rows that carry their results in the column ``new``."""
+    hit = T.eligible(F.col("route_type")) & F.col(new).isNotNull()
     return (
-        routes.join(new, "route_id", "left")
-        .withColumn("route_updated", hit)
-        .withColumn("llm_tags", F.when(hit, F.col("_new")))
+        routes.withColumn("route_updated", hit)
+        .withColumn("llm_tags", F.when(hit, F.col(new)))
         .withColumn("route_tags", F.when(
             F.col("route_updated"),
-            T.merge_with_results(F.col("_new"), F.col("manual_tags"), F.col("route_pitches")))
+            T.merge_with_results(F.col(new), F.col("manual_tags"), F.col("route_pitches")))
             .otherwise(T.merge_without_results(F.col("route_tags"), F.col("manual_tags"))))
-        .drop("_new")
+        .drop(new)
     )
 
 

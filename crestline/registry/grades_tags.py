@@ -8,10 +8,11 @@ from crestline import fixed
 from crestline.functions import derive, grades
 from crestline.functions.arrays import empty_tags
 from crestline.operators import enrich, facets, reduction
+from crestline.plans import delta
 from crestline.plans import mapping as m
 from crestline.registry import sql as S
 from crestline.registry.base import joined, long_tags, query, ruled
-from crestline.session import written_table
+from crestline.session import scratch_path, written_table
 
 _norm, _ix = S.migrate("route_grade")
 _bare = {"with_votes": False}
@@ -162,6 +163,18 @@ def _(spark, sf):
     return long_tags(_enriched(spark, sf)[0], "area_id", "area_tags")
 
 
+@query("enrichment_by_batches", """SELECT route_id, category, array_to_string(tags, ',') AS tags FROM enriched""")
+def _(spark, sf):
+    base = scratch_path(spark, "catalogue")
+    areas = m.areas(spark, sf).withColumn("area_tags", empty_tags())
+    routes = m.routes(spark, sf, with_ratings=True).withColumn("route_tags", empty_tags())
+    delta.begin(areas, routes, base, previous_routes=_snapshot(spark, sf), parts=16)
+    parsed = enrich.parse_results(m.result_lines(spark, sf))
+    for batch in (0, 1):
+        delta.apply_batch(spark, base, enrich.latest_results(parsed.filter(F.col("batch_ord") == batch)))
+    return long_tags(delta.enriched(spark, base)[1], "route_id")
+
+
 @query("inherited_approach", """SELECT route_id, CASE WHEN approach IN ('approach_short') THEN 'approach_short'
       WHEN approach IS NULL THEN 'approach_short' ELSE 'approach_short,' || approach END AS tags
     FROM routes LEFT JOIN areas USING (area_id)""")

@@ -120,7 +120,8 @@ PARTS = 64
 
 def part_of(key: Column, parts: int) -> Column:
     """The part of a key; any engine with MD5 gives the same."""
-    return F.pmod(F.conv(F.substring(F.md5(key.cast("string")), 1, 8), 16, 10).cast("bigint"), F.lit(parts)).cast("int")
+    text = F.coalesce(key.cast("string"), F.lit(""))
+    return F.pmod(F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("bigint"), F.lit(parts)).cast("int")
 
 
 def _number_of_parts(spark: SparkSession, base: str) -> int | None:
