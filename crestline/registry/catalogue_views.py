@@ -7,11 +7,13 @@ from pyspark.sql import functions as F
 from crestline import fixed
 from crestline.functions import derive, text
 from crestline.operators import filters as FL
-from crestline.operators import flatten, hierarchy, search, sorting
+from crestline.operators import flatten, hierarchy, intervals, search, sorting
 from crestline.plans import listing as listing_plan
 from crestline.plans import mapping as m
 from crestline.registry import sql as S
 from crestline.registry.base import area_docs, joined, listing, query, route_docs, stored_routes
+from crestline.session import scratch_path, written_table
+from crestline.sources import store
 
 _bare = {"with_votes": False}
 
@@ -469,6 +471,42 @@ def _(spark, sf):
     return hierarchy.descendants(m.areas(spark, sf, tree=True), "All Locations / ASIA").select("area_id")
 
 
+# parents by whole path; the mapping has every name of a path as an area
+_TREE = """edges AS (SELECT c.area_id, c.area_name, p.area_id AS parent_id FROM tree_areas c
+      LEFT JOIN tree_areas p ON p.names = c.names[1:len(c.names) - 1]),
+    path(area_id, ids, steps) AS (SELECT area_id, [area_id], [{'name': area_name, 'id': area_id}] FROM edges WHERE parent_id IS NULL
+      UNION ALL SELECT e.area_id, list_append(ids, e.area_id), list_append(steps, {'name': area_name, 'id': e.area_id})
+      FROM path JOIN edges e ON e.parent_id = path.area_id)"""
+
+
+def _edges(spark, sf):
+    return hierarchy.tree_by_depth(_without_self(m.areas(spark, sf, tree=True)))
+
+
+@query("area_intervals", f"""WITH {_TREE}, sizes AS (SELECT id AS area_id, count(*) AS size FROM (SELECT unnest(ids) AS id FROM path) GROUP BY id),
+    numbers AS (SELECT area_id, len(ids)::INTEGER AS depth, row_number() OVER (ORDER BY steps) AS first FROM path)
+    SELECT area_id, parent_id, depth, first, first + size - 1 AS last FROM numbers JOIN sizes USING (area_id) JOIN edges USING (area_id)""")
+def _(spark, sf):
+    return intervals.intervals(_edges(spark, sf)).drop("area_name")
+
+
+@query("branch_routes", "SELECT route_id, area_id FROM routes JOIN areas USING (area_id) WHERE names[2] IN ('ASIA', 'EUROPE')")
+def _(spark, sf):
+    labels = written_table(intervals.intervals(_edges(spark, sf)), "labels")
+    base = scratch_path(spark, "labelled")
+    store.write_version(intervals.labelled(m.routes(spark, sf, **_bare).select("route_id", "area_id"), labels), base, ["area_first"])
+    # regions 2 and 3, and a nation of one of them
+    chosen = ["r2", "r3", "n8"]
+    return store.read_version(spark, base).filter(intervals.within(labels, chosen, "area_first")).select("route_id", "area_id")
+
+
+@query("branch_walk", """WITH w(area_id, depth) AS (SELECT 'r2', 0 UNION ALL
+      SELECT c.area_id, depth + 1 FROM w JOIN tree_areas p ON p.area_id = w.area_id
+      JOIN tree_areas c ON c.names[1:len(c.names) - 1] = p.names) SELECT area_id, depth FROM w""")
+def _(spark, sf):
+    return intervals.walk(_edges(spark, sf).select("area_id", "parent_id"), "r2")
+
+
 @query("area_quality", """SELECT count(*) FILTER (WHERE s_suppkey % 11 <> 0)::BIGINT AS valid,
     count(*) FILTER (WHERE s_suppkey % 11 = 0)::BIGINT AS invalid, count(*)::BIGINT AS with_hierarchy FROM areas""")
 def _(spark, sf):
