@@ -88,6 +88,8 @@ PAGE_SIZE_WEB, PAGE_SIZE_STORE, SCAN_LIMIT_STORE = 100, 20, 100
 FRESH_DAYS = 7
 MIN_TICK_WORDS = 15
 BYTES_PER_REQUEST, MAX_BATCH_BYTES, MAX_BATCH_REQUESTS = 6500, 200_000_000, 25_000
+#: Bytes that the external service takes as one file.
+MAX_UPLOAD_BYTES = 209_715_200
 
 # --- fixed values: curated facet menu (category, tag, label, always shown) --
 FACET_MENU = [

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Row
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from crestline import fixed, schemas
@@ -11,6 +14,7 @@ from crestline.functions.arrays import empty_tags, or_empty, tags_in
 from crestline.functions.text import strip
 from crestline.operators.keyed import first_wins, last_wins
 from crestline.operators.ordinal import global_row_number
+from crestline.session import written_table
 
 AREA_PREFIX = "area_"
 _REQUEST_ORDER = ("kind", "area_ord", "route_ord")
@@ -281,6 +285,42 @@ def split_batches(requests: DataFrame) -> DataFrame:
     return requests.withColumn("batch_no", F.when(key <= cut, 1).otherwise(2))
 
 
+def cut_batches(requests: DataFrame, max_requests: int = fixed.MAX_BATCH_REQUESTS,
+                max_bytes: int = fixed.MAX_UPLOAD_BYTES) -> DataFrame:
+    """``requests`` with ``batch_no`` (from 1): as many batches as are needed so that none has more than
+    ``max_requests`` requests or ``max_bytes`` bytes of its file (one JSON line each), in request order. A
+    request that is larger on its own is an error.
+
+    Requests are range partitioned and sorted once; each range is cut by next fit, one request after the
+    other, and begins a batch, so a batch never needs two ranges. The batches of earlier ranges (one row a
+    range) are then added.
+    """
+    line_bytes = F.octet_length(F.to_json("request")) + 1
+    rows = requests.withColumn("_bytes", F.when(line_bytes <= max_bytes, line_bytes).otherwise(
+        F.raise_error(F.concat(F.lit(f"a request has more than {max_bytes} bytes: "), F.col("request.custom_id")))).cast("bigint"))
+    rows = rows.repartitionByRange(*_REQUEST_ORDER).sortWithinPartitions(*_REQUEST_ORDER).withColumn(
+        "_range", F.spark_partition_id()).withColumn("_batch", F.lit(0).cast("bigint"))
+
+    def next_fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = size = no = 0
+        for batch in batches:
+            numbers = []
+            for b in batch.column("_bytes").to_pylist():
+                if n == max_requests or size + b > max_bytes:
+                    n, size, no = 0, 0, no + 1
+                n, size = n + 1, size + b
+                numbers.append(no)
+            yield batch.set_column(batch.schema.get_field_index("_batch"), "_batch", pa.array(numbers, pa.int64()))
+
+    cut = written_table(rows.mapInArrow(next_fit, rows.schema), "cut-requests")
+    # one row for each range: bounded by the number of shuffle partitions
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = cut.groupBy("_range").agg((F.max("_batch") + 1).alias("_n")).select(
+        "_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    return cut.join(F.broadcast(offsets), "_range").withColumn("batch_no", F.col("_before") + F.col("_batch") + 1).drop(
+        "_range", "_batch", "_before", "_bytes")
+
+
 def _literal(value) -> Column:
     """A value of a row, also a nested one, as a literal."""
     if isinstance(value, Row):

@@ -25,7 +25,8 @@ def run(spark: SparkSession, area_pages: DataFrame, route_pages: DataFrame, stat
     todo = ledger.remaining(area_pages, checkpoint(spark, base), start_url)
     good, failed = ledger.good_and_failed(with_elements(todo))
     areas, listed = extract.areas_and_lists(good)
-    records = extract.nest(areas, extract.routes_of_areas(listed, with_elements(route_pages), with_elements(stats_pages)))
+    wanted_routes, wanted_stats = pages_of(listed, route_pages, stats_pages)
+    records = extract.nest(areas, extract.routes_of_areas(listed, with_elements(wanted_routes), with_elements(wanted_stats)))
     version = store.next_version(spark, f"{base}/records")
     store.write_json(records, f"{base}/records/v={version}")
     todo = written_table(good.select("url", F.lit(True).alias("done")).unionByName(
@@ -35,6 +36,14 @@ def run(spark: SparkSession, area_pages: DataFrame, route_pages: DataFrame, stat
     return todo
 
 
+def pages_of(listed: DataFrame, route_pages: DataFrame, stats_pages: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The route and stats pages (url, html) of listed routes, found by URL before any page is parsed: a resumed run
+    parses what its own areas list."""
+    urls = listed.select(F.col("route_url").alias("url")).distinct()
+    stats = urls.select(extract.stats_url(F.col("url")).alias("url"))
+    return route_pages.join(urls, "url", "left_semi"), stats_pages.join(stats, "url", "left_semi")
+
+
 def checkpoint(spark: SparkSession, base: str) -> DataFrame:
     """Checkpoint rows (base_url, processed_urls, timestamp) of all runs; none before the first."""
     try:

@@ -206,3 +206,14 @@ def test_comment_parts_outside_and_in_inner_tables(spark):
     rows = {r["url"]: r for r in with_elements(pages).select("url", "error", extract.comments().alias("c")).collect()}
     assert [(c["comment_author"], c["comment_text"]) for c in rows["bad"]["c"]] == [("Ann", "Inner"), ("N/A", "Outer"), ("N/A", "Reply")]
     assert rows["none"]["c"] == [] and rows["null"]["error"]
+
+
+def test_resumed_run_parses_what_it_lists(spark, tmp_path):
+    """Pages of routes that no remaining area lists are not parsed."""
+    from crestline.plans import extraction
+
+    listed = spark.createDataFrame([("https://x/route/1/a",), ("https://x/route/1/a",)], "route_url string")
+    routes = spark.createDataFrame([(f"https://x/route/{n}/a", "<p>") for n in range(5)], "url string, html string")
+    stats = spark.createDataFrame([(f"https://x/route/stats/{n}/a", "<p>") for n in range(5)], "url string, html string")
+    got = extraction.pages_of(listed, routes, stats)
+    assert [[r["url"] for r in df.collect()] for df in got] == [["https://x/route/1/a"], ["https://x/route/stats/1/a"]]

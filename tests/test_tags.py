@@ -174,3 +174,35 @@ def test_split_decision(spark):
     assert enrich.split_decision(reqs, "x/California_routes.json").first()["split"]
     assert enrich.split_decision(reqs, max_requests=2).first()["split"]
     assert enrich.split_decision(reqs, bytes_per_request=10, max_bytes=29).first()["split"]
+
+
+def _sized_requests(spark, sizes, parts=6):
+    """Requests whose lines have the given bytes."""
+    empty = len('{"custom_id":"r000","body":""}') + 1
+    rows = [(0, n, -1, (f"r{n:03}", "x" * (b - empty))) for n, b in enumerate(sizes)]
+    return spark.createDataFrame(rows, "kind int, area_ord long, route_ord long, request struct<custom_id:string,body:string>").repartition(parts)
+
+
+@pytest.mark.parametrize("max_requests,max_bytes", [(1000, 400), (3, 10_000), (4, 300)])
+def test_batches_within_both_limits(spark, max_requests, max_bytes):
+    import random
+
+    rng = random.Random(max_bytes)
+    sizes = [rng.choice([40, 60, 150, 300]) for _ in range(400)]
+    got = sorted((r["area_ord"], r["batch_no"]) for r in enrich.cut_batches(_sized_requests(spark, sizes), max_requests, max_bytes).collect())
+    assert [n for n, _ in got] == list(range(400))
+    numbers = [b for _, b in got]
+    assert numbers == sorted(numbers) and set(numbers) == set(range(1, max(numbers) + 1))
+    totals = {}
+    for n, b in got:
+        totals.setdefault(b, []).append(sizes[n])
+    assert all(len(t) <= max_requests and sum(t) <= max_bytes for t in totals.values())
+    # next fit: two batches that follow each other in a range would not fit into one; ranges add one batch each
+    small = sum(len(totals[b]) < max_requests and sum(totals[b]) + totals[b + 1][0] <= max_bytes for b in totals if b + 1 in totals)
+    assert small <= 8
+
+
+def test_a_request_beyond_the_limit_is_an_error(spark):
+    with pytest.raises(Exception, match="r001"):
+        enrich.cut_batches(_sized_requests(spark, [50, 500, 50]), 10, 400)
+    assert enrich.cut_batches(_sized_requests(spark, [50]).limit(0)).collect() == []
