@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from crestline.session import cut_lineage
@@ -13,7 +13,7 @@ from crestline.session import cut_lineage
 _ROW_BITS = 33  # monotonically_increasing_id = partition number << 33 | row in partition
 
 
-def global_row_number(df: DataFrame, order: Sequence[str], name: str = "row_no",
+def global_row_number(df: DataFrame, order: Sequence[str | Column], name: str = "row_no",
                       total: str | None = None) -> DataFrame:
     """1-based position in the total order of the columns ``order``; with
     ``total`` also the number of rows.

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from crestline import fixed
 from crestline.functions.grades import grade_web_rank
 from crestline.operators.filters import StoreFilter, pushed_predicate, residual_predicate
+from crestline.operators.ordinal import global_row_number
 from crestline.session import written_table
 
 INPUT_ORDER = ["area_ord", "route_ord"]
@@ -72,9 +73,9 @@ def store_order(key: str, direction: str, has_grade: bool = False,
             for c, d in store_keys(key, direction, has_grade, text_search)]
 
 
-def after(keys: list[tuple[str, bool]], cursor: dict) -> Column:
-    """Rows strictly behind the cursor in the mixed-direction order, where nulls
-    come first upwards and last downwards."""
+def after(keys: list[tuple[str, bool]], cursor: dict, inclusive: bool = False) -> Column:
+    """Rows strictly behind the cursor in the mixed-direction order (``inclusive``: also the
+    one at it), where nulls come first upwards and last downwards."""
     def behind(name: str, desc: bool, or_same: bool) -> Column:
         c, v = F.col(name), cursor[name]
         if v is None:
@@ -87,7 +88,7 @@ def after(keys: list[tuple[str, bool]], cursor: dict) -> Column:
     for name, desc in keys:
         out = out | (same & behind(name, desc, False))
         same = same & F.col(name).eqNullSafe(F.lit(cursor[name]))
-    return behind(*keys[0], True) & out  # the leading bound can be pushed to the scan
+    return behind(*keys[0], True) & (out | same if inclusive else out)  # the leading bound can be pushed to the scan
 
 
 @dataclass
@@ -126,13 +127,36 @@ def fetch_page(routes: DataFrame, filters: StoreFilter, key: str = "quality", di
 
 def pages(routes: DataFrame, filters: StoreFilter, n_pages: int, key: str = "quality",
           direction: str = "desc", page_size: int = fixed.PAGE_SIZE_STORE) -> DataFrame:
-    """The first pages appended to each other, with ``page_no``."""
-    out, cursor = None, None
-    for i in range(n_pages):
-        page = fetch_page(routes, filters, key, direction, cursor, page_size)
-        numbered = page.rows.withColumn("page_no", F.lit(i + 1))
-        out = numbered if out is None else out.unionByName(numbered)
-        cursor = page.cursor
-        if not page.has_more:
-            break
-    return out
+    """The first pages appended to each other, with ``page_no``: one job over the rows that are shown."""
+    order = store_order(key, direction, filters.has_grade)
+    rows = routes.filter(pushed_predicate(filters) & residual_predicate(filters)).orderBy(*order).limit(n_pages * page_size + 1)
+    place = F.row_number().over(Window.orderBy(*order)) - 1
+    total = F.count("*").over(Window.partitionBy())
+    return rows.withColumn("_place", place).withColumn("page_pos", (F.col("_place") % page_size + 1).cast("int")) \
+        .withColumn("page_no", F.floor(F.col("_place") / page_size).cast("int") + 1) \
+        .withColumn("has_more", total > F.col("page_no") * page_size).filter(F.col("page_no") <= n_pages).drop("_place")
+
+
+def page_index(routes: DataFrame, filters: StoreFilter, key: str = "quality", direction: str = "desc",
+               page_size: int = fixed.PAGE_SIZE_STORE) -> DataFrame:
+    """(page_no, first key columns) of every page, by one pass: the key columns are sorted by range once, and rows
+    in front of a range are counted, not gathered. To be stored next to the collection it was made from."""
+    keys = store_keys(key, direction, filters.has_grade)
+    names = [c for c, _ in keys]
+    rows = routes.filter(pushed_predicate(filters) & residual_predicate(filters)).select(*names)
+    numbered = global_row_number(rows, [F.col(c).desc() if d else F.col(c).asc() for c, d in keys], "_no")
+    return numbered.filter((F.col("_no") - 1) % page_size == 0).select(
+        (F.floor((F.col("_no") - 1) / page_size) + 1).cast("int").alias("page_no"), *names)
+
+
+def indexed_page(routes: DataFrame, index: DataFrame, page_no: int, filters: StoreFilter, key: str = "quality",
+                 direction: str = "desc", page_size: int = fixed.PAGE_SIZE_STORE) -> DataFrame | None:
+    """Page ``page_no`` with ``page_pos``, read from its first key on without the pages before it; None beyond
+    the last page. ``index`` is ``page_index`` of the same arguments."""
+    keys = store_keys(key, direction, filters.has_grade)
+    first = index.filter(F.col("page_no") == page_no).limit(1).collect()
+    if not first:
+        return None
+    order = [F.col(c).desc() if d else F.col(c).asc() for c, d in keys]
+    rows = routes.filter(pushed_predicate(filters) & residual_predicate(filters)).filter(after(keys, first[0].asDict(), inclusive=True))
+    return rows.orderBy(*order).limit(page_size).withColumn("page_pos", F.row_number().over(Window.orderBy(*order)))

@@ -307,6 +307,25 @@ def _(spark, sf):
     return sorting.pages(docs, FL.StoreFilter(is_trad=True), 3, "votes").select("route_id", "page_no")
 
 
+@query("store_page_index", """SELECT page_no, route_id, route_stars FROM (SELECT route_id, route_stars, ((rn - 1) // 20 + 1)::INTEGER AS page_no, rn
+      FROM (SELECT route_id, route_stars, row_number() OVER (ORDER BY route_stars DESC, route_id) AS rn FROM texts WHERE is_sport))
+    WHERE rn % 20 = 1""")
+def _(spark, sf):
+    docs = stored_routes(spark, sf).select("route_id", "route_stars", "is_trad", "is_sport", "is_multipitch",
+                                        "route_type", "tags", "grade_numeric", "area_id", "area_hierarchy_path")
+    return sorting.page_index(docs, FL.StoreFilter(is_sport=True), "stars")
+
+
+@query("store_page_by_number", """SELECT route_id, (rn - 60)::INTEGER AS page_pos FROM (
+      SELECT route_id, row_number() OVER (ORDER BY route_stars DESC, route_id) AS rn FROM texts WHERE is_sport) WHERE rn > 60 AND rn <= 80""")
+def _(spark, sf):
+    docs = stored_routes(spark, sf).select("route_id", "route_stars", "is_trad", "is_sport", "is_multipitch",
+                                        "route_type", "tags", "grade_numeric", "area_id", "area_hierarchy_path")
+    sport = FL.StoreFilter(is_sport=True)
+    index = written_table(sorting.page_index(docs, sport, "stars"), "page-index")
+    return sorting.indexed_page(docs, index, 4, sport, "stars").select("route_id", "page_pos")
+
+
 @query("store_page_by_tag", """SELECT route_id, row_number() OVER (ORDER BY route_lr::INTEGER, route_id)::INTEGER AS page_pos
     FROM texts WHERE list_contains(tags, 'single_pitch') QUALIFY page_pos <= 20""")
 def _(spark, sf):

@@ -129,6 +129,30 @@ def test_pages_keep_null_keys(docs, direction):
     assert ids(paged) == ids(some.orderBy(*sorting.store_order("votes", direction)))
 
 
+@pytest.mark.parametrize("direction", ["asc", "desc"])
+def test_indexed_pages_equal_one_sort(docs, direction):
+    """Every page by its number, with null keys and ties, from one index."""
+    f = FL.StoreFilter(tags=("slab",))
+    some = docs.withColumn("route_votes", F.when(F.col("grade_numeric") > 2, F.col("route_votes")))
+    index = sorting.page_index(some, f, "votes", direction, page_size=8).cache()
+    whole = ids(some.filter(FL.residual_predicate(f)).orderBy(*sorting.store_order("votes", direction)))
+    assert sorted(r["page_no"] for r in index.collect()) == list(range(1, -(-len(whole) // 8) + 1))
+    for n in (1, 2, 3, 5):
+        page = sorting.indexed_page(some, index, n, f, "votes", direction, page_size=8)
+        assert ids(page.orderBy("page_pos")) == whole[8 * (n - 1):8 * n]
+    assert sorting.indexed_page(some, index, 6, f, "votes", direction, page_size=8) is None
+    none = FL.StoreFilter(tags=("nothing",))
+    assert sorting.page_index(some, none, "votes", direction).collect() == []
+
+
+def test_pages_say_whether_more_follow(docs):
+    f = FL.StoreFilter()
+    got = {(r["page_no"], r["has_more"]) for r in sorting.pages(docs, f, 3, "votes", page_size=10).collect()}
+    assert got == {(1, True), (2, True), (3, True)}
+    got = {(r["page_no"], r["has_more"]) for r in sorting.pages(docs, f, 9, "votes", page_size=10).collect()}
+    assert got == {(n, n < 8) for n in range(1, 9)}
+
+
 def test_page_is_filtered_before_it_is_cut(docs):
     assert sorting.page_frame(docs, FL.StoreFilter(tags=("slab",)), "votes", "desc", page_size=10).count() == 10
 
