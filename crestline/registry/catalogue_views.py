@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from crestline import fixed
-from crestline.functions import derive, text
+from crestline.functions import choices, derive, grades, text
 from crestline.operators import filters as FL
-from crestline.operators import flatten, hierarchy, intervals, search, sorting
+from crestline.operators import flatten, hierarchy, intervals, nesting, search, sorting
 from crestline.plans import listing as listing_plan
 from crestline.plans import mapping as m
 from crestline.registry import sql as S
@@ -509,6 +509,22 @@ def _(spark, sf):
     return intervals.intervals(_edges(spark, sf)).drop("area_name")
 
 
+_JSON = "'{{\"area_id\":\"' || {0} || '\",\"area_name\":\"' || {1} || '\",\"children\":[' || {2} || ']}}'"
+
+
+@query("area_nested_roots", f"""WITH leaf AS (SELECT names, names[1:3] AS up, names[1:2] AS root, area_name, area_id, {_JSON.format("area_id", "area_name", "''")} AS j
+      FROM tree_areas WHERE len(names) = 4),
+    nation AS (SELECT t.names, names[1:2] AS root, t.area_name, t.area_id, {_JSON.format("t.area_id", "t.area_name", "coalesce(c.j, '')")} AS j, coalesce(c.n, 0) + 1 AS n
+      FROM tree_areas t LEFT JOIN (SELECT up, string_agg(j, ',' ORDER BY area_name, area_id) AS j, count(*) AS n FROM leaf GROUP BY up) c ON c.up = t.names
+      WHERE len(t.names) = 3)
+    SELECT t.area_id, t.area_name, 0 AS part, coalesce(c.n, 0)::BIGINT AS n_areas, '[' || coalesce(c.j, '') || ']' AS children FROM tree_areas t
+    LEFT JOIN (SELECT root, string_agg(j, ',' ORDER BY area_name, area_id) AS j, sum(n) AS n FROM nation GROUP BY root) c ON c.root = t.names
+    WHERE len(t.names) = 2""")
+def _(spark, sf):
+    # a region is one record as long as no more areas lie below it
+    return nesting.nested_roots(_edges(spark, sf), per_part=1_000_000).drop("parent_id")
+
+
 @query("branch_routes", "SELECT route_id, area_id FROM routes JOIN areas USING (area_id) WHERE names[2] IN ('ASIA', 'EUROPE')")
 def _(spark, sf):
     labels = written_table(intervals.intervals(_edges(spark, sf)), "labels")
@@ -531,3 +547,45 @@ def _(spark, sf):
 def _(spark, sf):
     a = m.areas(spark, sf)
     return FL.area_quality_counts(a.withColumn("area_name", F.when(F.col("area_ord") % 11 != 0, F.col("area_name"))))
+
+
+# --- choices -------------------------------------------------------------------
+
+_CHOSEN = """WITH c AS (SELECT route_id, CASE WHEN k % 2 = 0 THEN 'min' ELSE 'max' END AS changed, web_grade AS value,
+      CASE WHEN k % 3 = 0 THEN '5.8' ELSE '5.10c' END AS low, CASE WHEN k % 5 = 0 THEN '5.9' ELSE '5.12a' END AS high FROM ruled),"""
+_CHOICE_RANK = "coalesce(list_position({0}, {1}), 0)"
+
+
+@query("coupled_ranges", f"""{_CHOSEN} r AS (SELECT *, {_CHOICE_RANK.format(S.lst(fixed.WEB_GRADES), "value")} AS v,
+      {_CHOICE_RANK.format(S.lst(fixed.WEB_GRADES), "low")} AS l, {_CHOICE_RANK.format(S.lst(fixed.WEB_GRADES), "high")} AS h FROM c)
+    SELECT route_id, CASE WHEN changed = 'min' OR v < l THEN value ELSE low END AS low,
+      CASE WHEN changed = 'max' OR v > h THEN value ELSE high END AS high FROM r""")
+def _(spark, sf):
+    k = F.col("k")
+    return m.routes(spark, sf, **_bare).select("route_id", choices.coupled_range(
+        F.when(k % 2 == 0, "min").otherwise("max"), grades.grade_web(F.col("route_grade")),
+        F.when(k % 3 == 0, "5.8").otherwise("5.10c"), F.when(k % 5 == 0, "5.9").otherwise("5.12a")).alias("r")).select("route_id", "r.*")
+
+
+@query("sort_choices", """SELECT o_orderkey, o_orderstatus AS key, CASE WHEN o_orderstatus = 'F' AND o_orderkey % 2 = 0
+    THEN 'asc' ELSE 'desc' END AS direction FROM orders""")
+def _(spark, sf):
+    direction = F.when(F.col("o_orderkey") % 2 == 0, "desc").otherwise("asc")
+    return m.table(spark, sf, "orders").select("o_orderkey", choices.toggled_sort(
+        F.lit("F"), direction, F.col("o_orderstatus")).alias("s")).select("o_orderkey", "s.*")
+
+
+@query("path_choices", """SELECT area_id, CASE WHEN area_ord % 2 = 0 THEN r_name ELSE r_name || '|' || n_name || '|' || r_name || '/' || n_name END AS selected
+    FROM areas""")
+def _(spark, sf):
+    named = m.areas(spark, sf).withColumn("r", F.col("area_hierarchy")[1]["area_hierarchy_name"]).withColumn(
+        "n", F.col("area_hierarchy")[2]["area_hierarchy_name"])
+    path = F.concat("r", F.lit("/"), "n")
+    before = F.when(F.col("area_ord") % 2 == 0, F.array("r", path)).otherwise(F.array("r", "n"))
+    return named.select("area_id", joined(choices.toggled_path(before, path), "|").alias("selected"))
+
+
+@query("file_places", """SELECT page_id, CASE WHEN page_id % 2 = 0 THEN url ELSE 's3a://pages/raw/' || page_id || '.json' END AS place FROM pages""")
+def _(spark, sf):
+    name = F.when(F.col("page_id") % 2 == 0, F.col("url")).otherwise(F.concat(F.lit("/"), "page_id", F.lit(".json")))
+    return m.table(spark, sf, "pages").select("page_id", choices.located(F.lit("s3a://pages/raw//"), name).alias("place"))

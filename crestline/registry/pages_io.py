@@ -15,7 +15,7 @@ from crestline.plans import reduction as reduction_plan
 from crestline.registry import sql as S
 from crestline.registry.base import joined, long_tags, query
 from crestline.session import scratch_path, written_table
-from crestline.sources import lines, nested, store
+from crestline.sources import arrays, lines, nested, store
 from crestline.sources.html import with_elements
 
 _bare = {"with_votes": False}
@@ -490,6 +490,26 @@ def _(spark, sf):
     return store.outcome_totals(m.table(spark, sf, "orders").select(F.col("o_orderstatus").alias("status")))
 
 
+@query("raw_result_dump", """SELECT custom_id, count(*) AS n FROM (
+      SELECT p_partkey::VARCHAR AS custom_id FROM part UNION ALL SELECT p_partkey::VARCHAR FROM part WHERE p_partkey % 15 = 0 AND p_partkey % 10 <> 3
+      UNION ALL SELECT 'area_a' || s_suppkey FROM supplier) GROUP BY custom_id""")
+def _(spark, sf):
+    folder = scratch_path(spark, "raw")
+    lines.write_raw(m.result_lines(spark, sf), folder)
+    back = arrays.split_records(spark, folder, split_bytes=1 << 16)
+    return back.groupBy(F.get_json_object("value", "$.custom_id").alias("custom_id")).agg(F.count("*").alias("n"))
+
+
+@query("upload_summary", """WITH f AS (SELECT r_name, sum(strlen(area_id) + 1)::BIGINT AS bytes FROM areas GROUP BY r_name)
+    SELECT 'routes' AS bucket, count(*) AS total_files, count(*) FILTER (WHERE r_name NOT LIKE 'A%') AS successful,
+      count(*) FILTER (WHERE r_name LIKE 'A%') AS failed, sum(bytes)::BIGINT AS bytes FROM f""")
+def _(spark, sf):
+    files = _state_files(spark, sf).withColumn("name", F.regexp_extract("path", "state=([^/]+)/", 1))
+    regions = m.table(spark, sf, "region").filter("r_name LIKE 'A%'")
+    errors = regions.select(F.replace("r_name", F.lit(" "), F.lit("_")).alias("name"), F.lit("timeout").alias("error"))
+    return store.write_upload_summary(store.upload_outcomes(files, errors), scratch_path(spark, "upload"), "routes")
+
+
 @query("result_files", """SELECT 'route' AS kind, route_id AS entity_id, category, array_to_string(tags, ',') AS tags
       FROM result_tags UNION ALL SELECT 'area', area_id, category, array_to_string(tags, ',') FROM area_result_tags""")
 def _(spark, sf):

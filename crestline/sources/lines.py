@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from crestline.sources import store
+
 
 def read_lines(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
     """(batch_ord, line_no, value) of one or several files or folders.
@@ -40,3 +42,10 @@ def write_requests(requests: DataFrame, path: str, by_batch: bool = False) -> No
         requests.select("batch_no", line).write.partitionBy("batch_no").mode("errorifexists").text(path)
     else:
         requests.select(line).write.mode("errorifexists").text(path)
+
+
+def write_raw(lines: DataFrame, path: str, per_file: int = 1000) -> None:
+    """Raw results as they came, as JSON array files of about ``per_file`` records; lines that are no JSON
+    objects are left out, the rest is not looked into."""
+    good = lines.filter(F.col("value").rlike(r"^\s*\{") & F.from_json("value", "map<string,string>").isNotNull())
+    store.write_array_text(good.select(F.trim("value").alias("record")), path, per_file)

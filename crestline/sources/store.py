@@ -41,13 +41,18 @@ def write_by_state(areas: DataFrame, path: str) -> None:
 def write_arrays(df: DataFrame, path: str, per_file: int = 1000, member: str | None = None) -> None:
     """Files of one indented JSON array each, as other tools read them, of about ``per_file`` records
     (dealt out by a hash of the record); with ``member``, an object that holds the array."""
-    record = F.to_json(F.struct(*df.columns), {"pretty": "true"})
-    files = max(1, -(-df.count() // per_file))
+    write_array_text(df.select(F.to_json(F.struct(*df.columns), {"pretty": "true"}).alias("record")), path, per_file, member)
+
+
+def write_array_text(records: DataFrame, path: str, per_file: int = 1000, member: str | None = None) -> None:
+    """``write_arrays`` of records that are JSON text (column ``record``) already."""
+    files = max(1, -(-records.count() // per_file))
     text = F.concat(F.lit("[ "), F.array_join(F.collect_list("record"), " ,\n"), F.lit(" ]"))
     if member is not None:
         text = F.concat(F.lit(f'{{ "{member}" : '), text, F.lit(" }"))
-    df.select(record.alias("record")).withColumn("file", F.pmod(F.xxhash64("record"), F.lit(files))) \
-        .groupBy("file").agg(text.alias("value")).write.partitionBy("file").mode("errorifexists").text(path)
+    # equal records are dealt out too
+    spread = F.pmod(F.xxhash64("record", F.monotonically_increasing_id()), F.lit(files))
+    records.withColumn("file", spread).groupBy("file").agg(text.alias("value")).write.partitionBy("file").mode("errorifexists").text(path)
 
 
 # --- versioned tables ----------------------------------------------------------
@@ -243,6 +248,23 @@ def size_totals(files: DataFrame) -> DataFrame:
                      F.sum("size_mb").alias("size_mb"))
 
 
+def upload_outcomes(files: DataFrame, errors: DataFrame) -> DataFrame:
+    """``files`` of an inventory with ``status`` and ``error``; ``errors`` = (name, error) of those that failed."""
+    failed = errors.groupBy("name").agg(F.min("error").alias("error"))
+    return files.join(failed, "name", "left").withColumn("status", F.when(F.col("error").isNull(), "successful").otherwise("failed"))
+
+
+def write_upload_summary(outcomes: DataFrame, path: str, bucket: str) -> DataFrame:
+    """Write the outcome of an upload: ``<path>/totals`` one JSON row (bucket, total_files, successful, failed, bytes),
+    ``<path>/files`` a row a file below its status. Returns the totals."""
+    outcomes.write.partitionBy("status").mode("errorifexists").json(f"{path}/files")
+    failed = F.col("status") == "failed"
+    outcomes.agg(F.lit(bucket).alias("bucket"), F.count("*").alias("total_files"), F.count_if(~failed).alias("successful"),
+                 F.count_if(failed).alias("failed"), F.coalesce(F.sum("bytes"), F.lit(0)).cast("bigint").alias("bytes")) \
+        .coalesce(1).write.mode("errorifexists").json(f"{path}/totals")
+    return outcomes.sparkSession.read.schema("bucket string, total_files bigint, successful bigint, failed bigint, bytes bigint").json(f"{path}/totals")
+
+
 def outcome_totals(outcomes: DataFrame) -> DataFrame:
     """Rows per upload status."""
     return outcomes.groupBy("status").agg(F.count("*").alias("n"))
