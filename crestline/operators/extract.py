@@ -197,7 +197,7 @@ def section(*titles: str) -> Column:
 def comments() -> Column:
     """Author, text and time of each comment table."""
     box = first(select(els(), lambda e: (e["tag"] == "div") & has_class(e, "comment-list")))
-    inner = inside(els(), box, lambda e: e["tag"].isin("table", "div", "span", "a"))
+    inner = inside(els(), box, lambda e: e["tag"].isin("table", "div", "span"))
 
     def by_table(found: Column, text) -> Column:
         """Map from the start of a comment table to the text of the first such
@@ -208,13 +208,11 @@ def comments() -> Column:
 
     def build(parts: Column) -> Column:
         tables = F.filter(parts, lambda e: (e["tag"] == "table") & has_class(e, "main-comment"))
-        users = F.filter(parts, lambda e: (e["tag"] == "a") & contains(e["href"], "/user/"))
 
         def named(tag: str, cls: str) -> Column:
             return F.filter(parts, lambda e: (e["tag"] == tag) & F.coalesce(e["cls"] == cls, F.lit(False)))
 
-        authors = bind(users, lambda us: by_table(named("div", "bio"), lambda b: strip(first(F.filter(
-            us, lambda a: (a["start"] > b["start"]) & (a["start"] < b["end"])))["raw"])))
+        authors = by_table(named("div", "bio"), lambda b: strip(b["user"]))
         texts = by_table(named("div", "comment-body"), lambda e: joined(e, " "))
         times = by_table(named("span", "comment-time"), lambda e: joined(e, " "))
 

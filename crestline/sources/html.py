@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 ELEMENT = ("struct<tag:string,start:int,end:int,id:string,cls:string,href:string,target:string,"
-           "lr:string,table:int,row:int,nth:int,box:int,box_nth:int,raw:string,texts:array<string>,own:array<string>>")
+           "lr:string,table:int,row:int,nth:int,box:int,box_nth:int,raw:string,user:string,texts:array<string>,own:array<string>>")
 ELEMENTS = f"array<{ELEMENT}>"
 
 # possessive repeats: a page with stray quotes must not cause backtracking
@@ -43,13 +43,15 @@ def page_elements(page: str) -> list[dict]:
     starts of the enclosing table and row, ``nth`` counts equal tags in the row
     (cells, links) or equal tags and classes in the table; ``box`` is the start
     of the innermost enclosing comment table and ``box_nth`` counts equal tags
-    and classes in it; links carry the ``data-lr`` of their row. With these, lookups stay linear in page size."""
+    and classes in it; links carry the ``data-lr`` of their row, and the box of a person (class ``bio``) the
+    text of its first link to a user. With these, lookups stay linear in page size."""
     out: list[dict] = []
     seen: dict[tuple, int] = {}
     stack: list[tuple[str, dict | None]] = []
     tables: list[dict] = []
     boxes: list[dict] = []  # the open comment tables among them
     rows: list[dict] = []
+    people: list[dict] = []  # the open boxes of persons
     raw: list[str] = []  # all text pieces as they are
     pieces: list[str] = []  # stripped, non-empty
     owner: list[dict | None] = []  # innermost kept element of each piece, if directly open
@@ -67,6 +69,8 @@ def page_elements(page: str) -> list[dict]:
                         boxes.pop()
                 elif tag == "tr":
                     rows.pop()
+                elif people and people[-1] is el:
+                    people.pop()
         del stack[i:]
 
     at = 0
@@ -120,6 +124,11 @@ def page_elements(page: str) -> list[dict]:
                         boxes.append(el)
                 elif tag == "tr":
                     rows.append(el)
+                elif tag == "div" and el["cls"] == "bio":
+                    people.append(el)
+                elif tag == "a" and "/user/" in (el["href"] or ""):
+                    for box in people:
+                        box.setdefault("user", el)
         if attrs.endswith("/"):
             if el is not None:
                 stack.append((tag, el))
@@ -137,6 +146,9 @@ def page_elements(page: str) -> list[dict]:
         el["texts"] = pieces[i:j]
         el["raw"] = "".join(raw[r:q]) if tag in _RAW else None
         el["own"] = [p for p, o in zip(pieces[i:j], owner[i:j]) if o is el] if tag == "h2" else []
+    for el in out:
+        link = el.get("user")
+        el["user"] = link and link["raw"]
     return out
 
 
@@ -144,7 +156,7 @@ PAGES_PER_BATCH = 64  # pages whose elements are held in memory at a time
 _FIELDS = [(n, pa.int32() if n in ("start", "end", "table", "row", "nth", "box", "box_nth") else
             pa.list_(pa.string()) if n in ("texts", "own") else pa.string())
            for n in ("tag", "start", "end", "id", "cls", "href", "target", "lr", "table", "row", "nth",
-                     "box", "box_nth", "raw", "texts", "own")]
+                     "box", "box_nth", "raw", "user", "texts", "own")]
 _ARROW = pa.list_(pa.struct(_FIELDS))
 
 

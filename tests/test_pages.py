@@ -208,6 +208,17 @@ def test_comment_parts_outside_and_in_inner_tables(spark):
     assert rows["none"]["c"] == [] and rows["null"]["error"]
 
 
+def test_authors_of_many_comments(spark):
+    """A page's authors are found in its one pass; nested boxes of persons have the first user in each."""
+    one = '<table class="main-comment"><tr><td><div class="bio"><a href="/x">no</a><a href="/user/{0}"> U{0} </a><a href="/user/z">later</a></div></td></tr></table>'
+    html = '<div class="comment-list">' + "".join(one.format(n) for n in range(3000)) + "</div>"
+    inner = ('<div class="comment-list"><table class="main-comment"><tr><td><div class="bio">who <div class="bio"><a href="/user/1">In</a></div>'
+             '<a href="/user/2">Out</a></div></td></tr></table></div>')
+    df = spark.createDataFrame([("many", html), ("nested", inner)], "url string, html string")
+    got = {r["url"]: [c["comment_author"] for c in r["c"]] for r in with_elements(df).select("url", extract.comments().alias("c")).collect()}
+    assert got == {"many": [f"U{n}" for n in range(3000)], "nested": ["In"]}
+
+
 def test_resumed_run_parses_what_it_lists(spark, tmp_path):
     """Pages of routes that no remaining area lists are not parsed."""
     from crestline.plans import extraction
