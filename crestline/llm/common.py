@@ -3,15 +3,19 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
-from crestline.session import scratch_path
+from crestline.session import roots, scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 #: Rows that one Arrow batch holds at most, so that a Python worker keeps few whole texts at once.
 BATCH_ROWS = 512
+#: Scratch tables of pipeline stages, and whether one is being built.
+_of_stages: list[str] = []
+_in_stage: list[bool] = []
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
@@ -41,6 +45,8 @@ def written(df: DataFrame, name: str) -> DataFrame:
     shuffled is deleted at its end, since nothing reads ``df`` again."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
+    if _in_stage:
+        _of_stages.append(path)
     before = spark.conf.get(_CLEANUP, None)
     spark.conf.set(_CLEANUP, "true")
     try:
@@ -48,3 +54,21 @@ def written(df: DataFrame, name: str) -> DataFrame:
     finally:
         spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def pipeline_stage(docs: DataFrame):
+    """While a stage over ``docs`` is built. First the scratch tables of earlier stages are deleted, apart from those
+    that ``docs`` reads: what they were for has been written as a whole."""
+    spark = docs.sparkSession
+    read = roots(docs)
+    gone = [p for p in _of_stages if not any(p.rsplit("/", 1)[-1] in r for r in read)]
+    _of_stages[:] = [p for p in _of_stages if p not in gone]
+    for p in gone:
+        path = spark._jvm.org.apache.hadoop.fs.Path(p)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    _in_stage.append(True)
+    try:
+        yield
+    finally:
+        _in_stage.pop()

@@ -64,6 +64,26 @@ def test_pipeline_brute_force(spark, sf):
     assert len(test_packing.check(rows)) <= 1.02 * sum(lengths.values()) / 4096 + 1
 
 
+def test_scratch_of_earlier_stages_is_dropped(spark):
+    """Tables that nothing reads any more go, those that the next stage's documents read stay."""
+    from crestline.llm import common
+
+    def files(df):
+        return [f.split(":", 1)[-1].removeprefix("//") for f in df.inputFiles()]
+
+    with common.pipeline_stage(spark.range(1)):
+        first, lazy = common.written(spark.range(3), "first"), common.written(spark.range(5), "lazy")
+    result = common.written(first, "result")  # not of a stage
+    gone, kept = files(first), files(result) + files(lazy)
+    with common.pipeline_stage(lazy.filter("id > 1")):
+        pass
+    assert not any(os.path.exists(f) for f in gone) and all(os.path.exists(f) for f in kept)
+    assert lazy.count() == 5 and result.count() == 3
+    with common.pipeline_stage(result):
+        pass
+    assert not any(os.path.exists(f) for f in files(lazy)) and result.count() == 3
+
+
 def test_pipeline_on_an_empty_table(spark, sf):
     now = table(spark, sf, "documents").limit(0)
     for _, stage in corpus_pipeline.STAGES:
