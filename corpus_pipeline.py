@@ -7,33 +7,38 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from crestline.llm import mixing, neardup, packing, substring, toxicity
-from crestline.llm.common import table, written
+from crestline.llm.common import pipeline_stage, table, written
 
 
 def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity grammar doesn't reject; its labels are those of the tables."""
-    return toxicity.keep_clean(docs, table(spark, sf_dir, "labels"))
+    with pipeline_stage(docs):
+        return toxicity.keep_clean(docs, table(spark, sf_dir, "labels"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each near-duplicate component, that of the first document."""
-    return neardup.keep_one(docs)
+    with pipeline_stage(docs):
+        return neardup.keep_one(docs)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document, without the passages that an earlier one has."""
-    return substring.remove_repeats(docs)
+    with pipeline_stage(docs):
+        return substring.remove_repeats(docs)
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document, in the order of the mix of sources. Parquet does not promise that order to its
     readers: ``packed`` computes the places again and follows them."""
-    return mixing.mix(docs)
+    with pipeline_stage(docs):
+        return mixing.mix(docs)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents with their place in training sequences, whose numbers follow the mix."""
-    return in_mix_order(docs)
+    with pipeline_stage(docs):
+        return in_mix_order(docs)
 
 
 def in_mix_order(docs: DataFrame, **options) -> DataFrame:
