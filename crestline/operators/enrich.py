@@ -286,18 +286,19 @@ def split_batches(requests: DataFrame) -> DataFrame:
 
 
 def cut_batches(requests: DataFrame, max_requests: int = fixed.MAX_BATCH_REQUESTS,
-                max_bytes: int = fixed.MAX_UPLOAD_BYTES) -> DataFrame:
+                max_bytes: int = fixed.MAX_UPLOAD_BYTES, large_alone: bool = False) -> DataFrame:
     """``requests`` with ``batch_no`` (from 1): as many batches as are needed so that none has more than
     ``max_requests`` requests or ``max_bytes`` bytes of its file (one JSON line each), in request order. A
-    request that is larger on its own is an error.
+    request that is larger on its own is an error; with ``large_alone`` it is a batch of its own, whole.
 
     Requests are range partitioned and sorted once; each range is cut by next fit, one request after the
     other, and begins a batch, so a batch never needs two ranges. The batches of earlier ranges (one row a
     range) are then added.
     """
     line_bytes = F.octet_length(F.to_json("request")) + 1
-    rows = requests.withColumn("_bytes", F.when(line_bytes <= max_bytes, line_bytes).otherwise(
-        F.raise_error(F.concat(F.lit(f"a request has more than {max_bytes} bytes: "), F.col("request.custom_id")))).cast("bigint"))
+    refused = F.raise_error(F.concat(F.lit(f"a request has more than {max_bytes} bytes: "), F.col("request.custom_id")))
+    size = line_bytes if large_alone else F.when(line_bytes <= max_bytes, line_bytes).otherwise(refused)
+    rows = requests.withColumn("_bytes", size.cast("bigint"))
     rows = rows.repartitionByRange(*_REQUEST_ORDER).sortWithinPartitions(*_REQUEST_ORDER).withColumn(
         "_range", F.spark_partition_id()).withColumn("_batch", F.lit(0).cast("bigint"))
 
@@ -306,7 +307,7 @@ def cut_batches(requests: DataFrame, max_requests: int = fixed.MAX_BATCH_REQUEST
         for batch in batches:
             numbers = []
             for b in batch.column("_bytes").to_pylist():
-                if n == max_requests or size + b > max_bytes:
+                if n == max_requests or n and size + b > max_bytes:
                     n, size, no = 0, 0, no + 1
                 n, size = n + 1, size + b
                 numbers.append(no)

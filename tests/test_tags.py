@@ -206,3 +206,16 @@ def test_a_request_beyond_the_limit_is_an_error(spark):
     with pytest.raises(Exception, match="r001"):
         enrich.cut_batches(_sized_requests(spark, [50, 500, 50]), 10, 400)
     assert enrich.cut_batches(_sized_requests(spark, [50]).limit(0)).collect() == []
+
+
+def test_a_request_beyond_the_limit_can_be_alone(spark):
+    sizes = [50, 500, 50, 60, 700, 800, 40]
+    got = enrich.cut_batches(_sized_requests(spark, sizes).coalesce(1), 10, 400, large_alone=True).collect()
+    batches = {}
+    for r in got:
+        batches.setdefault(r["batch_no"], []).append(sizes[r["area_ord"]])
+    assert sorted(s for b in batches.values() for s in b) == sorted(sizes)
+    assert set(batches) == set(range(1, max(batches) + 1))
+    assert all(len(b) == 1 or sum(b) <= 400 for b in batches.values())
+    order = [r["batch_no"] for r in sorted(got, key=lambda r: r["area_ord"])]
+    assert order == sorted(order)
