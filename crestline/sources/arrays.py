@@ -11,7 +11,8 @@ before: whether it stands in a string and how deep. Three steps settle that:
 3. Each split is read again with its state and gives its whole records, and the parts of records that cross
    its ends; parts are put together by the split where the record begins.
 
-The text is read twice, and what is found is written to the shared folder, where later readers share it by
+Splits are what the three steps count in; tasks are fewer when splits are small, and read neighbours one after
+the other. The text is read twice, and what is found is written to the shared folder, where later readers share it by
 ordinary splits. A task holds one batch and one record.
 
 A file whose brackets don't close, or whose root is neither array nor object, is one row with ``broken``
@@ -39,6 +40,8 @@ _STEP[[ord("{"), ord("[")]] = 1
 _STEP[[ord("}"), ord("]")]] = -1
 #: Text of a broken file that is kept; also the most that a member's name may have in front of its value.
 _SAMPLE = 1000
+#: Text of one task. Splits may be smaller (a task reads several) and are never larger than the reader made them.
+TASK_BYTES = 16 << 20
 #: Depth of records in an array of the root object.
 _IN_MEMBER = 2
 _STATES = ("file_path string, block long, in_string long, depth long, owner long, base long, broken boolean")
@@ -201,6 +204,12 @@ def _setting(spark: SparkSession, key: str, value: int | None):
             spark.conf.unset(key) if old is None else spark.conf.set(key, old)
 
 
+def _tasks(text: DataFrame, split_bytes: int) -> int:
+    """Number of tasks that read the splits of ``text``: enough for all cores, each with about ``TASK_BYTES``."""
+    splits = text.rdd.getNumPartitions()
+    return max(1, min(splits, max(4 * text.sparkSession.sparkContext.defaultParallelism, -(-splits * split_bytes // TASK_BYTES))))
+
+
 def split_records(spark: SparkSession, paths: str | Sequence[str], member: str | None = None,
                   split_bytes: int | None = None) -> DataFrame:
     """(file_path, area_pos, value, broken): the text of every record of array files, with its place in the file
@@ -208,7 +217,8 @@ def split_records(spark: SparkSession, paths: str | Sequence[str], member: str |
     is an error. ``split_bytes`` overrides the session's size of a split."""
     def text() -> DataFrame:
         df = spark.read.option("lineSep", "{").option("ignoreMissingFiles", True).text(paths if isinstance(paths, str) else list(paths))
-        return df.select(F.col("_metadata.file_path").alias("file_path"), F.col("_metadata.file_block_start").alias("block"), "value")
+        rows = df.select(F.col("_metadata.file_path").alias("file_path"), F.col("_metadata.file_block_start").alias("block"), "value")
+        return rows.coalesce(_tasks(rows, split_bytes)) if split_bytes else rows
 
     in_object = member is not None
     with _setting(spark, "spark.sql.files.maxPartitionBytes", split_bytes):

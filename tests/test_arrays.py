@@ -118,3 +118,21 @@ def test_splits_that_changed(spark, tmp_path):
                                  "file_path string, block long, value string, in_string long, depth long, owner long, base long, broken boolean")
     with pytest.raises(Exception, match="changed between two passes"):
         rows.mapInArrow(arrays._pieces, arrays._PIECES).collect()
+
+
+def test_small_splits_share_tasks(spark, tmp_path):
+    rows = records(9, 400)
+    for i in range(4):
+        (tmp_path / f"f{i}.json").write_text(dumped(rows[i::4], i, False), encoding="utf-8")
+    seen = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("small-splits", "")
+    try:
+        got = nested.read_nested(spark, str(tmp_path), split_bytes=512)
+        ids = sorted(r["area_id"] for r in got.select("area_id").collect())
+        stages = [seen.getStageInfo(s) for j in seen.getJobIdsForGroup("small-splits") for s in seen.getJobInfo(j).stageIds]
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert ids == sorted(r["area_id"] for r in rows)
+    splits = sum(-(-f.stat().st_size // 512) for f in tmp_path.glob("*.json"))
+    assert splits > 200
+    assert max(s.numTasks for s in stages if s) < splits / 4  # small stages of the union and of the join come on top
