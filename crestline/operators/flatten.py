@@ -88,12 +88,22 @@ def attach_area(routes: DataFrame, areas: DataFrame) -> DataFrame:
         .withColumn("area_hierarchy", F.coalesce("area_hierarchy", empty))
 
 
+def loadable(routes: DataFrame) -> DataFrame:
+    """The routes that ``project_routes`` keeps."""
+    return routes.filter(filled(*ROUTE_REQUIRED) & ~has_excluded_text(F.col("route_type")))
+
+
+def route_place() -> list[Column]:
+    """Path and id, by which documents are clustered, of routes that carry their area."""
+    return [derive.store_path(F.col("area_hierarchy")), F.coalesce(F.col("route_id").cast("string"), F.lit(""))]
+
+
 def project_routes(routes: DataFrame, tags: str = "route_tags", array_types: bool = False) -> DataFrame:
     """Route documents from routes that carry their area; needs a tag column (map
     or raw JSON text). Routes without a comment column have no comments.
     With ``array_types`` the type column is raw JSON text (text or array)."""
     c = F.col
-    kept = routes.filter(filled(*ROUTE_REQUIRED) & ~has_excluded_text(c("route_type")))
+    kept = loadable(routes)
     types = derive.type_list_any(c("route_type")) if array_types else derive.type_list(c("route_type"))
     flat = _flat(routes, tags)
     tag_map = derive.tag_map(c(tags)) if dict(routes.dtypes)[tags] == "string" else c(tags)

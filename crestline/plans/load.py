@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from crestline.operators import flatten
+from crestline.operators.keyed import last_wins
 from crestline.sources import store
 
 
@@ -22,8 +23,12 @@ def run(spark: SparkSession, areas: DataFrame, routes: DataFrame, base: str, for
         store.upsert_version(flatten.project_areas(areas), f"{base}/areas", "area_id", "area_ord", force,
                              ["area_hierarchy_path", "area_id"])
     known = store.area_source(spark, areas, f"{base}/areas", skip_areas)
-    docs = flatten.project_routes(flatten.attach_area(routes, known))
-    store.upsert_version(docs, f"{base}/routes", "route_id", "route_ord", force, ["area_hierarchy_path", "route_id"])
+    rows = flatten.attach_area(flatten.loadable(routes), known)
+    stored_rows = f"{base}/routes"
+    if store.versions(spark, stored_rows):
+        store.upsert_version(flatten.project_routes(rows), stored_rows, "route_id", "route_ord", force, ["area_hierarchy_path", "route_id"])
+    else:  # no document to replace: derived texts are made last
+        store.write_version(last_wins(rows, ["route_id"], ["route_ord"]), stored_rows, flatten.route_place(), flatten.project_routes)
     stored = [store.read_version(spark, f"{base}/{name}").agg(F.lit(name).alias("collection"), F.count("*").alias("stored"))
               for name in ("areas", "routes")]
     return counts.join(stored[0].unionByName(stored[1]), "collection")

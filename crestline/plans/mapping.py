@@ -182,12 +182,15 @@ def routes(spark: SparkSession, sf_dir: str, with_votes: bool = True,
             F.concat(F.lit("a"), (k % n_sup).cast("string"))).alias("area_id"),
         *extra,
     )
-    if with_text:
-        n_doc = size(spark, sf_dir, "documents")
-        docs = table(spark, sf_dir, "documents").select(
-            F.col("doc_id"), F.col("text").alias("route_description"))
-        out = out.join(docs, F.col("k") % n_doc == F.col("doc_id"), "left").drop("doc_id")
-    return out
+    return with_texts(out, spark, sf_dir) if with_text else out
+
+
+def with_texts(routes: DataFrame, spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``routes`` with a document as their description. The texts are most of a row: join what is narrow before."""
+    n_doc = size(spark, sf_dir, "documents")
+    docs = table(spark, sf_dir, "documents").select(
+        F.col("doc_id"), F.col("text").alias("route_description"))
+    return routes.join(docs, F.col("k") % n_doc == F.col("doc_id"), "left").drop("doc_id")
 
 
 def result_lines(spark: SparkSession, sf_dir: str) -> DataFrame:

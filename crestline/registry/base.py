@@ -50,11 +50,15 @@ def listing(spark, sf) -> DataFrame:
         "area_path", derive.web_path(F.col("area_hierarchy")))
 
 
+def _route_rows(spark, sf) -> DataFrame:
+    """Routes with their area and, joined last, their text."""
+    r = enrich.with_manual_tags(m.routes(spark, sf, with_ratings=True)).withColumnRenamed("manual_tags", "route_tags")
+    return m.with_texts(flatten.attach_area(r, m.areas(spark, sf)), spark, sf)
+
+
 def route_docs(spark, sf) -> DataFrame:
     """Flattened route documents of the store."""
-    r = enrich.with_manual_tags(m.routes(spark, sf, with_text=True, with_ratings=True))
-    r = r.withColumnRenamed("manual_tags", "route_tags")
-    return flatten.project_routes(flatten.attach_area(r, m.areas(spark, sf)))
+    return flatten.project_routes(_route_rows(spark, sf))
 
 
 _STORED: dict[tuple[str, str], str] = {}
@@ -66,7 +70,7 @@ def stored_routes(spark, sf) -> DataFrame:
     key = (spark.sparkContext.applicationId, sf)
     if key not in _STORED:
         base = scratch_path(spark, "routes")
-        store.write_version(route_docs(spark, sf), base, ["area_hierarchy_path", "route_id"])
+        store.write_version(_route_rows(spark, sf), base, flatten.route_place(), flatten.project_routes)
         _STORED[key] = base
     return store.read_version(spark, _STORED[key])
 

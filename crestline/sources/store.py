@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -97,14 +98,20 @@ def has_rows(spark: SparkSession, base: str) -> bool:
     return df is not None and not df.limit(1).isEmpty()
 
 
-def write_version(df: DataFrame, base: str, cluster_by: list[str] | None = None) -> int:
+def write_version(df: DataFrame, base: str, cluster_by: Sequence[str | Column] | None = None,
+                  project: Callable[[DataFrame], DataFrame] | None = None) -> int:
     """Write the next version; earlier ones stay as backups. With ``cluster_by``
     rows are range partitioned and sorted, so later prefix and range filters
-    read few files. A folder that another writer has begun is an error."""
+    read few files. A folder that another writer has begun is an error.
+
+    ``project`` derives what is stored from the rows in their place (row by row), so that derived texts
+    are neither shuffled nor sorted; ``cluster_by`` are columns of ``df`` then."""
     version = next_version(df.sparkSession, base)
     if cluster_by:
         df = df.repartitionByRange(*cluster_by).sortWithinPartitions(*cluster_by)
-    df.write.mode("errorifexists").parquet(f"{base}/v={version}")
+    if project is not None:
+        df = project(df)
+    df.write.mode("errorifexists").option("compression", "zstd").parquet(f"{base}/v={version}")
     return version
 
 

@@ -314,3 +314,35 @@ def test_parts_by_another_column(spark, tmp_path):
     assert len(touched) == 1
     assert {(r["area"], r["v"]) for r in store.read_parts(spark, base).select("area", "v").distinct().collect()} == {
         (str(n), int(n == 3)) for n in range(7)}
+
+
+def test_stored_texts_are_derived_behind_the_range_shuffle(spark, tmp_path):
+    df = spark.range(50).select(F.col("id").cast("string").alias("id"), F.lit("x").alias("text"))
+    seen = []
+
+    def project(rows):
+        seen.append(rows._jdf.queryExecution().optimizedPlan().toString())
+        return rows.filter("id <> '7'").withColumn("search", F.upper("text"))
+
+    store.write_version(df, str(tmp_path), [F.col("id")], project)
+    assert "RepartitionByExpression" in seen[0] and "search" not in seen[0]
+    rows = store.read_version(spark, str(tmp_path)).collect()
+    assert len(rows) == 49 and {r["search"] for r in rows} == {"X"}
+
+
+def test_load_derives_documents_last(spark, sf, tmp_path, monkeypatch):
+    from crestline.operators import flatten
+    from crestline.plans import load
+    from crestline.registry import pages_io
+
+    areas, routes = pages_io._flat_load(spark, sf)
+    # a later row of each id that is skipped, and one that is equal
+    routes = routes.unionByName(routes).unionByName(routes.withColumn("route_type", F.lit("Boulder")).withColumn("route_ord", F.col("route_ord") + 1))
+    project, plans = flatten.project_routes, []
+    monkeypatch.setattr(flatten, "project_routes", lambda df: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or project(df))
+    counts = {r["collection"]: r for r in load.run(spark, areas, routes, str(tmp_path)).collect()}
+    assert len(plans) == 1 and "RepartitionByExpression" in plans[0]
+    want = project(flatten.attach_area(routes, areas)).select("route_id", "searchable_text", "area_hierarchy_path").distinct()
+    got = store.read_version(spark, f"{tmp_path}/routes").select("route_id", "searchable_text", "area_hierarchy_path")
+    assert counts["routes"]["stored"] == got.count() == want.count() > 0
+    assert got.exceptAll(want).isEmpty()
