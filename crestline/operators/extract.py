@@ -354,6 +354,10 @@ def route_details(pages_with_els: DataFrame) -> DataFrame:
         comments().alias("route_comments"))
 
 
+#: What ``route_stats`` looks at.
+STATS_TAGS = ("h3", "table", "td")
+
+
 def route_stats(pages_with_els: DataFrame) -> DataFrame:
     """Histogram and tick text of a statistics page, keyed by its URL."""
     return pages_with_els.select(F.col("url").alias("stats_url"),

@@ -26,7 +26,8 @@ def run(spark: SparkSession, area_pages: DataFrame, route_pages: DataFrame, stat
     good, failed = ledger.good_and_failed(with_elements(todo))
     areas, listed = extract.areas_and_lists(good)
     wanted_routes, wanted_stats = pages_of(listed, route_pages, stats_pages)
-    records = extract.nest(areas, extract.routes_of_areas(listed, with_elements(wanted_routes), with_elements(wanted_stats)))
+    records = extract.nest(areas, extract.routes_of_areas(
+        listed, with_elements(wanted_routes), with_elements(wanted_stats, tags=extract.STATS_TAGS)))
     version = store.next_version(spark, f"{base}/records")
     store.write_json(records, f"{base}/records/v={version}")
     todo = written_table(good.select("url", F.lit(True).alias("done")).unionByName(

@@ -176,7 +176,7 @@ def _(spark, sf):
 
 
 def _stats(spark, sf):
-    return extract.route_stats(with_elements(m.site_stats_pages(spark, sf)))
+    return extract.route_stats(with_elements(m.site_stats_pages(spark, sf), tags=extract.STATS_TAGS))
 
 
 _STATS_URL = f"'{_SITE}/route/stats/' || {{0}} || '/r-' || {{0}}"
@@ -197,7 +197,7 @@ def _(spark, sf):
 def _site_records(spark, sf):
     areas, listed = extract.areas_and_lists(_area_els(spark, sf))
     return areas, extract.routes_of_areas(listed, with_elements(m.site_route_pages(spark, sf)),
-                                          with_elements(m.site_stats_pages(spark, sf)))
+                                          with_elements(m.site_stats_pages(spark, sf), tags=extract.STATS_TAGS))
 
 
 @query("site_nested_records", f"""WITH listed AS ({_LIST}), detail AS ({_DETAILS})

@@ -228,3 +228,25 @@ def test_resumed_run_parses_what_it_lists(spark, tmp_path):
     stats = spark.createDataFrame([(f"https://x/route/stats/{n}/a", "<p>") for n in range(5)], "url string, html string")
     got = extraction.pages_of(listed, routes, stats)
     assert [[r["url"] for r in df.collect()] for df in got] == [["https://x/route/1/a"], ["https://x/route/stats/1/a"]]
+
+
+def test_listed_tags_only(spark, sf):
+    from crestline.plans import mapping as m
+    from crestline.sources import html
+
+    pages = [r["html"] for t in ("site_area_pages", "site_route_pages", "site_stats_pages")
+             for r in getattr(m, t)(spark, sf).limit(20).collect()]
+    pages += ['<h2>x <a href="/user/1">u</a> y</h2><table class="main-comment"><tr data-lr=3><td>a<td>b<div class="bio"><a href="/user/2">v</a>',
+              "<div class=q><a>x", ""]
+    for tags in (("h3", "table", "td"), ("div", "td"), ("h2", "span"), ("a", "h1")):
+        for page in pages:
+            whole = page_elements(page)
+            assert page_elements(page, tags) == [e for e in whole if e["tag"] in tags]
+    els = [page_elements(p) for p in pages[-3:]]
+    assert html._arrow([None, *els, None, []]).to_pylist() == [None, *els, None, []]
+
+
+def test_area_pages_are_dealt_out(spark, sf):
+    from crestline.plans import mapping as m
+
+    assert m.site_area_pages(spark, sf).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
