@@ -19,14 +19,16 @@ one; a document count or attention capacity that a single piece breaks raises an
 
 from __future__ import annotations
 
+import functools
 import math
+import re
+import struct
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -36,15 +38,17 @@ from crestline.llm.common import query, small_batches, table, written
 CAPACITY = 4096
 END_ID = 1
 TOKENIZER = "word_bpe_49k.json"
-#: Pieces that one task packs, and entries that a worker's word caches hold before they start anew.
+#: Pieces that one task packs; words that a worker keeps before it starts anew, and their bytes at most.
 GROUP_PIECES = 16384
 #: Cells of positions that are counted for each group, about.
 CELLS = 64
-CACHE = 400_000
-#: Word pattern of the tokenizer file (fixed value) and the characters for which Python's lower() and
-#: the tokenizer's normalizer agree: printable Latin-1. Other words go through the tokenizer whole.
-WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
-PLAIN = regex.compile(r"[!-~¡-¬®-ÿ]+")
+CACHE = 800_000
+LONGEST = 64
+#: Characters for which Python's lower() and the tokenizer's normalizer agree: printable Latin-1. The word pattern of
+#: the tokenizer file (fixed value), its classes written out for these in lower case. Other words go through the
+#: tokenizer whole.
+PLAIN = re.compile(r"[!-~¡-¬®-ÿ]+")
+WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zªµºß-öø-ÿ]+|[0-9²³¹¼-¾]|[^a-zªµºß-öø-ÿ0-9²³¹¼-¾]+")
 
 
 def byte_letters() -> dict[int, str]:
@@ -55,45 +59,58 @@ def byte_letters() -> dict[int, str]:
     return {**{b: chr(b) for b in printable}, **{b: chr(256 + n) for n, b in enumerate(rest)}}
 
 
-class WordTokens:
-    """Token ids of texts, as little-endian unsigned 32-bit bytes, with caches per word.
+class WordTokens(dict):
+    """Word (UTF-8) -> token ids, as little-endian unsigned 32-bit bytes; made when a word is first asked for.
 
     The tokenizer never joins characters over ASCII white space, so a text's ids are those of its words
-    in a row. A word that was seen before is one look-up; caches are bounded and only save time.
+    in a row. A word that was seen before is one look-up, also as a part of another word; the number and the
+    length of kept words are bounded, and keeping them only saves time.
     """
 
     def __init__(self, path: str, cache: int = CACHE) -> None:
+        super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
-        self.letters = byte_letters()
-        self.size, self.words, self.parts = cache, {}, {}
-
-    def _part(self, part: str) -> bytes:
-        got = self.parts.get(part)
-        if got is None:
-            if len(self.parts) >= self.size:
-                self.parts.clear()
-            letters = part if part.isascii() else "".join(self.letters[b] for b in part.encode())
-            got = self.parts[part] = np.array([t.id for t in self.model.tokenize(letters)], "<u4").tobytes()
-        return got
-
-    def _word(self, key: bytes) -> bytes:
-        word = key.decode()
-        if PLAIN.fullmatch(word) and "<|" not in word:
-            got = b"".join([self._part(p) for p in WORDS.findall(word.lower())])
+        self.letters, self.size = byte_letters(), cache
+        self.packed = [struct.pack("<I", n) for n in range(1 + max(self.tokenizer.get_vocab().values()))]
+
+    @staticmethod
+    def _parts(word: bytes) -> list[bytes] | None:
+        """What the tokenizer cuts a word into, in lower case; None if only the tokenizer can tell."""
+        low = word.lower()  # ASCII letters only, as are those of isalpha
+        if low.isalpha():
+            return [low]
+        if low[:-1].isalpha() and 32 < low[-1] < 127:  # letters and one other character: no need of the pattern
+            return [low[:-1], low[-1:]]
+        text = word.decode()
+        if PLAIN.fullmatch(text) and "<|" not in text:
+            text = text.lower()
+            return [text.encode()] if text.isalpha() else [p.encode() for p in WORDS.findall(text)]
+        return None
+
+    def __missing__(self, word: bytes) -> bytes:
+        parts = self._parts(word)
+        if parts is None:
+            got = b"".join([self.packed[n] for n in self.tokenizer.encode(word.decode(), add_special_tokens=False).ids])
+        elif parts == [word]:
+            letters = word.decode() if word.isascii() else "".join(self.letters[b] for b in word)
+            got = b"".join([self.packed[t.id] for t in self.model.tokenize(letters)])
         else:
-            got = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
-        if len(self.words) >= self.size:
-            self.words.clear()
-        self.words[key] = got
+            got = b"".join(map(self.__getitem__, parts))
+        if len(word) <= LONGEST:
+            if len(self) >= self.size:
+                self.clear()
+            self[word] = got
         return got
 
     def ids(self, text: str) -> bytes:
-        known, out = self.words, []
-        for word in text.encode().split():
-            got = known.get(word)
-            out.append(self._word(word) if got is None else got)
-        return b"".join(out)
+        return b"".join(map(self.__getitem__, text.encode().split()))
+
+
+@functools.lru_cache(1)
+def word_tokens(path: str) -> WordTokens:
+    """Those of this process: later tasks of a worker find the tokenizer loaded and words known."""
+    return WordTokens(path)
 
 
 _PIECES = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()),
@@ -109,7 +126,7 @@ def pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACI
     extra = [F.monotonically_increasing_id().alias("row"), F.col("source").cast("string")] if with_source else []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens, end, step = WordTokens(path), np.array([end_id], "<u4").tobytes(), 4 * capacity
+        tokens, end, step = word_tokens(path), np.array([end_id], "<u4").tobytes(), 4 * capacity
         for batch in batches:
             out, owner = [], []
             for row, (doc_id, text) in enumerate(zip(*(c.to_pylist() for c in batch.columns[:2]))):

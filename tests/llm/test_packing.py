@@ -22,6 +22,26 @@ def test_word_cache_gives_the_tokenizers_ids():
         assert np.frombuffer(cached.ids(text), "<u4").tolist() == plain.encode(text, add_special_tokens=False).ids, repr(text)
 
 
+def test_known_words_outlive_a_task_and_are_bounded():
+    tokens = packing.word_tokens(PATH)
+    assert packing.word_tokens(PATH) is tokens
+    tokens.ids("Climbing climbing, climbing")
+    assert b"climbing" in tokens and tokens[b"climbing,"] == tokens[b"climbing"] + tokens[b","]
+    small = packing.WordTokens(PATH, cache=5)
+    small.ids(" ".join(f"w{n} é{n}" for n in range(50)) + " " + "x" * 10_000)
+    assert len(small) <= 5 and all(len(word) <= packing.LONGEST for word in small)
+
+
+def test_written_out_classes_are_the_tokenizers_pattern():
+    regex = pytest.importorskip("regex")
+    pattern = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+    letters = sorted({c for n in range(256) if packing.PLAIN.fullmatch(chr(n)) for c in chr(n).lower()})
+    rng = random.Random(3)
+    for text in [*letters, *("".join(rng.choices([*letters, *"'''streldvm"], k=rng.randint(2, 9))) for _ in range(5000))]:
+        assert packing.WORDS.findall(text) == pattern.findall(text), text
+    assert all(c.isalpha() == bool(regex.fullmatch(r"\p{L}", c)) for c in letters)
+
+
 def check(rows, capacity=4096):
     by_bin = {}
     for r in rows:
