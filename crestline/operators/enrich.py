@@ -22,6 +22,12 @@ _REQUEST_ORDER = ("kind", "area_ord", "route_ord")
 
 # --- results -------------------------------------------------------------------
 
+def _once(value: Column) -> Column:
+    """``value`` as a generated column: filters on it are not pushed below, where they would repeat its
+    expression for each use."""
+    return F.explode(F.array(value))
+
+
 def parse_results(lines: DataFrame) -> DataFrame:
     """Result lines (batch_ord, line_no, value) -> one row per non-blank line:
     custom_id, kind, entity_id, raw_tags, tags (validated), reject_reason."""
@@ -30,17 +36,17 @@ def parse_results(lines: DataFrame) -> DataFrame:
     is_object = F.from_json("content", "map<string,string>").isNotNull() & strip(
         F.col("content")).endswith("}")
     by_category = F.from_json("raw", "map<string,string>")
+    reason = (F.when(F.col("custom_id").isNull(), "bad line")
+              .when(F.coalesce("content", F.lit("")) == "", "no content")
+              .when(~F.coalesce(is_object, F.lit(False)), "content is not a JSON object")
+              .when(~F.coalesce(raw, F.lit("{}")).startswith("{"), "tags are not an object"))
     return (
         lines.filter(strip(F.col("value")) != "")
-        .withColumn("r", F.from_json("value", schemas.RESULT))
+        .select("batch_ord", "line_no", "value", _once(F.from_json("value", schemas.RESULT)).alias("r"))
         .select("batch_ord", "line_no", "value", F.col("r.custom_id").alias("custom_id"),
                 content.alias("content"))
-        .withColumn("raw", F.coalesce(raw, F.lit("{}")))
-        .withColumn("reject_reason",
-                    F.when(F.col("custom_id").isNull(), "bad line")
-                    .when(F.coalesce("content", F.lit("")) == "", "no content")
-                    .when(~F.coalesce(is_object, F.lit(False)), "content is not a JSON object")
-                    .when(~F.col("raw").startswith("{"), "tags are not an object"))
+        .select("*", _once(F.struct(F.coalesce(raw, F.lit("{}")).alias("raw"), reason.alias("reject_reason"))).alias("j"))
+        .select("batch_ord", "line_no", "value", "custom_id", "content", "j.raw", "j.reject_reason")
         .withColumn("raw_tags", F.when(
             F.col("reject_reason").isNull(),
             F.transform_values(by_category, lambda c, v: or_empty(F.from_json(v, "array<string>")))))

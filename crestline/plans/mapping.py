@@ -211,7 +211,9 @@ def result_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     first = F.when(k % 10 == 3, "").when(k % 11 == 0, "not json").otherwise(pick(RESULT_PICK, k % 6))
     second = F.when((k % 15 == 0) & (k % 10 != 3), entry(1, pick(RESULT_PICK, (k + 1) % 6)))
     lines = F.filter(F.array(entry(0, first), second), lambda e: e.isNotNull())
-    route = (table(spark, sf_dir, "part").select(k.alias("line_no"), F.explode(lines).alias("e"))
+    # the keys are a few bytes a line, and reading the lines is most of the work
+    route = (_spread(table(spark, sf_dir, "part").select("p_partkey"), "p_partkey")
+             .select(k.alias("line_no"), F.explode(lines).alias("e"))
              .select("e.batch_ord", "line_no", "e.value"))
     approach = pick(APPROACH_PICK, s % 5)
     area = table(spark, sf_dir, "supplier").select(

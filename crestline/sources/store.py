@@ -176,8 +176,10 @@ def upsert_parts(incoming: DataFrame, base: str, key: str, order: str | None = N
         return sorted(r[0] for r in new.select("part").distinct().collect())
     offered = [r[0] for r in new.select("part").distinct().collect()]  # at most n numbers
     stored = spark.read.parquet(folder).filter(F.col("part").isin(offered))
-    text = F.to_json(F.struct(*[c for c in new.columns if c != "part"]), {"ignoreNullFields": "false"}).alias("_text")
-    changed = new.withColumn("_text", text).join(stored.select(key, text), [key, "_text"], "left_anti").drop("_text")
+    # rows are compared by a digest of their text, so that only keys and digests are shuffled
+    text = F.to_json(F.struct(*[c for c in new.columns if c != "part"]), {"ignoreNullFields": "false"})
+    digest = F.sha2(text, 256).alias("_digest")
+    changed = new.select(key, "part", digest).join(stored.select(key, digest), [key, "_digest"], "left_anti")
     touched = sorted(r[0] for r in changed.select("part").distinct().collect())
     if not touched:
         return []

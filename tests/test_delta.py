@@ -98,3 +98,28 @@ def test_a_batch_that_died_is_applied_again(spark, catalogue, tmp_path, monkeypa
     results = {(k, e): t for k, e, t in BATCHES[2] + BATCHES[1][:1]}
     _, whole = enrich.enrich(areas, routes, batch(spark, [(*k, t) for k, t in results.items()]))
     assert tags(delta.enriched(spark, base)[1], "route_id", "route_tags") == tags(whole, "route_id", "route_tags")
+
+
+def test_result_lines_are_parsed_once_and_by_many_tasks(spark, sf):
+    from crestline.plans import mapping
+
+    lines = mapping.result_lines(spark, sf)
+    # the keys fill one file, their lines many tasks
+    assert "REPARTITION_BY_NUM" in lines._jdf.queryExecution().executedPlan().toString()
+    plan = enrich.latest_results(enrich.parse_results(lines))._jdf.queryExecution().optimizedPlan().toString()
+    # line, object test, categories, tags of a category; each filter on them used to repeat these
+    assert plan.count("from_json") == 4 and plan.count("get_json_object") <= 2
+
+
+def test_documents_are_compared_by_digests(spark, tmp_path, monkeypatch):
+    rows = spark.range(40).select(F.col("id").cast("string").alias("key"), F.when(F.col("id") != 3, "x").alias("text"))
+    store.upsert_parts(rows, str(tmp_path / "c"), "key", parts=4)
+    joined, join = [], type(rows).join
+    monkeypatch.setattr(type(rows), "join", lambda self, other, *a: joined.append(other.columns) or join(self, other, *a))
+    assert store.upsert_parts(rows, str(tmp_path / "c"), "key") == []
+    assert joined == [["key", "_digest"]]
+    # a field that only becomes null, and one that only becomes empty, are changes
+    for value in (F.lit(None), F.lit("")):
+        changed = rows.withColumn("text", F.when(F.col("key") != "5", F.col("text")).otherwise(value))
+        assert len(store.upsert_parts(changed, str(tmp_path / "c"), "key")) == 1
+        assert store.upsert_parts(changed, str(tmp_path / "c"), "key") == []
