@@ -13,13 +13,16 @@ its pairs:
 1. every member of a bucket is compared with the bucket's smallest member (its pivot);
 2. components of the confirmed links settle every bucket whose members are all connected;
 3. in the others, members outside the component of another, hashed pivot are compared with that one;
-4. what is still apart in some bucket meets by an exact prefix join: with a document's shingles ordered
-   from rare to frequent, two sets can only be near if they share a shingle so early in both orders that
-   enough is left behind it. Members of different components that share one are compared; of the members
-   of a frequent shingle, those outside its largest component with the others.
-
-So each pair of a bucket is confirmed, refuted, or joined already, at any bucket size, and variants of one
-text that are not near each other never meet as pairs. Confirmation joins the full sets of both classes;
+4. what is still apart in some bucket meets by an exact prefix join. Sets that are linked by buckets are a family
+   with a pivot of its own, and each set is replaced by its difference from that pivot's: two sets differ
+   from each other in just what their differences don't share, and what the variants of one text have in
+   common is in none of them. With a difference's shingles ordered from rare to frequent, two sets can only
+   be near if they share a shingle so early in both orders that enough is left behind it. Members of a
+   shingle are compared with the one nearest to the pivot first; then those of different components, and of
+   the members of a frequent shingle those outside its largest component with the others.
+
+So each pair of a bucket is confirmed, refuted, or joined already, at any bucket size, and of the variants of one
+text that are not near each other only those meet as pairs that differ from it in mostly the same places. Confirmation joins the full sets of both classes;
 pivots are salted.
 
 Defined results: texts without words have an empty set and no links; null texts too. Rows that share a
@@ -31,12 +34,12 @@ none of them has an id. Extra columns are ignored (``keep_first`` and ``keep_one
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from xxhash import xxh3_128_hexdigest
 
@@ -57,6 +60,7 @@ SALTS = 32
 CHUNK = 4096
 
 _HALF = np.uint64(32)
+_EARLY = ("node", "label", "behind", "over")
 
 
 def band_count(percent: int = PERCENT) -> int:
@@ -141,7 +145,7 @@ def _full_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
     """The ``pairs`` (a, b) whose full sets are similar enough. Many pairs may share b: its set is dealt
     to as many salted copies as there are salts among them, so none of them meets all pairs."""
-    salted = pairs.select("a", "b", F.pmod(F.xxhash64("a"), F.lit(SALTS)).alias("salt"))
+    salted = pairs.select("a", "b", _salt("a"))
     left = salted.join(sets.select(F.col("node").alias("a"), F.col("s").alias("sa")), "a")
     right = salted.select("b", "salt").distinct().join(sets.select(F.col("node").alias("b"), F.col("s").alias("sb")), "b")
     na, nb = F.size("sa"), F.size("sb")
@@ -158,25 +162,83 @@ def _other_pairs(found: DataFrame, tested: DataFrame) -> DataFrame:
         tested.select(lo, hi), ["lo", "hi"], "left_anti").select("a", "b")
 
 
-def _may_be_near(left: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of the nodes of ``left`` (node, label) with different labels whose ``sets`` are not
-    refuted by sizes or by the place of a shared shingle: before the first shingle that two sets share, in
-    an order common to all, lie only shingles of one of them. That holds for any order; rare ones first
-    leaves the fewest pairs."""
-    own = sets.join(left, "node").groupBy("node", "label", F.xxhash64("s").alias("set")).agg(F.any_value("s").alias("s"))
-    tokens = own.select("node", "label", "set", F.size("s").alias("size"), F.explode("s").alias("token"))
-    frequency = tokens.groupBy("token").agg(F.count("*").alias("n")).filter("n > 1")
-    one = Window.partitionBy("node", "set")  # a document's own shingles
-    shared = tokens.join(frequency, "token").withColumn("rank", F.row_number().over(one.orderBy("n", "token"))).withColumn(
+def _salt(node: str) -> Column:
+    return F.pmod(F.xxhash64(node), F.lit(SALTS)).alias("salt")
+
+
+def _differences(left: DataFrame, sets: DataFrame) -> DataFrame:
+    """(family, node, set, size, differs, pivot, pivot_size): in what the sets of ``left`` (node, family) differ from
+    that of their family's pivot, a member of median size; all differences hold at most three times the sets."""
+    own = written(sets.join(left, "node").groupBy("family", "node", F.xxhash64("s").alias("set")).agg(
+        F.any_value("s").alias("s")).withColumn("size", F.size("s")), "own-sets")
+    median = own.groupBy("family").agg(F.percentile_approx("size", 0.5).alias("size"))
+    chosen = own.join(median, ["family", "size"]).groupBy("family").agg(F.min(F.struct("node", "set")).alias("first"))
+    pivots = own.join(chosen.select("family", "first.*"), ["family", "node", "set"]).select(
+        "family", F.col("node").alias("pivot"), F.col("size").alias("pivot_size"), F.col("s").alias("p"))
+    salted = own.withColumn("salt", _salt("node"))
+    dealt = salted.select("family", "salt").distinct().join(pivots, "family")
+    out = written(salted.join(dealt, ["family", "salt"]).select(
+        "family", "node", "set", "size", F.concat(F.array_except("s", "p"), F.array_except("p", "s")).alias("differs"),
+        "pivot", "pivot_size"), "differences")
+    drop_tables(own)
+    return out
+
+
+def _early(differences: DataFrame, percent: int) -> DataFrame:
+    """(family, token, node, behind, over): the shingles that lie early enough in their difference. Sets a and b
+    are only near if their differences share (over_a + over_b) / 2 / (100 + percent) shingles; before the first
+    shared one, in an order common to all, lie only shingles of one of them, so as many are behind it in both.
+    That holds for any order; rare ones first leaves the fewest pairs."""
+    unit, size = 100 + percent, F.col("size")
+    tokens = differences.select("family", "node", "set", "size", F.size("differs").alias("d"), F.explode("differs").alias("token"))
+    frequency = tokens.groupBy("family", "token").agg(F.count("*").alias("n")).filter("n > 1")
+    one = Window.partitionBy("family", "node", "set")  # a document's own shingles
+    shared = tokens.join(frequency, ["family", "token"]).withColumn("rank", F.row_number().over(one.orderBy("n", "token"))).withColumn(
         "behind", F.count("*").over(one) - F.col("rank") + 1)  # shared shingles from this one on; the single ones lie before
-    early = written(shared.filter(F.col("behind") * 100 >= F.col("size") * percent).select(
-        "token", "node", "label", "size", "behind"), "early-shingles")
-    most = early.groupBy("token", "label").agg(F.count("*").alias("n")).groupBy("token").agg(
+    # a near set is at most 100 / percent times as large, and its difference holds what is shared
+    far = written(shared.filter(F.col("behind") * percent >= F.col("d") * percent - size * (100 - percent)).select(
+        "family", "token", "node", "rank", "behind", (F.col("d") * unit - size * (100 - percent)).cast("long").alias("over")),
+        "shared-shingles")
+    # neither set's part of 2 * unit * shared is more than all it has: over <= room of the other
+    heads = far.filter("rank = 1").select("family", "over", (F.col("behind") * 2 * unit - F.col("over")).alias("room"))
+    level = lambda c: F.floor(F.col(c) / unit).alias("level")
+    levels = heads.select("family", level("room"), "over").unionByName(
+        heads.select("family", level("over"), F.lit(None).cast("long").alias("over"))).groupBy("family", "level").agg(
+        F.min("over").alias("over"))
+    upwards = Window.partitionBy("family").orderBy(F.desc("level"))  # a row per size of sets, not per set
+    least = levels.select("family", "level", F.min("over").over(upwards).alias("other")).filter("other IS NOT NULL")
+    early = written(far.withColumn("level", level("over")).join(least, ["family", "level"]).filter(
+        F.col("behind") * 2 * unit >= F.col("over") + F.col("other")).select("family", "token", "node", "behind", "over"),
+        "early-shingles")
+    drop_tables(far)
+    return early
+
+
+def _enough(percent: int) -> Column:
+    return (F.col("label") != F.col("label_b")) & (
+        F.least("behind", "behind_b") * (2 * (100 + percent)) >= F.col("over") + F.col("over_b"))
+
+
+def _to_pivots(differences: DataFrame, early: DataFrame, labelled: Callable[..., DataFrame], percent: int) -> DataFrame:
+    """Pairs (a, b) of different labels: sets that are near their family's pivot with it, as sets whose
+    differences are so small that they need share nothing are; early ones with the one of a shingle's
+    that differs least from the pivot."""
+    near = labelled(differences.filter(F.size("differs") * (100 + percent) <= (F.col("size") + F.col("pivot_size")) * (100 - percent)))
+    pairs = labelled(near, "pivot", "label_b").filter("label <> label_b").select(F.col("node").alias("a"), F.col("pivot").alias("b"))
+    early = labelled(early)
+    least = early.groupBy("family", "token").agg(F.min_by(F.struct(*[F.col(c).alias(f"{c}_b") for c in _EARLY]), F.struct(
+        "over", "node")).alias("p")).select("family", "token", "p.*")
+    return pairs.unionByName(early.join(least, ["family", "token"]).filter(_enough(percent)).select(
+        F.col("node").alias("a"), F.col("node_b").alias("b")))
+
+
+def _may_be_near(early: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of different labels that no place of a shared ``early`` shingle refutes."""
+    most = early.groupBy("family", "token", "label").agg(F.count("*").alias("n")).groupBy("family", "token").agg(
         F.max_by("label", F.struct("n", "label")).alias("main"))
-    strays = early.join(most, "token").filter("label <> main").select("token", *[
-        F.col(c).alias(f"{c}_b") for c in ("node", "label", "size", "behind")])
-    enough = F.least("behind", "behind_b") * (100 + percent) >= (F.col("size") + F.col("size_b")) * percent
-    return early.join(strays, "token").filter((F.col("label") != F.col("label_b")) & enough).select(
+    strays = early.join(most, ["family", "token"]).filter("label <> main").select("family", "token", *[
+        F.col(c).alias(f"{c}_b") for c in _EARLY])
+    return early.join(strays, ["family", "token"]).filter(_enough(percent)).select(
         F.col("node").alias("a"), F.col("node_b").alias("b"))
 
 
@@ -208,10 +270,14 @@ def clusters(docs: DataFrame, percent: int = PERCENT, same: DataFrame | None = N
     links = written(confirmed(tested, sets, percent).unionByName(same_id), "links")
     labels = components(links)
 
+    def labelled(df: DataFrame, node: str = "node", name: str = "label") -> DataFrame:
+        """With the label of each ``node``."""
+        found = labels.select(F.col("node").alias(node), F.col("label").alias(name))
+        return df.join(found, node, "left").withColumn(name, F.coalesce(name, node))
+
     def apart() -> DataFrame:
         """Members of the buckets that are not one component, with their label."""
-        own = members.join(labels, "node", "left").select(
-            "bucket", "node", F.coalesce("label", "node").alias("label"))
+        own = labelled(members.select("bucket", "node"))
         split = own.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi")
         return own.join(split.select("bucket"), "bucket")
 
@@ -234,9 +300,15 @@ def clusters(docs: DataFrame, percent: int = PERCENT, same: DataFrame | None = N
         if not compare(_other_pairs(own.join(chosen, "bucket").filter("label <> p.label").select(
                 F.col("node").alias("a"), F.col("p.node").alias("b")), tested)):
             break
-    left = written(apart().select("node", "label").distinct(), "apart")
+    left = written(apart().select("bucket", "node"), "apart")
     if not left.isEmpty():
-        compare(_other_pairs(_may_be_near(left, sets, percent), tested))
+        first = left.groupBy("bucket").agg(F.min("node").alias("b"))
+        family = components(left.join(first, "bucket").select(F.col("node").alias("a"), "b").filter("a <> b").distinct())
+        differences = _differences(family.withColumnRenamed("label", "family"), sets)
+        early = _early(differences, percent)
+        compare(_other_pairs(_to_pivots(differences, early, labelled, percent), tested))
+        compare(_other_pairs(_may_be_near(labelled(early), percent), tested))
+        drop_tables(differences, early)
 
     drop_tables(sets, members)  # what follows reads only rows, classes and labels
     component = F.coalesce("label", "node", "doc_id")

@@ -74,6 +74,39 @@ def test_hot_group_of_copies(spark):
     assert rows_of(neardup.clusters(documents(spark, rows)), *COLUMNS) == brute(rows)
 
 
+def test_variants_of_one_text_rarely_meet(spark, monkeypatch):
+    """Variants of one text that are not near each other met pair by pair in the prefix join: 1,371 of these rows."""
+    rng = random.Random(5)
+    base = [f"b{n}" for n in range(150)]
+    rows = [(n, " ".join(edited(rng, base, rng.choice([1, 2, 3, 3, 4, 5])))) for n in range(250)]
+    counts, real = [], neardup.confirmed
+    monkeypatch.setattr(neardup, "confirmed", lambda pairs, *a: counts.append(pairs.count()) or real(pairs, *a))
+    assert rows_of(neardup.clusters(documents(spark, rows)), *COLUMNS) == brute(rows)
+    assert sum(counts[1 + neardup.PIVOT_ROUNDS:]) < len(rows), counts
+
+
+def test_differences_need_not_share_anything(spark):
+    """All near pairs meet, or are near the pivot because each differs little from it."""
+    rng = random.Random(6)
+    base = [f"b{n}" for n in range(120)]
+    far = edited(rng, base, 4)
+    texts = [base, far, *(edited(rng, base, 1) for _ in range(20)), *(edited(rng, far, k % 3) for k in range(20)), base[:100], far[7:]]
+    rows = list(enumerate(map(" ".join, texts)))
+    node = spark.createDataFrame([(n, 0) for n, _ in rows], "node long, family long")
+    sets = neardup._full_sets(documents(spark, rows), node.select("node"))
+    differences = neardup._differences(node, sets)
+    early = neardup._early(differences, 85)
+    alone = lambda df, node="node", name="label": df.withColumn(name, df[node])
+    met = {frozenset((r["a"], r["b"])) for df in (neardup._to_pivots(differences, early, alone, 85),
+                                                   neardup._may_be_near(alone(early), 85)) for r in df.collect()}
+    pivot = differences.first()["pivot"]
+    own = {n: shingle_set(t) for n, t in rows}
+    near = [(a, b) for a in own for b in own if a < b and 100 * len(own[a] & own[b]) >= 85 * len(own[a] | own[b])]
+    assert len(near) > 100
+    for a, b in near:
+        assert {a, b} in met or all({x, pivot} in met or x == pivot for x in (a, b))
+
+
 def test_nulls_repeats_and_long(spark):
     long = " ".join(f"l{n}" for n in range(60_000))
     rows = [(1, None), (2, "x y z"), (2, "x y z"), (3, "x y z"), (None, "x y z"), (None, "alone"), (5, long), (6, long + " end"),
