@@ -367,32 +367,37 @@ def route_stats(pages_with_els: DataFrame) -> DataFrame:
 
 def routes_of_areas(listed: DataFrame, route_els: DataFrame, stats_els: DataFrame) -> DataFrame:
     """Rows of ``route_list`` with the details and statistics of each route; the
-    position of the list wins over the one of the detail page."""
+    position of the list wins over the one of the detail page. What comes out of a page pass
+    has no known size, so it is never broadcast."""
     stats = route_stats(stats_els)
-    out = listed.join(route_details(route_els), "route_url", "left")
+    out = listed.join(route_details(route_els).hint("merge"), "route_url", "left")
     return out.withColumn("stats_url", stats_url(F.col("route_url"))) \
-        .join(stats, "stats_url", "left").drop("stats_url")
+        .join(stats.hint("merge"), "stats_url", "left").drop("stats_url")
 
 
 def nest(areas: DataFrame, routes: DataFrame, per_row: int = 1000) -> DataFrame:
     """Area records with embedded routes. A record holds at most ``per_row``
     routes; a larger area continues in further records of the same id (``part``),
     so no group grows with the data. Reading back explodes all parts. Routes of
-    an area that has no record keep a record with nothing but its id."""
+    an area that has no record keep a record with nothing but its id. ``routes`` are
+    read once, since a page pass may be behind them."""
     fields = [c for c in routes.columns if c not in ("area_id", "area_url", "route_pos")]
-    packed = routes.withColumn("part", F.floor(F.col("route_pos") / per_row).cast("int")) \
-        .groupBy("area_id", "part").agg(F.array_sort(
-            F.collect_list(F.struct("route_pos", *fields)),
-            lambda a, b: a["route_pos"] - b["route_pos"]).alias("_r"))
+    # an area without routes, or with none in its first part, gets an empty first part: a null
+    # among its routes, which the list drops. Null ids equal none, so theirs stays apart
+    unplaced = F.col("area_id").isNull() | F.coalesce(F.col("route_pos") >= per_row, F.lit(True))
+    rows = routes.withColumn("_empty", F.explode(F.when(unplaced, F.array(F.lit(False), F.lit(True))).otherwise(F.array(F.lit(False)))))
+    placed = rows.select(
+        "area_id", F.when(F.col("_empty"), 0).otherwise(F.floor(F.col("route_pos") / per_row)).cast("int").alias("part"),
+        F.when(~F.col("_empty"), F.struct("route_pos", *fields)).alias("_r"))
+    none = areas.select("area_id", F.lit(0).alias("part"), F.lit(None).cast(placed.schema["_r"].dataType).alias("_r"))
+    apart = F.col("area_id").isNull() & F.col("_r").isNull()
+    packed = placed.unionByName(none).groupBy("area_id", "part", apart.alias("_apart")).agg(F.array_sort(
+        F.collect_list("_r"), lambda a, b: a["route_pos"] - b["route_pos"]).alias("_r"))
     packed = packed.withColumn("routes", F.transform("_r", lambda r: F.struct(
-        *[r[f].alias(f) for f in fields]))).drop("_r")
-    # parts are the left side: those of one crowded area may be split; an area
-    # without routes, or with none in its first part, gets an empty first part
-    first = routes.filter(F.col("route_pos") < per_row).select("area_id").distinct()
-    ids = areas.select("area_id").unionByName(routes.select("area_id")).distinct().join(first, "area_id", "left_anti")
-    empty = F.array().cast(packed.schema["routes"].dataType)
-    return packed.join(areas, "area_id", "left").unionByName(
-        ids.join(areas, "area_id", "left").withColumn("part", F.lit(0)).withColumn("routes", empty))
+        *[r[f].alias(f) for f in fields]))).drop("_r", "_apart")
+    # parts are the left side: those of one crowded area may be split; areas that were written
+    # show their compressed size, which says little about a broadcast
+    return packed.join(areas.hint("merge"), "area_id", "left")
 
 
 __all__ = ["with_elements", "area_records", "route_list", "route_details", "route_stats",

@@ -26,3 +26,18 @@ def first_wins(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column]
 
 def last_wins(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column]) -> DataFrame:
     return _pick(df, keys, order, F.max_by)
+
+
+FEW_KEYS = 100_000  # of some hundred bytes; more are not broadcast
+
+
+def chosen(rows: DataFrame, keys: DataFrame, key: str, how: str, few: int = FEW_KEYS) -> DataFrame:
+    """Semi or anti join (``how``) of wide rows with a table of their keys, which is counted: keys that come from
+    compressed files or lists are many times as large as the plan says, and would be broadcast by that. Few keys
+    are broadcast; for more, rows are dealt out by the key to enough tasks for heavy work on them."""
+    spark = rows.sparkSession
+    if keys.count() <= few:
+        return rows.join(keys.hint("broadcast"), key, how)
+    # a number of its own: the rows follow it, and small tasks are not put together again
+    tasks = max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))) + 1
+    return rows.join(keys.repartition(tasks, key).hint("merge"), key, how)

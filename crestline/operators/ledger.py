@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from crestline import fixed
-from crestline.operators.keyed import last_wins
+from crestline.operators.keyed import chosen, last_wins
 
 STATES = ("pending", "processing", "completed", "failed")
 
@@ -26,7 +26,7 @@ def status_counts(ledger: DataFrame, column: str = "status") -> DataFrame:
 def remaining(todo: DataFrame, checkpoint: DataFrame, base_url: str) -> DataFrame:
     """URLs not processed yet; a checkpoint of another start URL is ignored."""
     done = checkpoint.filter(F.col("base_url") == base_url).select(F.explode("processed_urls").alias("url"))
-    return todo.join(done, "url", "left_anti")
+    return chosen(todo, done, "url", "left_anti")
 
 
 def latest_fetch(fetches: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from crestline import schemas
 from crestline.operators import extract, ledger
+from crestline.operators.keyed import chosen
 from crestline.session import written_table
 from crestline.sources import nested, store
 from crestline.sources.html import with_elements
@@ -42,7 +43,7 @@ def pages_of(listed: DataFrame, route_pages: DataFrame, stats_pages: DataFrame)
     parses what its own areas list."""
     urls = listed.select(F.col("route_url").alias("url")).distinct()
     stats = urls.select(extract.stats_url(F.col("url")).alias("url"))
-    return route_pages.join(urls, "url", "left_semi"), stats_pages.join(stats, "url", "left_semi")
+    return chosen(route_pages, urls, "url", "left_semi"), chosen(stats_pages, stats, "url", "left_semi")
 
 
 def checkpoint(spark: SparkSession, base: str) -> DataFrame:

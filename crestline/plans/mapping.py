@@ -141,7 +141,8 @@ def ratings(spark: SparkSession, sf_dir: str) -> DataFrame:
 def rating_maps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Histogram per route; at most one entry per known grade."""
     part = table(spark, sf_dir, "part").select(F.col("p_partkey"), "p_size")
-    return part.join(facts(spark, sf_dir, True), F.col("p_partkey") == F.col("k")).select(
+    # Parquet packs the keys of all parts into a few megabytes, which would be broadcast
+    return part.join(facts(spark, sf_dir, True).hint("merge"), F.col("p_partkey") == F.col("k")).select(
         F.col("p_partkey").cast("string").alias("route_id"), _histogram().alias("route_suggested_ratings"))
 
 
@@ -292,7 +293,8 @@ def site_area_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
         c -> concat('<div class="row"><a href="/area/', c, '/crag-', c, '">Crag ', c, '</a></div>')), '')""")
     back = F.expr(f"""if(s_suppkey = 0, '', concat('<div><a href="{SITE}/area/',
         (s_suppkey - 1) div 10, '/crag-', (s_suppkey - 1) div 10, '">up</a></div>'))""")
-    return _spread(placed.join(listed, F.col("s_suppkey") == F.col("s"), "left"), "s_suppkey").select(
+    # the rows are several times as large as the file of their parts, so they are never broadcast by its size
+    return _spread(placed.join(listed.hint("merge"), F.col("s_suppkey") == F.col("s"), "left"), "s_suppkey").select(
         F.expr(site_url("area", "s_suppkey", "concat('crag-', s_suppkey)")).alias("url"),
         F.col("s_suppkey"),
         (F.col("s_suppkey") * 10 + 1 >= n).alias("leaf"), nav.alias("nav"), back.alias("back"),

@@ -4,10 +4,13 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from crestline.operators import extract, hierarchy, reduction
-from crestline.operators.keyed import first_wins, last_wins
+from crestline.operators import extract, hierarchy, ledger, reduction
+from crestline.operators.keyed import FEW_KEYS, first_wins, last_wins
 from crestline.operators.ordinal import global_row_number
+from crestline.plans import extraction
+from crestline.plans import mapping as m
 from crestline.schemas import HIERARCHY
+from crestline.sources.html import with_elements
 
 N = 30_000
 
@@ -89,6 +92,54 @@ def test_pages_are_read_once(spark, sf):
     assert plan(entry.queries()["site_nested_records"](spark, sf)).count("MapInArrow") <= 2  # route and stats pages
 
 
+def _route_url():
+    return F.expr("concat('https://crags.example.org/route/', id, '/r-', id)")
+
+
+@pytest.fixture(scope="module")
+def listed(spark, tmp_path_factory):
+    """One list of more routes than are broadcast, in a small file."""
+    path = str(tmp_path_factory.mktemp("listed") / "t")
+    spark.range(FEW_KEYS + 1).select(F.lit("a").alias("area_id"), F.lit("u").alias("area_url"), F.col("id").cast("int").alias("route_pos"),
+                                     _route_url().alias("route_url")).write.option("compression", "zstd").parquet(path)
+    return spark.read.parquet(path)
+
+
+def test_listed_routes_are_not_broadcast(spark, listed):
+    pages = spark.range(FEW_KEYS + 9).select(_route_url().alias("url"), F.lit("<h1>x</h1>").alias("html"))
+    routes, stats = extraction.pages_of(listed, pages, pages.withColumn("url", extract.stats_url(F.col("url"))))
+    assert routes.count() == stats.count() == FEW_KEYS + 1
+    areas = listed.select("area_id", "area_url").distinct()
+    text = plan(extract.nest(areas, extract.routes_of_areas(
+        listed, with_elements(routes), with_elements(stats, tags=extract.STATS_TAGS))))
+    assert "Broadcast" not in text and text.count("MapInArrow") == 2  # each page is parsed once
+    few = extraction.pages_of(listed.filter("route_pos < 3"), pages, pages)[0]
+    assert "BroadcastHashJoin" in plan(few) and few.count() == 3  # pages are not shuffled for a short list
+
+
+def test_finished_urls_are_not_broadcast(spark, listed, tmp_path):
+    listed.groupBy(F.lit("s").alias("base_url")).agg(F.collect_list("route_url").alias("processed_urls")).write.parquet(f"{tmp_path}/c")
+    pages = spark.range(FEW_KEYS + 9).select(_route_url().alias("url"))
+    left = ledger.remaining(pages, spark.read.parquet(f"{tmp_path}/c"), "s")
+    assert "Broadcast" not in plan(left) and left.count() == 8
+
+
+def test_site_pages_broadcast_nations_only(spark, sf):
+    assert plan(m.site_area_pages(spark, sf)).count("BroadcastHashJoin") == 2  # nations and regions
+    assert "Broadcast" not in plan(m.rating_maps(spark, sf))
+
+
+def test_records_of_odd_routes(spark):
+    """Late routes, routes without place or area, areas that come twice or have no id: a first part each."""
+    routes = spark.createDataFrame([("a", 0, "r0"), ("a", 5, "r5"), ("late", 4, "r4"), ("none", None, "rn"), ("lost", 1, "r1"), (None, 1, "r2"), (None, 4, "r6")],
+                                   "area_id string, route_pos int, route_id string")
+    areas = spark.createDataFrame([("a", "A"), ("late", "L"), ("twice", "T"), ("twice", "T"), ("none", "N"), (None, "X")], "area_id string, area_name string")
+    got = [(r["area_id"], r["area_name"], r["part"], tuple(x["route_id"] for x in r["routes"])) for r in extract.nest(areas, routes, per_row=3).collect()]
+    assert sorted(got, key=str) == sorted([
+        ("a", "A", 0, ("r0",)), ("a", "A", 1, ("r5",)), ("late", "L", 0, ()), ("late", "L", 1, ("r4",)), ("none", "N", 0, ()), ("none", "N", None, ("rn",)),
+        ("twice", "T", 0, ()), ("twice", "T", 0, ()), ("lost", None, 0, ("r1",)), (None, None, 0, ("r2",)), (None, None, 1, ("r6",)), (None, None, 0, ())], key=str)
+
+
 def test_deep_crawl_keeps_planning(spark):
     from crestline.operators import crawl
 
